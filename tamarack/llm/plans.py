@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_subreddit
-from ..session import table
-from . import components, topn
+from ..session import Scratch, table
+from . import components, leaks, mixing, topn
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,7 +36,36 @@ def p6_ranked(spark: SparkSession, sf: str) -> DataFrame:
     return _top_packs(spark, sf).select(F.col("grp").alias("subreddit"), F.col("rank").cast("long").alias("rank"), F.col("item").alias("pack_id"), F.col("s1").alias("local_signal_count"), F.col("s2").alias("global_signal_count"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_ranked": p6_ranked}
+def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_leaks(spark, sf).where("shared_run").select("doc_id", "item_id").distinct()
+
+
+def p8_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Every item with the number of documents that hold a passage of it, exactly or within the edit budget."""
+    hits = p8_leaks(spark, sf).groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"), F.countDistinct(F.when(F.col("shared_run"), F.col("doc_id"))).alias("docs_exact"))
+    items = table(spark, sf, "eval_items").select("item_id", "suite").distinct()
+    return items.join(hits, "item_id", "left").na.fill(0, ["docs", "docs_exact"])
+
+
+def _mix(spark: SparkSession, sf: str):
+    tokens = Scratch(spark, "tokens").write(mixing.count_tokens(table(spark, sf, "documents"), mixing.tokenizer_path()))
+    return mixing.mix_sources(tokens, table(spark, sf, "mix_plan"))
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf)[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf)[1]
+
+
+QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_ranked": p6_ranked,
+           "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares}
 
 _LINKS = """links AS (SELECT painpoint_a AS a, painpoint_b AS b FROM merge_decisions WHERE duplicates AND painpoint_a <> painpoint_b),
 both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
@@ -53,4 +82,9 @@ ORACLE = {
 SELECT i.id AS painpoint_id, coalesce(min(r.node), i.id) AS group_id FROM ids i LEFT JOIN reach r ON r.id = i.id WHERE i.id IS NOT NULL GROUP BY i.id""",
     "p6_found": f"WITH {_PACKS} SELECT subreddit, pack_id FROM ranked WHERE rank <= 5",
     "p6_ranked": f"WITH {_PACKS} SELECT subreddit, rank, pack_id, local_signal_count, global_signal_count FROM ranked WHERE rank <= 5",
+    "p8_found": """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),
+d AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 11], ' ') AS run FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 10)) AS i FROM w)),
+v AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM eval_items WHERE text IS NOT NULL),
+e AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 11], ' ') AS run FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 10)) AS i FROM v))
+SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (run)""",
 }
