@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +25,22 @@ def get_spark(app: str = "tamarack", cores: str = "*") -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tamarack_shipped", False):
+        return
+    here = Path(__file__).parent
+    at = Path(tempfile.mkdtemp()) / "tamarack.zip"  # on the driver only; Spark hands it out
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, str(p.relative_to(here.parent)))
+    sc.addPyFile(str(at))
+    sc._tamarack_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
