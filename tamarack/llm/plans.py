@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import canonical_subreddit
 from ..session import Scratch, table
-from . import components, leaks, mixing, topn
+from . import components, leaks, mixing, topn, truncation
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,6 +36,22 @@ def p6_ranked(spark: SparkSession, sf: str) -> DataFrame:
     return _top_packs(spark, sf).select(F.col("grp").alias("subreddit"), F.col("rank").cast("long").alias("rank"), F.col("item").alias("pack_id"), F.col("s1").alias("local_signal_count"), F.col("s2").alias("global_signal_count"))
 
 
+def _stored_texts(spark: SparkSession, sf: str) -> DataFrame:
+    p, c = table(spark, sf, "posts"), table(spark, sf, "comments")
+    return p.select(F.lit("posts").alias("tab"), "id", F.col("selftext").alias("text")).unionByName(c.select(F.lit("comments").alias("tab"), "id", F.col("body").alias("text")))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.find_truncated(_stored_texts(spark, sf)).select("tab", F.col("id").alias("row_id"))
+
+
+def p7_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    p, c = table(spark, sf, "posts"), table(spark, sf, "comments")
+    rows = p.select(F.lit("posts").alias("tab"), "id", F.col("id").alias("post_id")).unionByName(c.select(F.lit("comments").alias("tab"), "id", "post_id"))
+    sources = p.select(F.col("id").alias("post_id"), F.get_json_object("extra", "$.via").alias("source"))
+    return truncation.truncation_by_source(rows, truncation.find_truncated(_stored_texts(spark, sf)), sources)
+
+
 def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
@@ -65,7 +81,7 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_ranked": p6_ranked,
-           "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares}
+           "p7_found": p7_found, "p7_by_source": p7_by_source, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares}
 
 _LINKS = """links AS (SELECT painpoint_a AS a, painpoint_b AS b FROM merge_decisions WHERE duplicates AND painpoint_a <> painpoint_b),
 both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
