@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_subreddit
 from ..session import Scratch, table
-from . import components, leaks, mixing, topn, truncation
+from . import components, leaks, mixing, pii, topn, truncation
+
+
+def _personal_texts(spark: SparkSession, sf: str) -> DataFrame:
+    parts = (("posts", "selftext"), ("comments", "body"), ("pending_painpoints", "quoted_text"))
+    return reduce(DataFrame.unionByName, (table(spark, sf, t).select(F.lit(t).alias("tab"), F.col("id").alias("row_id"), F.col(c).alias("text")) for t, c in parts))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find_spans(_personal_texts(spark, sf)).select("tab", "row_id", F.explode("spans.kind").alias("kind")).distinct()
+
+
+def p1_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.redact(_personal_texts(spark, sf))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,7 +95,7 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_ranked": p6_ranked,
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_ranked": p6_ranked,
            "p7_found": p7_found, "p7_by_source": p7_by_source, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares}
 
 _LINKS = """links AS (SELECT painpoint_a AS a, painpoint_b AS b FROM merge_decisions WHERE duplicates AND painpoint_a <> painpoint_b),
