@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import canonical_subreddit
 from ..session import Scratch, table
-from . import components, leaks, mixing, pii, topn, truncation
+from . import components, leaks, mixing, pii, quality, topn, truncation
 
 
 def _personal_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,8 +95,20 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
+def p10_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.text_statistics(table(spark, sf, "documents"))
+
+
+def p10_classified(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.classify(table(spark, sf, "documents"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_classified(spark, sf).where("not is_prose").select("doc_id").distinct()
+
+
 QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_ranked": p6_ranked,
-           "p7_found": p7_found, "p7_by_source": p7_by_source, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares}
+           "p7_found": p7_found, "p7_by_source": p7_by_source, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_items": p8_items, "p10_found": p10_found, "p10_stats": p10_stats, "p10_classified": p10_classified, "p9_mix": p9_mix, "p9_shares": p9_shares}
 
 _LINKS = """links AS (SELECT painpoint_a AS a, painpoint_b AS b FROM merge_decisions WHERE duplicates AND painpoint_a <> painpoint_b),
 both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
@@ -107,6 +119,8 @@ _PACKS = """packs AS (
   FROM evidence_packs WHERE requested_subreddit IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pack_id ORDER BY built_at DESC) = 1),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY subreddit ORDER BY local_signal_count DESC, global_signal_count DESC, pack_id) AS rank FROM packs)"""
 
+_COMMON = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.COMMON))
+
 ORACLE = {
     "p3_found": f"WITH RECURSIVE {_LINKS} SELECT id AS painpoint_id, min(node) AS group_id FROM reach GROUP BY 1",
     "p3_groups": f"""WITH RECURSIVE {_LINKS}, ids AS (SELECT id FROM painpoints UNION SELECT painpoint_a FROM merge_decisions UNION SELECT painpoint_b FROM merge_decisions)
@@ -118,4 +132,11 @@ d AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 11], ' ') AS run FROM (SE
 v AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM eval_items WHERE text IS NOT NULL),
 e AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 11], ' ') AS run FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 10)) AS i FROM v))
 SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (run)""",
+    "p10_stats": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: length(trim(x)) > 0) AS ls FROM d)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS word_count,
+  CASE WHEN len(ws) > 0 THEN CAST(list_sum(list_transform(ws, lambda x: length(x))) AS DOUBLE) / len(ws) ELSE 0.0 END AS mean_word_length,
+  CASE WHEN length(t) > 0 THEN CAST(length(regexp_replace(t, '[\\p{{L}}\\p{{N}} \\t\\n\\x0B\\f\\r]', '', 'g')) AS DOUBLE) / length(t) ELSE 0.0 END AS symbol_ratio,
+  CASE WHEN len(ls) > 0 THEN CAST(len(list_filter(ls, lambda x: regexp_matches(rtrim(x), '[.!?:]["'')\\]]*$'))) AS DOUBLE) / len(ls) ELSE 0.0 END AS punctuated_lines,
+  CASE WHEN len(ws) > 0 THEN CAST(len(list_filter(ws, lambda x: x IN ({_COMMON}))) AS DOUBLE) / len(ws) ELSE 0.0 END AS common_words FROM w""",
 }
