@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import canonical_subreddit
 from ..session import Scratch, table
-from . import components, leaks, mixing, pii, quality, topn, truncation
+from . import clusters, components, leaks, mixing, pii, quality, topn, truncation
 
 
 def _personal_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,6 +38,18 @@ def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
     return ids.join(groups, ids.id == groups.painpoint_id, "left").select(F.col("id").alias("painpoint_id"), F.coalesce("group_id", "id").alias("group_id"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs within each cluster, the form that the data's description asks for."""
+    members = clusters.cluster(table(spark, sf, "pending_painpoints"))[0]
+    a, b = members.select(F.col("id").alias("id_a"), "cluster_id"), members.select(F.col("id").alias("id_b"), "cluster_id")
+    return a.join(b, "cluster_id").where("id_a < id_b").select("id_a", "id_b")
+
+
+def p5_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pending_painpoints")
+    return clusters.describe(*clusters.cluster(p), p)
+
+
 def _top_packs(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "evidence_packs").select(canonical_subreddit(F.col("requested_subreddit")).alias("subreddit"), "pack_id", "evidence_strength.local_signal_count", "evidence_strength.global_signal_count", "built_at")
     return topn.top_n_per_group(p, "subreddit", "pack_id", ("local_signal_count", "global_signal_count"), 5, "built_at")
@@ -107,7 +119,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return p10_classified(spark, sf).where("not is_prose").select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_ranked": p6_ranked,
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_found": p6_found, "p6_ranked": p6_ranked,
            "p7_found": p7_found, "p7_by_source": p7_by_source, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_items": p8_items, "p10_found": p10_found, "p10_stats": p10_stats, "p10_classified": p10_classified, "p9_mix": p9_mix, "p9_shares": p9_shares}
 
 _LINKS = """links AS (SELECT painpoint_a AS a, painpoint_b AS b FROM merge_decisions WHERE duplicates AND painpoint_a <> painpoint_b),
