@@ -82,6 +82,29 @@ def word_vectors(rows: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarra
     return (e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-9)).astype(np.float32), general
 
 
+class Spelling:
+    """Words that are one slip (a letter too few, too many, wrong or swapped) away from a word of the vocabulary."""
+
+    def __init__(self, vocabulary: dict[str, int]) -> None:
+        self.near: dict[str, str] = {}
+        for w in vocabulary:
+            if len(w) >= 4 and w.isalpha():
+                for d in {w, *self._less(w)}:
+                    self.near.setdefault(d, w)
+        self.seen: dict[str, str] = {}
+
+    @staticmethod
+    def _less(w: str) -> list[str]:
+        return [w[:i] + w[i + 1 :] for i in range(len(w))]
+
+    def fix(self, w: str) -> str:
+        if w not in self.seen:
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            self.seen[w] = next((self.near[d] for d in (w, *self._less(w)) if d in self.near and abs(len(self.near[d]) - len(w)) <= 1), w) if len(w) >= 4 and w.isalpha() else w
+        return self.seen[w]
+
+
 def _signs(word: str) -> np.ndarray:
     import hashlib
 
@@ -98,10 +121,11 @@ def vectorise(rows: DataFrame, vocabulary: dict[str, int], idf: np.ndarray, vect
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, weight, e = held.value
+        spelling = Spelling(voc)
         for b in batches:
             ids, subjects, places, vecs = [], [], [], []
             for i, x, y in zip(*(b.column(c).to_pylist() for c in ("id", "a", "b"))):
-                wx, wy = _words(x), _words(y)
+                wx, wy = ([w if w in voc else spelling.fix(w) for w in _words(t)] for t in (x, y))
                 rare: dict[str, int] = {}
                 for w in wx + wy:
                     if w not in voc and not w.isdigit():
