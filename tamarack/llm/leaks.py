@@ -41,24 +41,27 @@ def qgrams(data: bytes, q: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def banded_edits(a: bytes, b: bytes, band: int) -> int:
-    """Least edits that turn a into some part of b, b's start being a's less ``band``; more than ``band`` counts as band + 1."""
-    width = 2 * band + 1
-    row = [0] * width  # row[k]: edits of a[:i] against b ending at i + k
+def banded_edits(a: bytes, band: bytes) -> int:
+    """Least edits that turn a into some part of band, the text between the outer diagonals; a column of the alignment is one integer, bit i for row i."""
+    peq: dict[int, int] = {}
     for i, x in enumerate(a):
-        new, left = [band + 1] * width, band + 1
-        for k in range(width):
-            j = i + k
-            best = row[k] + (j >= len(b) or b[j] != x)
-            if k + 1 < width and row[k + 1] + 1 < best:
-                best = row[k + 1] + 1
-            if left + 1 < best:
-                best = left + 1
-            new[k] = left = best
-        if min(new) > band:
-            return band + 1
-        row = new
-    return min(row)
+        peq[x] = peq.get(x, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, edits = full, 0, len(a)
+    best = edits
+    for x in band:
+        eq = peq.get(x, 0)
+        v = eq | down
+        h = (((eq & up) + up) ^ up) | eq
+        ph, mh = (down | ~(h | up)) & full, up & h
+        if ph & top:
+            edits += 1
+        elif mh & top:
+            edits -= 1
+            best = min(best, edits)
+        ph, mh = ph << 1, mh << 1
+        up, down = (mh | ~(v | ph)) & full, ph & v & full
+    return best
 
 
 class Items:
@@ -104,6 +107,7 @@ class Items:
         item, ipos, dpos, band = item[order], ipos[order], dpos[order], band[order]
         cut = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (band[1:] != band[:-1])])
         best: dict[int, tuple] = {}
+        seen: dict[tuple, int] = {}
         runs: set[str] | None = None
         for s, t in zip(cut, np.r_[cut[1:], len(item)]):
             if t - s < self.bound:
@@ -119,7 +123,9 @@ class Items:
             part = self.text[i][a0 : a0 + self.least]
             reach = wide + self.edits
             start = max(0, d0 - reach)
-            e = banded_edits(part, b"\0" * max(0, reach - d0) + doc[start : d0 + len(part) + reach], reach)
+            near = doc[start : d0 + len(part) + reach]
+            if (e := seen.get((part, d0))) is None:  # items that share a passage are aligned once
+                e = seen[part, d0] = 0 if part in near else banded_edits(part, near)
             if e <= self.edits:
                 if runs is None:
                     runs = {" ".join(toks[x : x + self.words]) for x in range(len(toks) - self.words + 1)}
