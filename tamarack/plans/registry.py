@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import general
+from . import general, read_api
 
-PARTS = (general,)
+PARTS = (general, read_api)
 
 
 def flagship(spark, sf):
-    return general.p4_by_period(spark, sf)
+    return read_api.QUERIES["opportunity_candidates"](spark, sf)
 
 
 def queries() -> dict:
