@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import general, read_api
+from . import general, metrics, read_api
 
-PARTS = (general, read_api)
+PARTS = (general, read_api, metrics)
 
 
 def flagship(spark, sf):
