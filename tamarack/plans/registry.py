@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import general, metrics, read_api
+from . import general, metrics, read_api, text
 
-PARTS = (general, read_api, metrics)
+PARTS = (general, read_api, metrics, text)
 
 
 def flagship(spark, sf):
