@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import general, metrics, read_api, text
+from . import general, metrics, read_api, text, vectors
 
-PARTS = (general, read_api, metrics, text)
+PARTS = (general, read_api, metrics, text, vectors)
 
 
 def flagship(spark, sf):
