@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import general, metrics, read_api, text, vectors
+from . import general, metrics, pipeline, read_api, text, vectors
 
-PARTS = (general, read_api, metrics, text, vectors)
+PARTS = (general, read_api, metrics, text, vectors, pipeline)
 
 
 def flagship(spark, sf):
