@@ -58,6 +58,8 @@ def find_near(quote: str, sources: list[tuple[int | None, str]]) -> tuple[int |
     match.set_seq2(q)
     found: list[tuple[float, int, int, int]] = []
     words = set(q.split())
+    far = need - K.FUZZY_MARGIN
+    low, high = max(K.SPAN_LOW, far / (2 - far)), min(K.SPAN_HIGH, (2 - far) / far)  # lengths at which that ratio can be met
     share = max(1, int(0.4 * n))  # a span that near keeps at least so many of the quote's words
     for k, (_, source) in enumerate(sources):
         s, at = normalised(source)
@@ -70,10 +72,10 @@ def find_near(quote: str, sources: list[tuple[int | None, str]]) -> tuple[int |
                 if same[i + size] - same[i] < share:
                     continue
                 a, b = toks[i].start(), toks[i + size - 1].end()
-                if not K.SPAN_LOW * len(q) <= b - a <= K.SPAN_HIGH * len(q):
+                if not low * len(q) <= b - a <= high * len(q):
                     continue
                 match.set_seq1(s[a:b])
-                if match.real_quick_ratio() >= need - K.FUZZY_MARGIN and match.quick_ratio() >= need - K.FUZZY_MARGIN and (r := match.ratio()) >= need - K.FUZZY_MARGIN:
+                if match.real_quick_ratio() >= far and match.quick_ratio() >= far and (r := match.ratio()) >= far:
                     found.append((r, k, at[a], at[b - 1] + 1))
     if not found:
         return None
