@@ -25,7 +25,7 @@ from ..session import Scratch
 from .components import connected_components
 
 SHARE, MAX_WORDS, DIMS, SIGNS, SUBJECT = 0.003, 3000, 64, 64, 1.35
-K, CHUNK, ROUNDS, MOVES = 10, 1024, 3, 6
+K, CHUNK, ROUNDS, MOVES = 10, 1024, 10, 6
 #: Least cosine of linked records, and of the centroids of communities that are one.
 LINK, SAME = 0.88, 0.9
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
@@ -75,7 +75,7 @@ def word_vectors(rows: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarra
         p = np.where(m > 0, np.log(m * m.sum() / np.maximum(s * s.T, 1e-12)), 0.0)
     p = np.maximum(p - 0.3, 0)
     val, vec = np.linalg.eigh(p)
-    top = np.argsort(-np.abs(val))[:DIMS]
+    top = np.argsort(-np.abs(val))[: min(DIMS, max(4, v // 4))]  # fewer than words, or different words never come close
     e = vec[:, top] * np.sqrt(np.abs(val[top]))
     if e.shape[1] < DIMS:
         e = np.pad(e, ((0, 0), (0, DIMS - e.shape[1])))
@@ -243,7 +243,7 @@ def _descend(edges: DataFrame, nodes: DataFrame, turn: int, least: float) -> Dat
 
 def neighbour_graph(nodes: DataFrame, scratch: Scratch, least: float = 0.6) -> DataFrame:
     """(u, v, sim): up to K nearest neighbours of every node of at least that cosine."""
-    start = _block_neighbours(nodes, ["subject", "place", "id"], 0, least).unionByName(_block_neighbours(nodes, ["subject", "id"], CHUNK // 2, least))
+    start = _block_neighbours(nodes, ["subject", "place", "id"], 0, least).unionByName(_block_neighbours(nodes, ["subject", "id"], CHUNK // 2, least)).unionByName(_block_neighbours(nodes, ["place", "id"], 0, least))
     edges = scratch.write(_best(start), "edges")
     n = edges.count()
     for turn in range(ROUNDS):

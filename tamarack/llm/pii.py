@@ -34,6 +34,7 @@ their them then there these they thing this those though through time to today t
 would year yes yesterday yet you your zwei kunden der die das ein eine mit von und hat ich wir les des une avec pour dans los las una con para por que""".split()
 )
 _NOT_NAME = frozenset("plan plans ledger point account tier edition version app street road avenue lane drive court close row way place inc llc ltd gmbh monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december spring summer autumn winter german french spanish english edit support post comment".split())
+_NOT_STREET = frozenset("a an and are as at be but by for from had has have he her his i if in is it its just me my no not of on or our out she so than that the their them then there these they this those to was we were when which who will with you your days hours minutes people users clients tickets times votes".split())
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Señor|Señora|Monsieur|Madame)"
 #: What stands right before a person's name, and what may have to follow where the cue alone says little.
 _BEFORE = {
@@ -59,7 +60,7 @@ _NOT_PHONE_AFTER = re.compile(r"(?i)\s*(?:is the affected|rows\b|items?\b|is sti
 _ID = re.compile(
     r"(?i)(?:\b(?:ssn|social security(?: number| no\.?)?|social(?: insurance)?(?: number| no\.?)?|national insurance(?: number| no\.?)?|ni (?:no\.?|number)|nino|passports?(?: number| no\.?)?|(?:national )?id card(?: number| no\.?)?|identity card(?: number| no\.?)?|"
     r"tax (?:id|number|no\.?|identification number)|tin|driver'?s?,? licen[cs]e(?: number| no\.?)?|driving licen[cs]e(?: number| no\.?)?|licen[cs]e(?: number| no\.?)?|insurance number|personal(?: id)? number|nie|dni|nif|steuer-?id(?:entifikationsnummer)?|steuernummer|ausweis(?:nummer)?|reisepass(?:nummer)?|"
-    r"personalausweis(?:nummer)?|sozialversicherungsnummer|numéro de sécurité sociale|sécurité sociale|passeport|pasaporte|carte d'identité)\b(?:\s+(?:on file|is|was|of mine))?[\s,:;.#-]{0,3})([A-Z]{0,4}[ -]?\d[A-Z0-9]*(?:[ -][A-Z0-9]*\d[A-Z0-9]*|[ -][A-Z](?![a-zA-Z]))*)"
+    r"personalausweis(?:nummer)?|sozialversicherungsnummer|numéro de sécurité sociale|sécurité sociale|passeport|pasaporte|carte d'identité)\b(?:\s+(?:on file|is|was|of mine))?[\s,:;.#-]{0,3})([A-Z]{0,6}[ -]?\d[A-Z0-9]*(?:[ -][A-Z0-9]*\d[A-Z0-9]*|[ -][A-Z](?![a-zA-Z]))*)"
 )
 _ID_SHAPES = re.compile(r"\b(?:[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[XYZ]\d{7}[A-Z])\b")
 _SSN = re.compile(r"(?i)\bmy (?:number|social)[^.!?\n]{0,20}?(\d{3}-\d{2}-\d{4})")
@@ -147,7 +148,7 @@ def spans(text: str | None) -> list[tuple[int, int, str, str]]:
                 s, e = m.span()
                 if not free(s, e):
                     continue
-                if k == 0 and any(w.lower().strip(".'’") in _COMMON for w in m.group(1).split()):
+                if k == 0 and any(w.lower().strip(".'’") in _NOT_STREET for w in m.group(1).split()):
                     continue
                 if p := _PLACE.match(text, e):
                     if p.group().lstrip(" ,/").split()[0].lower() not in _COMMON or re.match(r"\s+in\s", p.group()):
@@ -190,7 +191,7 @@ def spans(text: str | None) -> list[tuple[int, int, str, str]]:
             if rest and not re.match(rest, text[e : e + 16]):
                 continue
         else:
-            if comma or a.isupper() or len(a) < 4 or len(b) < 4:
+            if comma or a.isupper() or len(a) < 3 or len(b) < 4:
                 continue
             before = text[:s]
             if not before or _END.search(before) or re.search(r"[\d,/]\s*$|\b(?:in|at|the|a|an|der|die|das|den|dem|mit|von|bei|le|la|les|el|los|las|rue|plan)\s*$", before, re.I):
