@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from ..adapter import Views, with_tables
 from ..functions import quotes
+from ..operators import apply as A
+from ..operators import extract as X
 from ..operators import promote as P
+from ..operators import vectors as V
 from ..session import Scratch
 from ..sources import listing as L
 from ..streaming import promotion as S
@@ -21,7 +24,35 @@ def _links(v: Views, t: float):
     return P.promote(e.where("id > 60"), e.where("id <= 60"), t)
 
 
+def _merges(v: Views):
+    d = v.raw("merge_decisions").where("duplicates and painpoint_a < painpoint_b and painpoint_a % 5 = 1 and painpoint_b % 5 = 2").groupBy(F.col("painpoint_b").alias("loser")).agg(F.min("painpoint_a").alias("survivor"))
+    return d.join(v.painpoints.select(F.col("id").alias("survivor")), "survivor", "left_semi")
+
+
+def _cat_merges(v: Views):
+    c = v.categories
+    return c.where("id % 10 = 3").select((F.col("id") - 1).alias("survivor"), F.col("id").alias("loser")).join(c.select(F.col("id").alias("survivor")), "survivor", "left_semi")
+
+
+def _deleted(v: Views):
+    return A.delete_categories(v.categories, v.painpoints, v.pendings.where("category_id % 3 = 0"), v.categories.where("id % 4 = 2 and not is_seed").select("id"))
+
+
+def _gold(v: Views):
+    p = v.painpoints
+    return v.raw("merge_decisions").select(F.col("decision_id").cast("string").alias("id"), "painpoint_a", "painpoint_b", F.when(F.col("duplicates"), "positive").when(~F.col("duplicates"), "negative").alias("label")).join(p.select(F.col("id").alias("painpoint_a"), F.col("title").alias("a")), "painpoint_a", "left").join(p.select(F.col("id").alias("painpoint_b"), F.col("description").alias("b")), "painpoint_b", "left")
+
+
 _Q = {
+    "apply_reroute": lambda v: A.move_members(v.painpoints, v.painpoints.where("id % 17 = 0").select("id", (F.col("id") % 20 + 1).alias("target")), "2026-01-01").select("id", "category_id", F.date_format("last_updated", "yyyy-MM-dd HH:mm:ss").alias("updated")),
+    "apply_painpoint_merge": lambda v: A.merge_painpoints(v.painpoints, v.bridge, _merges(v))[0].select("id", "signal_count"),
+    "apply_painpoint_merge_sources": lambda v: A.merge_painpoints(v.painpoints, v.bridge, _merges(v))[1],
+    "apply_category_merge": lambda v: A.merge_categories(v.categories, v.painpoints, _cat_merges(v))[0].select("id", "parent_id"),
+    "apply_category_merge_members": lambda v: A.merge_categories(v.categories, v.painpoints, _cat_merges(v))[1].select("id", "category_id"),
+    "apply_delete": lambda v: _deleted(v)[1].select("id", "category_id"),
+    "apply_delete_audit": lambda v: _deleted(v)[2],
+    "gold_violations": lambda v: X.gold_violations(_gold(v)),
+    "components_renumbered": lambda v: X.renumber(V.components(v.raw("merge_decisions").where("duplicates").select(F.col("painpoint_a").alias("id_a"), F.col("painpoint_b").alias("id_b")))).select("label", "size", F.col("number").cast("long").alias("number")),
     "promote": lambda v: _links(v, 0.38).select("id", "action", "target", F.round("sim", 6).alias("sim")),
     "pending_dedup": lambda v: (lambda e: P.save_pendings(e.where("id > 60"), e.where("id <= 60"), 0.42))(_items(v)).select("id", "action", "target", F.round("sim", 6).alias("sim")),
     "promoted_signals": lambda v: P.apply_links(v.painpoints.withColumn("signal_count", F.col("signal_count").cast("long")), _links(v, 0.38), v.pendings, v.sources)[0].select("id", "signal_count"),
@@ -32,7 +63,21 @@ _Q = {
 }
 QUERIES = {k: (lambda spark, sf, f=f: f(Views(spark, sf))) for k, f in _Q.items()}
 
+_MERGES = """m AS (SELECT min(painpoint_a) AS survivor, painpoint_b AS loser FROM merge_decisions WHERE duplicates AND painpoint_a < painpoint_b AND painpoint_a % 5 = 1 AND painpoint_b % 5 = 2 GROUP BY 2 HAVING min(painpoint_a) IN (SELECT id FROM painpoints))"""
+_CM = "m AS (SELECT id - 1 AS survivor, id AS loser FROM categories WHERE id % 10 = 3 AND id - 1 IN (SELECT id FROM categories))"
+_DEL = """e AS (SELECT id, parent_id, id IN (SELECT parent_id FROM categories WHERE parent_id IS NOT NULL) OR id IN (SELECT category_id FROM pending_painpoints WHERE category_id % 3 = 0) AS used FROM categories WHERE id % 4 = 2 AND NOT is_seed)"""
+_REACH = """n2 AS (SELECT painpoint_a AS a, painpoint_b AS b FROM merge_decisions WHERE duplicates UNION SELECT painpoint_b, painpoint_a FROM merge_decisions WHERE duplicates), reach AS (SELECT a AS id, a AS node FROM n2 UNION SELECT r.id, n2.b FROM reach r JOIN n2 ON n2.a = r.node)"""
+
 ORACLE = {
+    "apply_reroute": "SELECT id, CASE WHEN id % 17 = 0 THEN id % 20 + 1 ELSE category_id END AS category_id, strftime(CASE WHEN id % 17 = 0 THEN TIMESTAMP '2026-01-01' ELSE last_updated END, '%Y-%m-%d %H:%M:%S') AS updated FROM painpoints",
+    "apply_painpoint_merge": f"WITH {_MERGES} SELECT id, CAST(signal_count + coalesce((SELECT sum(x.signal_count) FROM m JOIN painpoints x ON x.id = m.loser WHERE m.survivor = p.id), 0) AS BIGINT) AS signal_count FROM painpoints p WHERE id NOT IN (SELECT loser FROM m)",
+    "apply_painpoint_merge_sources": with_tables("SELECT DISTINCT coalesce(m.survivor, b.painpoint_id) AS painpoint_id, b.pending_painpoint_id FROM PS b LEFT JOIN m ON m.loser = b.painpoint_id", _MERGES),
+    "apply_category_merge": f"WITH {_CM} SELECT c.id, CASE WHEN m.survivor = c.id THEN NULL ELSE coalesce(m.survivor, c.parent_id) END AS parent_id FROM categories c LEFT JOIN m ON m.loser = c.parent_id WHERE c.id NOT IN (SELECT loser FROM m)",
+    "apply_category_merge_members": f"WITH {_CM} SELECT p.id, coalesce(m.survivor, p.category_id) AS category_id FROM painpoints p LEFT JOIN m ON m.loser = p.category_id",
+    "apply_delete": f"WITH {_DEL} SELECT p.id, CASE WHEN e.id IS NOT NULL THEN coalesce(e.parent_id, 1) ELSE p.category_id END AS category_id FROM painpoints p LEFT JOIN e ON e.id = p.category_id AND NOT e.used",
+    "apply_delete_audit": f"WITH {_DEL} SELECT id, NOT used AS accepted, CASE WHEN used THEN 'apply error: still referenced' ELSE 'applied' END AS reason FROM e",
+    "gold_violations": "SELECT CAST(decision_id AS VARCHAR) AS id, why FROM (SELECT decision_id, CASE WHEN trim(coalesce(a.title, '')) = '' OR trim(coalesce(b.description, '')) = '' THEN 'empty text' WHEN duplicates IS NULL THEN 'unknown label' WHEN count(*) OVER (PARTITION BY decision_id) > 1 THEN 'id twice' END AS why FROM merge_decisions d LEFT JOIN painpoints a ON a.id = d.painpoint_a LEFT JOIN painpoints b ON b.id = d.painpoint_b) WHERE why IS NOT NULL",
+    "components_renumbered": f"WITH RECURSIVE {_REACH}, lab AS (SELECT id, min(node) AS label FROM reach GROUP BY 1) SELECT label, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, label) AS number FROM lab GROUP BY 1",
     "stream_event_counts": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "batch_packing": with_tables("SELECT subreddit AS grp, id, tokens, batch FROM f", """t AS (SELECT p.subreddit, p.id, CAST(greatest(1, (length(coalesce(title, '')) + length(coalesce(selftext, '')) + coalesce((SELECT sum(length(coalesce(body, ''))) FROM C c WHERE c.post_id = p.id), 0)) // 4) AS BIGINT) AS tokens FROM P p),
 o AS (SELECT *, row_number() OVER (PARTITION BY subreddit ORDER BY id) AS n FROM t),
