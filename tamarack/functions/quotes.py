@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from difflib import SequenceMatcher
-from itertools import accumulate
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ _SPECIAL = re.compile(r"[$€£]\d[\d,.]*|\d{4}-\d{2}-\d{2}|\d+(?:[.,]\d+)*%?|\b
 REPAIRED = "kept boolean, text string, comment_id long, attribution_fixed boolean, fuzzy boolean, numeric boolean"
 
 
+@lru_cache(8192)  # a post's sources are read for each of its quotes
 def normalised(text: str) -> tuple[str, list[int]]:
     """The text without emphasis marks, in small letters, white space collapsed; and each letter's place in the original."""
     out: list[str] = []
@@ -56,27 +58,40 @@ def find_near(quote: str, sources: list[tuple[int | None, str]]) -> tuple[int |
     need = 0.95 if n <= 6 else 0.92 if n <= 12 else 0.90
     match = SequenceMatcher(autojunk=False)
     match.set_seq2(q)
-    found: list[tuple[float, int, int, int]] = []
-    words = set(q.split())
     far = need - K.FUZZY_MARGIN
     low, high = max(K.SPAN_LOW, far / (2 - far)), min(K.SPAN_HIGH, (2 - far) / far)  # lengths at which that ratio can be met
+    words = set(q.split())
     share = max(1, int(0.4 * n))  # a span that near keeps at least so many of the quote's words
+    letters = {c: i for i, c in enumerate(sorted(set(q)))}
+    have = np.bincount([letters[c] for c in q], minlength=len(letters))
+    spans: list[tuple[float, int, int, int]] = []  # the ratio that the letters allow at most, source, from, to
     for k, (_, source) in enumerate(sources):
-        s, at = normalised(source)
+        s, _ = normalised(source)
         toks = list(_TOKEN.finditer(s))
-        same = list(accumulate((t.group() in words for t in toks), initial=0))
+        same = np.cumsum([0, *(t.group() in words for t in toks)])
         if same[-1] < share:
             continue
-        for size in range(max(1, int(n * K.SPAN_LOW)), int(n * K.SPAN_HIGH) + 1):
-            for i in range(len(toks) - size + 1):
-                if same[i + size] - same[i] < share:
-                    continue
-                a, b = toks[i].start(), toks[i + size - 1].end()
-                if not low * len(q) <= b - a <= high * len(q):
-                    continue
-                match.set_seq1(s[a:b])
-                if match.real_quick_ratio() >= far and match.quick_ratio() >= far and (r := match.ratio()) >= far:
-                    found.append((r, k, at[a], at[b - 1] + 1))
+        ab = [(toks[i].start(), toks[i + size - 1].end()) for size in range(max(1, int(n * K.SPAN_LOW)), int(n * K.SPAN_HIGH) + 1) for i in range(len(toks) - size + 1) if same[i + size] - same[i] >= share]
+        ab = np.array([x for x in ab if low * len(q) <= x[1] - x[0] <= high * len(q)], int).reshape(-1, 2)
+        if not len(ab):
+            continue
+        upto = np.zeros((len(s) + 1, len(letters)), np.int32)
+        for i, c in enumerate(s):
+            if c in letters:
+                upto[i + 1, letters[c]] = 1
+        upto = upto.cumsum(0)
+        most = 2.0 * np.minimum(upto[ab[:, 1]] - upto[ab[:, 0]], have).sum(1) / (len(q) + ab[:, 1] - ab[:, 0])
+        spans += [(float(m), k, int(x), int(y)) for m, (x, y) in zip(most, ab) if m >= far]
+    found: list[tuple[float, int, int, int]] = []
+    top = 0.0
+    for m, k, a, b in sorted(spans, key=lambda x: -x[0]):
+        if m < max(far, top - K.FUZZY_MARGIN):  # neither the best nor within the margin of it
+            break
+        s, at = normalised(sources[k][1])
+        match.set_seq1(s[a:b])
+        if (r := match.ratio()) >= far:
+            found.append((r, k, at[a], at[b - 1] + 1))
+            top = max(top, r)
     if not found:
         return None
     best = max(found, key=lambda f: (f[0], -f[1], -f[2]))
