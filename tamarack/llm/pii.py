@@ -71,6 +71,16 @@ _ADDRESS = (
     re.compile(r"\b[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|graben|ufer|damm|steig|chaussee)\s+\d{1,4}(?:\s?[a-z]\b)?\b", re.I),
     re.compile(r"(?i)\b(?:calle|c/|avenida|avda\.?|plaza|paseo|carrer|camino|via|viale|piazza|corso)\s+(?:(?:de|del|la|las|los|el|di|della)\s+)*[^\W\d_][\w'’-]*(?:\s+[A-Z][\w'’-]*)?,?\s*(?:n[º°o]\.?\s*)?\d{1,4}\b"),
 )
+#: A pattern is only tried on a text that holds one of these, as each match must.
+_NEED_ID = ("ssn", "social", "insurance", "ni no", "ni number", "nino", "passport", "id card", "identity", "tax", "tin", "licen", "personal", "nie", "dni", "nif", "steuer", "ausweis", "pass", "sécurité", "carte", "pasaporte", "sozial")
+_NEED_ADDRESS = (
+    ("st", "av", "ro", "rd", "la", "dr", "ct", "court", "cl", "way", "pl", "sq", "terrace", "crescent", "b", "hill", "g", "parade", "quay", "mews"),
+    ("rue", "avenue", "boulevard", "place", "chemin", "allée", "quai", "impasse", "route", "cours"),
+    ("am ", "an de", "auf de", "im ", "in der", "zum ", "zur ", "beim ", "unter den"),
+    ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "ring", "graben", "ufer", "damm", "steig", "chaussee"),
+    ("calle", "c/", "avenida", "avda", "plaza", "paseo", "carrer", "camino", "via", "piazza", "corso"),
+)
+_DIGIT = re.compile(r"\d")
 _PLACE = re.compile(r"(?i)(?:\n[A-ZÄÖÜ][\w-]+,\s*[A-Z]{2}\s+\d{5}|[,/]?\s*(?:in\s+)?\d{5}\s+[A-ZÄÖÜ][\w-]+|(?:\s*[,/]\s*|\s+in\s+)[A-ZÄÖÜ][\w-]+(?:,\s*[A-Z]{2}\s+\d{5}|\s+[A-Z]{1,2}\d{1,2}[A-Z]?\s+\d[A-Z]{2})?)")
 _CAP = r"[A-ZÀ-ÖØ-ÞŠŽ][\w'’]+(?:-[A-ZÀ-ÖØ-ÞŠŽ][\w'’]+)?"
 _NAME_TITLE = re.compile(rf"\b{_TITLE}\.?\s+(?:{_CAP}\s+)?{_CAP}")
@@ -133,18 +143,20 @@ def spans(text: str | None) -> list[tuple[int, int, str, str]]:
         for m in (m for rx in _EMAIL_HIDDEN for m in rx.finditer(text)):
             if free(*m.span()) and not re.search(r"\d\s*@\s*\d", m.group()):
                 add(*m.span(), "email", _email_canon(m.group()))
-    if any(c.isdigit() for c in text):
-        for m in _ID.finditer(text):
-            s, e = m.span(1)
-            v = m.group(1)
-            if sum(c.isdigit() for c in v) >= 5 and free(s, e):
-                add(s, e, "id_number", re.sub(r"[\s-]", "", v).upper())
-        for rx, g in ((_ID_SHAPES, 0), (_SSN, 1)):
+    digits = len(_DIGIT.findall(text))
+    if digits:
+        if digits >= 5 and any(w in low for w in _NEED_ID):
+            for m in _ID.finditer(text):
+                s, e = m.span(1)
+                v = m.group(1)
+                if sum(c.isdigit() for c in v) >= 5 and free(s, e):
+                    add(s, e, "id_number", re.sub(r"[\s-]", "", v).upper())
+        for rx, g in ((_ID_SHAPES, 0), (_SSN, 1)) if digits >= 6 else ():
             for m in rx.finditer(text):
                 if free(*m.span(g)):
                     add(*m.span(g), "id_number", re.sub(r"[\s-]", "", m.group(g)))
         for k, rx in enumerate(_ADDRESS):
-            for m in rx.finditer(text):
+            for m in rx.finditer(text) if any(w in low for w in _NEED_ADDRESS[k]) else ():
                 s, e = m.span()
                 if not free(s, e):
                     continue
@@ -154,7 +166,7 @@ def spans(text: str | None) -> list[tuple[int, int, str, str]]:
                     if p.group().lstrip(" ,/").split()[0].lower() not in _COMMON or re.match(r"\s+in\s", p.group()):
                         e = p.end()
                 add(s, e, "address", re.sub(r"[\W_]+", " ", text[s:e].lower()).strip())
-        for m in _PHONE.finditer(text):
+        for m in _PHONE.finditer(text) if digits >= 7 else ():
             s, e = m.span()
             if free(s, e) and _is_phone(m.group(1)) and not _NOT_PHONE.search(text, max(0, s - 24), s) and not _NOT_PHONE_AFTER.match(text, e):
                 add(s, e, "phone", _digits(m.group(1)))
