@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 WORDS = 12
 EDITS = 2
 BLOCK_CHARS = 2_000_000
+SHORT = 6
 _WORD = re.compile(r"[^\W_]+")
 _SCHEMA = "doc_id long, item_id long, shared_qgrams int, doc_from int, item_from int, edits int, shared_run boolean"
 
@@ -84,6 +85,12 @@ class Items:
         self.item = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])[order] if grams else np.empty(0, np.int32)
         self.pos = (np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams]) if grams else np.empty(0, np.int32))[order]
 
+    def may_align(self, part: bytes, near: bytes) -> bool:
+        """The lemma once more, with short q-grams: within the edits, all but SHORT for each edit are shared."""
+        have = {near[i : i + SHORT] for i in range(len(near) - SHORT + 1)}
+        n = len(part) - SHORT + 1
+        return sum(part[i : i + SHORT] in have for i in range(n)) >= n - SHORT * self.edits
+
     def match(self, text: str | None) -> list[tuple]:
         """(item index, shared q-grams, start in the document, start in the item, edits, shares a run of words) of every item with a passage in the text."""
         toks = words_of(text)
@@ -125,7 +132,7 @@ class Items:
             start = max(0, d0 - reach)
             near = doc[start : d0 + len(part) + reach]
             if (e := seen.get((part, d0))) is None:  # items that share a passage are aligned once
-                e = seen[part, d0] = 0 if part in near else banded_edits(part, near)
+                e = seen[part, d0] = 0 if part in near else banded_edits(part, near) if self.may_align(part, near) else self.edits + 1
             if e <= self.edits:
                 if runs is None:
                     runs = {" ".join(toks[x : x + self.words]) for x in range(len(toks) - self.words + 1)}
