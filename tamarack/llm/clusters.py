@@ -26,6 +26,8 @@ from .components import connected_components
 
 SHARE, MAX_WORDS, DIMS, SIGNS, SUBJECT = 0.003, 3000, 64, 64, 1.35
 K, CHUNK, ROUNDS, MOVES = 10, 1024, 10, 6
+#: Neighbour descent ends when a round does not raise the sum of all similarities by this factor.
+GAIN = 1.005
 #: Least cosine of linked records, and of the centroids of communities that are one.
 LINK, SAME = 0.88, 0.9
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
@@ -245,16 +247,16 @@ def neighbour_graph(nodes: DataFrame, scratch: Scratch, least: float = 0.6) -> D
     """(u, v, sim): up to K nearest neighbours of every node of at least that cosine."""
     start = _block_neighbours(nodes, ["subject", "place", "id"], 0, least).unionByName(_block_neighbours(nodes, ["subject", "id"], CHUNK // 2, least)).unionByName(_block_neighbours(nodes, ["place", "id"], 0, least))
     edges = scratch.write(_best(start), "edges")
-    n = edges.count()
+    total = edges.agg(F.sum("sim")).first()[0] or 0.0
     for turn in range(ROUNDS):
         new = scratch.write(_descend(edges, nodes, turn, least), "better")
-        found = new.count()
-        if not found:
+        if new.isEmpty():
             break
         old, edges = edges, scratch.write(_best(edges.unionByName(new)), "edges")
         scratch.drop(old)
         scratch.drop(new)
-        if found < 0.02 * n:
+        before, total = total, edges.agg(F.sum("sim")).first()[0]
+        if total < before * GAIN:
             break
     return edges
 
