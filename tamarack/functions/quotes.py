@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..sources.listing import top_comments
+from ..session import Scratch
 
 _PLAIN = str.maketrans({"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", " ": " "})
 _TOKEN = re.compile(r"\S+")
@@ -49,47 +51,65 @@ def find_exact(quote: str, source: str) -> str | None:
     return source[at[i] : at[i + len(q) - 1] + 1] if i >= 0 else None
 
 
-def find_near(quote: str, sources: list[tuple[int | None, str]]) -> tuple[int | None, str] | None:
-    """The one span of the sources that is near enough and nearer than all that don't overlap it, by the margin."""
-    q, _ = normalised(quote)
-    n = len(q.split())
-    if n < 4:
-        return None
-    need = 0.95 if n <= 6 else 0.92 if n <= 12 else 0.90
-    match = SequenceMatcher(autojunk=False)
-    match.set_seq2(q)
-    far = need - K.FUZZY_MARGIN
-    low, high = max(K.SPAN_LOW, far / (2 - far)), min(K.SPAN_HIGH, (2 - far) / far)  # lengths at which that ratio can be met
-    words = set(q.split())
-    share = max(1, int(0.4 * n))  # a span that near keeps at least so many of the quote's words
-    letters = {c: i for i, c in enumerate(sorted(set(q)))}
-    have = np.bincount([letters[c] for c in q], minlength=len(letters))
-    spans: list[tuple[float, int, int, int]] = []  # the ratio that the letters allow at most, source, from, to
-    for k, (_, source) in enumerate(sources):
-        s, _ = normalised(source)
+def needed(n: int) -> float:
+    """The least ratio of a span that stands for a quote of n words."""
+    return 0.95 if n <= 6 else 0.92 if n <= 12 else 0.90
+
+
+class Near:
+    """Spans near a normalised quote: those that may have at least a ratio, and their ratios."""
+
+    def __init__(self, q: str, far: float) -> None:
+        self.q, self.far, self.n = q, far, len(q.split())
+        self.match = SequenceMatcher(autojunk=False)
+        self.match.set_seq2(q)
+        self.low, self.high = max(K.SPAN_LOW, far / (2 - far)), min(K.SPAN_HIGH, (2 - far) / far)  # lengths at which that ratio can be met
+        self.words = set(q.split())
+        self.share = max(1, int(0.4 * self.n))  # a span that near keeps at least so many of the quote's words
+        self.letters = {c: i for i, c in enumerate(sorted(set(q)))}
+        self.have = np.bincount([self.letters[c] for c in q], minlength=len(self.letters))
+
+    def spans(self, s: str) -> list[tuple[float, int, int]]:
+        """The ratio that the letters allow at most, from, to."""
+        q, n, letters = self.q, self.n, self.letters
         toks = list(_TOKEN.finditer(s))
-        same = np.cumsum([0, *(t.group() in words for t in toks)])
-        if same[-1] < share:
-            continue
-        ab = [(toks[i].start(), toks[i + size - 1].end()) for size in range(max(1, int(n * K.SPAN_LOW)), int(n * K.SPAN_HIGH) + 1) for i in range(len(toks) - size + 1) if same[i + size] - same[i] >= share]
-        ab = np.array([x for x in ab if low * len(q) <= x[1] - x[0] <= high * len(q)], int).reshape(-1, 2)
+        same = np.cumsum([0, *(t.group() in self.words for t in toks)])
+        if same[-1] < self.share:
+            return []
+        ab = [(toks[i].start(), toks[i + size - 1].end()) for size in range(max(1, int(n * K.SPAN_LOW)), int(n * K.SPAN_HIGH) + 1) for i in range(len(toks) - size + 1) if same[i + size] - same[i] >= self.share]
+        ab = np.array([x for x in ab if self.low * len(q) <= x[1] - x[0] <= self.high * len(q)], int).reshape(-1, 2)
         if not len(ab):
-            continue
+            return []
         upto = np.zeros((len(s) + 1, len(letters)), np.int32)
         for i, c in enumerate(s):
             if c in letters:
                 upto[i + 1, letters[c]] = 1
         upto = upto.cumsum(0)
-        most = 2.0 * np.minimum(upto[ab[:, 1]] - upto[ab[:, 0]], have).sum(1) / (len(q) + ab[:, 1] - ab[:, 0])
-        spans += [(float(m), k, int(x), int(y)) for m, (x, y) in zip(most, ab) if m >= far]
+        most = 2.0 * np.minimum(upto[ab[:, 1]] - upto[ab[:, 0]], self.have).sum(1) / (len(q) + ab[:, 1] - ab[:, 0])
+        return [(float(m), int(x), int(y)) for m, (x, y) in zip(most, ab) if m >= self.far]
+
+    def ratio(self, span: str) -> float:
+        self.match.set_seq1(span)
+        return self.match.ratio()
+
+
+def find_near(quote: str, sources: list[tuple[int | None, str]]) -> tuple[int | None, str] | None:
+    """The one span of the sources that is near enough and nearer than all that don't overlap it, by the margin."""
+    q, _ = normalised(quote)
+    n = len(q.split())
+    if n < 4:
+        return None
+    need = needed(n)
+    far = need - K.FUZZY_MARGIN
+    near = Near(q, far)
+    spans = [(m, k, a, b) for k, (_, source) in enumerate(sources) for m, a, b in near.spans(normalised(source)[0])]
     found: list[tuple[float, int, int, int]] = []
     top = 0.0
     for m, k, a, b in sorted(spans, key=lambda x: -x[0]):
         if m < max(far, top - K.FUZZY_MARGIN):  # neither the best nor within the margin of it
             break
         s, at = normalised(sources[k][1])
-        match.set_seq1(s[a:b])
-        if (r := match.ratio()) >= far:
+        if (r := near.ratio(s[a:b])) >= far:
             found.append((r, k, at[a], at[b - 1] + 1))
             top = max(top, r)
     if not found:
@@ -116,21 +136,142 @@ def repair(quote: str | None, claimed: int | None, sources: list[tuple[int | Non
     return False, None, None, False, False, False
 
 
-def repair_quotes(pendings: DataFrame, posts: DataFrame, comments: DataFrame, per_post: int = K.PER_POST) -> DataFrame:
-    """Each observation with its repaired quote. A post's sources are the post and its ``per_post`` best comments, as many as
-    the extraction reads; an unknown post or a blank quote is dropped (kept false)."""
-    best = top_comments(comments, per_post).groupBy("post_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", F.coalesce("body", F.lit("")).alias("text")))).alias("cs"))
-    p = posts.select(F.col("id").alias("post_id"), F.concat_ws("\n", "title", "selftext").alias("post_text")).join(best, "post_id", "left")
+def _trigrams(text: str) -> np.ndarray:
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+
+
+class Sources:
+    """Some of a post's sources, best first, with an index of the letters' trigrams: a text without many of a quote's trigrams
+    holds no span near it, so few texts are read for a quote."""
+
+    def __init__(self, ids: list[int | None], texts: list[str]) -> None:
+        self.ids, self.texts = ids, texts
+        self.norm = [normalised(t)[0] for t in texts]
+        grams = [np.unique(_trigrams(s)) for s in self.norm]
+        gram, doc = np.concatenate(grams), np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        order = np.argsort(gram, kind="stable")
+        self.gram, self.doc = gram[order], doc[order]
+
+    def shared(self, q: str) -> np.ndarray:
+        """Of every text, how many places of the quote have a trigram that it has too."""
+        gram, times = np.unique(_trigrams(q), return_counts=True)
+        a, b = np.searchsorted(self.gram, gram, "left"), np.searchsorted(self.gram, gram, "right")
+        n = b - a
+        at = np.arange(n.sum()) + np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n)
+        return np.bincount(self.doc[at], np.repeat(times, n), len(self.ids))
+
+    def exact(self, quote: str) -> int | None:
+        q, _ = normalised(quote)
+        if not q:
+            return None
+        some = np.flatnonzero(self.shared(q) >= len(q) - 2) if len(q) > 2 else range(len(self.ids))
+        return next((int(k) for k in some if q in self.norm[k]), None)
+
+    def near(self, quote: str, least: float | None = None, only_best: bool = False) -> tuple[float, int, bool, str] | None:
+        """The nearest span of at least that ratio (none: what its words need): its ratio, source, whether another that does not overlap it is within the
+        margin, and its words. only_best: the ratio alone is right."""
+        q, _ = normalised(quote)
+        if (n := len(q.split())) < 4:
+            return None
+        least = needed(n) if least is None else least
+        # a letter left out takes three trigrams, one put in takes two: what is lost bounds the ratio
+        out = (len(q) - 2 - self.shared(q)) / 3
+        most = 1 - out / (2 * len(q) - out)
+        find, found, top = Near(q, least), [], 0.0
+        for k in np.argsort(-most, kind="stable"):
+            if most[k] < (floor := max(least, top - (0 if only_best else K.FUZZY_MARGIN))) - 1e-9:
+                break
+            s, at = normalised(self.texts[k])
+            for m, a, b in sorted(find.spans(s), reverse=True):
+                if m < floor:
+                    break
+                if (r := find.ratio(s[a:b])) >= least:
+                    found.append((r, int(k), at[a], at[b - 1] + 1))
+                    top = max(top, r)
+                    floor = max(floor, top - (0 if only_best else K.FUZZY_MARGIN))
+        if not found:
+            return None
+        r, k, a, b = max(found, key=lambda f: (f[0], -f[1], -f[2]))
+        twice = any(f[0] > r - K.FUZZY_MARGIN and (f[1] != k or f[3] <= a or f[2] >= b) for f in found)
+        return r, k, twice, self.texts[k][a:b]
+
+
+#: Sources of a post that are searched at a time.
+BLOCK = 2048
+_SEARCHED = "post_id long, quoted_text string, missing boolean, negative long, id long, exact string, ratio double, twice boolean, near string"
+
+
+def _search(asks: DataFrame, blocks: DataFrame, near: str) -> DataFrame:
+    """A row for each ask (post_id, quoted_text, least) and block of its post that holds the quote or a span near it. near: best
+    gives the exact finding, else the best ratio; all gives the nearest span."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                cs = r["cs"]
+                src = Sources([c["id"] for c in cs], [c["text"] for c in cs])
+                for ask in r["asks"]:
+                    quote = ask["quoted_text"]
+                    if near == "best" and (k := src.exact(quote)) is not None:
+                        out.append((r["post_id"], quote, cs[k]["missing"], cs[k]["negative"], cs[k]["id"], find_exact(quote, cs[k]["text"]), None, None, None))
+                    elif f := src.near(quote, ask["least"], near == "best"):
+                        out.append((r["post_id"], quote, None, None, src.ids[f[1]], None, f[0], f[2], f[3]))
+            names = [x.split()[0] for x in _SEARCHED.split(", ")]
+            types = [{"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}[x.split()[1]] for x in _SEARCHED.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names)
+
+    per = asks.groupBy("post_id").agg(F.collect_list(F.struct("quoted_text", "least")).alias("asks"))
+    return blocks.join(per, "post_id").repartition("post_id", "block").select("post_id", "cs", "asks").mapInArrow(scan, _SEARCHED)
+
+
+def repair_quotes(pendings: DataFrame, posts: DataFrame, comments: DataFrame) -> DataFrame:
+    """Each observation with its repaired quote. A post's sources are the post and all its comments: the claimed comment is read
+    first, then the post, then the others, best first, in blocks of BLOCK for what is left. An unknown post or a blank quote
+    is dropped (kept false)."""
+    scratch = Scratch(pendings.sparkSession, "quotes")
+    p = posts.select(F.col("id").alias("post_id"), F.concat_ws("\n", "title", "selftext").alias("post_text"))
+    c = comments.select("post_id", F.col("id").alias("comment_id"), F.coalesce("body", F.lit("")).alias("claimed_text"))
 
     @F.pandas_udf(REPAIRED)
-    def run(quote: pd.Series, claimed: pd.Series, post: pd.Series, cs: pd.Series) -> pd.DataFrame:
+    def direct(quote: pd.Series, claimed: pd.Series, post: pd.Series, text: pd.Series) -> pd.DataFrame:
         rows = []
-        for q, c, t, others in zip(quote, claimed, post, cs):
+        for q, c, t, x in zip(quote, claimed, post, text):
             c = None if pd.isna(c) else int(c)
-            src = [] if t is None else [(None, t)] + [(int(o["id"]), o["text"]) for o in (others if others is not None else [])]
-            rows.append(repair(q, c, src))
+            at = None
+            if t is not None and q and q.strip():
+                src = [(None, t)] if x is None else [(c, x), (None, t)]
+                at = next(((i, y) for i, s in src if (y := find_exact(q, s)) is not None), None)
+            rows.append((True, at[1], at[0], at[0] != c, False, False) if at else (False, None, None, False, False, False))
         out = pd.DataFrame(rows, columns=["kept", "text", "comment_id", "attribution_fixed", "fuzzy", "numeric"])
         out["comment_id"] = out["comment_id"].astype("Int64")
         return out
 
-    return pendings.select("id", "post_id", "comment_id", "quoted_text").join(p, "post_id", "left").select("id", run("quoted_text", "comment_id", "post_text", "cs").alias("r")).select("id", "r.*")
+    q = pendings.select("id", "post_id", "comment_id", "quoted_text").join(p, "post_id", "left").join(c, ["post_id", "comment_id"], "left")
+    q = q.withColumn("r", direct("quoted_text", "comment_id", "post_text", "claimed_text")).withColumn("search", ~F.col("r.kept") & F.col("post_text").isNotNull() & (F.trim(F.coalesce("quoted_text", F.lit(""))) != ""))
+    q = scratch.write(q.select("id", "post_id", F.col("comment_id").alias("claimed"), "quoted_text", "search", "r"), "direct")
+
+    asks = q.where("search").select("post_id", "quoted_text").distinct().withColumn("least", F.lit(None).cast("double"))
+    asked = asks.select("post_id").distinct()
+    sources = comments.select("post_id", F.col("score").isNull().alias("missing"), (-F.coalesce("score", F.lit(0))).cast("long").alias("negative"), "id", F.coalesce("body", F.lit("")).alias("text"))
+    sources = sources.unionByName(p.select("post_id", F.lit(False).alias("missing"), F.lit(None).cast("long").alias("negative"), F.lit(None).cast("long").alias("id"), F.col("post_text").alias("text")))
+    sources = sources.join(asked, "post_id", "left_semi")
+    size = sources.groupBy("post_id").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    blocks = sources.join(size, "post_id").groupBy("post_id", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")).agg(F.array_sort(F.collect_list(F.struct("missing", "negative", "id", "text"))).alias("cs"))
+    blocks = scratch.write(blocks, "blocks")
+    first = _search(asks, blocks, "best").groupBy("post_id", "quoted_text").agg(F.min(F.when(F.col("exact").isNotNull(), F.struct("missing", "negative", "id", "exact"))).alias("x"), F.max("ratio").alias("top"))
+    first = scratch.write(first, "first")
+    again = _search(first.where("x is null").select("post_id", "quoted_text", (F.col("top") - K.FUZZY_MARGIN).alias("least")), blocks, "all")
+    span = again.groupBy("post_id", "quoted_text").agg(F.max(F.struct("ratio", "twice", "id", "near")).alias("n"), F.collect_list("ratio").alias("ratios"))
+    span = span.where(~F.col("n.twice") & (F.size(F.filter("ratios", lambda r: r > F.col("n.ratio") - K.FUZZY_MARGIN)) == 1)).select("post_id", "quoted_text", "n")
+
+    @F.pandas_udf("boolean")
+    def changed(near: pd.Series, quote: pd.Series) -> pd.Series:
+        return pd.Series([t is not None and set(_SPECIAL.findall(t)) != set(_SPECIAL.findall(o)) for t, o in zip(near, quote)])
+
+    got = first.join(span, ["post_id", "quoted_text"], "left").select("post_id", "quoted_text", F.coalesce("x.exact", "n.near").alias("text"), F.coalesce("x.id", "n.id").alias("comment_id"), F.col("x").isNull().alias("fuzzy"), changed("n.near", "quoted_text").alias("numeric")).where("text is not null")
+    fixed = ~F.col("s.comment_id").eqNullSafe(F.col("q.claimed"))
+    found = q.alias("q").where("search").join(got.alias("s"), ["post_id", "quoted_text"], "left")
+    found = found.select("q.id", F.col("s.text").isNotNull().alias("kept"), "s.text", "s.comment_id", (F.col("s.text").isNotNull() & fixed).alias("attribution_fixed"), F.coalesce("s.fuzzy", F.lit(False)).alias("fuzzy"), F.coalesce("s.numeric", F.lit(False)).alias("numeric"))
+    return q.where("not search").select("id", "r.*").unionByName(found)

@@ -81,6 +81,19 @@ def test_quote_repair_cases():
     assert not quotes.repair("  ", None, src)[0] and not quotes.repair("words", None, [])[0]
 
 
+def test_quote_repair_reads_all_comments(spark):
+    posts = spark.createDataFrame([(1, "Title", "the post tells a story of its own"), (2, "Other", "")], "id long, title string, selftext string")
+    bodies = [f"filler number {i} says nothing of interest here" for i in range(60)] + ["deep down a user wrote that exports lose every second row", "we pay for nine seats and use only two of them today"]
+    comments = spark.createDataFrame([(100 + i, 1, 1000 - i, b) for i, b in enumerate(bodies)], "id long, post_id long, score long, body string")
+    rows = [(1, 1, 160, "exports lose every second row"), (2, 1, 100, "exports lose every second row"), (3, 1, 100, "“we pay for nine seats and use only two of them today”"), (4, 1, 101, "a story of its own"), (5, 1, 100, "nobody ever said these words in any comment"), (6, 2, 160, "exports lose every second row"), (7, 3, 100, "filler number"), (8, 1, None, " "), (9, 1, 105, "filler number 17 says nothing of interest her"), (10, 1, 100, "“filler number 1 says nothing of interest here”")]
+    pendings = spark.createDataFrame(rows, "id long, post_id long, comment_id long, quoted_text string")
+    got = {r.id: tuple(r)[1:] for r in quotes.repair_quotes(pendings, posts, comments).collect()}
+    assert got[1] == (True, "exports lose every second row", 160, False, False, False)
+    assert got[2][:4] == (True, "exports lose every second row", 160, True) and got[3][:5] == (True, bodies[61], 161, True, True)
+    every = {1: [(None, "Title\nthe post tells a story of its own")] + [(100 + i, b) for i, b in enumerate(bodies)], 2: [(None, "Other\n")]}
+    assert got == {i: quotes.repair(q, c, every.get(p, [])) for i, p, c, q in rows}
+
+
 def test_scalar_functions(spark):
     one = spark.createDataFrame([(" /r/SaaS/ ", "R/SaaS", "a   b " + "c" * 200, "try again in 200ms", "A > B")], "a string, b string, c string, d string, e string")
     r = one.select(T.normalize_subreddit(F.col("a")).alias("a"), T.normalize_subreddit(F.col("b")).alias("b"), T.compact(F.col("c")).alias("c"), T.retry_after(F.col("d")).alias("d"), T.parent_name(F.col("e")).alias("e")).first()
