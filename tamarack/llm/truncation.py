@@ -26,7 +26,7 @@ from .wordhash import Words, buffers, mix, min_hashes, span_hash, span_sums
 
 BITS = 1 << 26
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 6, 4
+BANDS, ROWS = 9, 4
 #: A cut copy of fewer words has less than that similarity to any longer text.
 FEWEST = 8
 #: Distinct texts of a bucket that are compared one with another; in larger buckets those that begin alike are.
