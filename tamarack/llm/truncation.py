@@ -29,8 +29,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 9, 4
 #: A cut copy of fewer words has less than that similarity to any longer text.
 FEWEST = 8
-#: Distinct texts of a bucket that are compared one with another; in larger buckets those that begin alike are.
-BUCKET = 64
+#: Distinct texts of a bucket that are joined in one place; of a larger bucket every block of so many meets all open texts.
+BLOCK = 1024
 PLACEHOLDERS = ("[deleted]", "[removed]", "[deleted by user]", "n/a", "-", "")
 _MARK = re.compile(r"(?:\s*(?:\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\)|…))+$")
 _BROKEN = re.compile("�+$")
@@ -38,8 +38,7 @@ _BOUNDARY = re.compile(r"(?s).*(?:[.!?…][\"')\]”»*_]*\s|\n)")
 _CLOSED = re.compile(r"[.!?…][\"')\]”»*_]*$")
 _NOTE = re.compile(r"^(?:\s*(?:[-*•]|\d+[.)])\s|https?://|www\.|<?https?:|\s{4,})|[{};=<>]|https?://\S*$|\d[\d ()./-]{2,}$|\bdot \w+$|@\S+$")
 _DIGITS = re.compile(r"\d+")
-_K1, _K2, _KT, _KB, _KP = (np.uint64(x) for x in (0x1B873593AAAAAAA5, 0x2C1B3C6D5DEECE66, 0x3D4D51CB0D1B54A3, 0x4CF5AD432745937F, 0x5851F42D4C957F2D))
-_GRID = np.unique(np.floor(1.25 ** np.arange(1, 90)).astype(np.int64))
+_K1, _K2, _KT, _KB = (np.uint64(x) for x in (0x1B873593AAAAAAA5, 0x2C1B3C6D5DEECE66, 0x3D4D51CB0D1B54A3, 0x4CF5AD432745937F))
 
 
 def closing(text: str) -> tuple[str, bool, int, bool]:
@@ -66,7 +65,7 @@ def closing(text: str) -> tuple[str, bool, int, bool]:
 
 
 class Banded:
-    """Bands and beginnings of a batch of texts."""
+    """Bands of a batch of texts."""
 
     def __init__(self, texts: pa.Array) -> None:
         self.w = Words(texts)
@@ -83,21 +82,6 @@ class Banded:
             keys[b] ^= _KB + np.uint64(b)
         return keys, who
 
-    def prefixes(self, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the first words, as many as the largest grid number within the text less its last word, and one grid number fewer."""
-        w = self.w
-        sums = np.zeros(len(w.h) + 1, np.uint64)
-        np.cumsum(w.h * _positions(w), out=sums[1:])
-        start = np.zeros(w.n, np.int64)
-        start[w.has] = w.start
-        g = np.searchsorted(_GRID, np.maximum(w.count[who] - 1, 1), "right") - 1
-        out = []
-        for back in (0, 1):
-            m = np.minimum(_GRID[np.maximum(g - back, 0)], w.count[who])
-            s = start[who]
-            out.append(mix((sums[s + m] - sums[s]) + m.astype(np.uint64)) ^ _KP)
-        return out[0], out[1]
-
 
 class Batch(Banded):
     """All keys of a batch of texts."""
@@ -122,14 +106,6 @@ class Batch(Banded):
         self.c1, self.c2 = w.h ^ _K1, mix(w.h * np.uint64(3) + prev * np.uint64(0x9E3779B97F4A7C15)) ^ _K2
 
 
-def _positions(w: Words) -> np.ndarray:
-    """An odd factor by the word's place in its text, so that sums of factor * hash tell orders apart."""
-    start = np.zeros(w.n, np.int64)
-    start[w.has] = w.start
-    at = (np.arange(len(w.h)) - start[w.doc]).astype(np.uint64)
-    return mix(at + np.uint64(77)) | np.uint64(1)
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -222,7 +198,7 @@ def _counted(rows: DataFrame, bits) -> DataFrame:
 
 
 def _banded(rows: DataFrame, bits) -> DataFrame:
-    """(key, th, n, p1, p2) for the texts in a band with some candidate: band key, text, words and hashes of its beginnings."""
+    """(key, th, n) for the texts in a band with some candidate: band key, text and words."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = bits.value
@@ -233,13 +209,12 @@ def _banded(rows: DataFrame, bits) -> DataFrame:
             some = np.logical_or.reduce(ok) if len(who) else np.empty(0, bool)
             if not some.any():
                 continue
-            p1, p2 = x.prefixes(who[some])
             th, n = b.column("th").to_numpy(zero_copy_only=False)[who[some]], x.w.count[who[some]].astype(np.int32)
             for k, hit in zip(keys, ok):
                 h = hit[some]
-                yield pa.RecordBatch.from_arrays([_signed(k[hit]), pa.array(th[h]), pa.array(n[h]), _signed(p1[h]), _signed(p2[h])], ["key", "th", "n", "p1", "p2"])
+                yield pa.RecordBatch.from_arrays([_signed(k[hit]), pa.array(th[h]), pa.array(n[h])], ["key", "th", "n"])
 
-    return rows.mapInArrow(scan, "key long, th long, n int, p1 long, p2 long")
+    return rows.mapInArrow(scan, "key long, th long, n int")
 
 
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -344,22 +319,14 @@ def _verdict():
 def _near_copies(rows: DataFrame, asked: DataFrame, scratch: Scratch) -> DataFrame:
     """th of the asked texts (th, bands) that a verified near-copy goes beyond."""
     bits = rows.sparkSession.sparkContext.broadcast(_bit_map(asked.select(F.explode("bands").alias("key"))))
-    one = _banded(rows, bits).groupBy("key", "th").agg(*[F.max(x).alias(x) for x in ("n", "p1", "p2")])
+    one = _banded(rows, bits).groupBy("key", "th").agg(F.max("n").alias("n"))
     one = scratch.write(one.join(asked.select("th", F.lit(1).alias("open")), "th", "left").na.fill(0, ["open"]), "bands")
     size = one.groupBy("key").agg(F.count("*").alias("size"), F.max("open").alias("any_open")).where("size > 1 and any_open = 1")
     one = one.join(size.select("key", "size"), "key")
-    small, big = one.where(F.col("size") <= BUCKET), one.where(F.col("size") > BUCKET)
-
-    def pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-        a = left.where("open = 1").select(*on, F.col("th").alias("ta"), F.col("n").alias("na"))
-        b = right.select(*on, F.col("th").alias("tb"), F.col("n").alias("nb"))
-        return a.join(b, on).where("ta <> tb and nb >= na and na >= 0.75 * nb").select("ta", "tb")
-
-    alike = big.select("key", F.col("p1").alias("p"), "th", "n", "open")
-    longer = big.select("key", F.explode(F.array_distinct(F.array("p1", "p2"))).alias("p"), "th", "n", "open")
-    # of texts that begin alike the longest says whether one goes on: a representative for each beginning
-    longest = longer.groupBy("key", "p").agg(F.max_by("th", "n").alias("th"), F.max("n").alias("n"))
-    both = pairs(small, small, ["key"]).unionByName(pairs(alike, longest, ["key", "p"])).distinct()
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    a = one.where("open = 1").select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("th").alias("ta"), F.col("n").alias("na"))
+    b = one.select("key", F.pmod(F.xxhash64("th"), blocks).cast("int").alias("block"), F.col("th").alias("tb"), F.col("n").alias("nb"))
+    both = a.join(b, ["key", "block"]).where("ta <> tb and nb >= na and na >= 0.75 * nb").select("ta", "tb").distinct()
     both = scratch.write(both, "pairs")
     need = both.select(F.col("ta").alias("th")).unionByName(both.select(F.col("tb").alias("th"))).distinct()
     texts = scratch.write(rows.select("th", "text").join(need, "th", "left_semi").dropDuplicates(["th"]), "texts")
