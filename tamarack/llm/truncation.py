@@ -275,10 +275,10 @@ def find_truncated(rows: DataFrame) -> DataFrame:
     look = opened.select("tab", "id", F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(c).alias("key")) for i, c in enumerate(("kt", "k2", "k1"))])).alias("q")).select("tab", "id", "q.which", "q.key").distinct()
     wide = look.join(stats, "key").groupBy("tab", "id").agg(*[F.max(F.when(F.col("which") == i, F.col(c))).alias(f"{c}{k}") for i, k in enumerate(("t", "2", "1")) for c in "nex"]).na.fill(0)
     texts = opened.drop("kt", "k1", "k2").withColumnRenamed("n", "n_chars").dropDuplicates(["tab", "id"])
-    scored = texts.join(wide, ["tab", "id"]).join(F.broadcast(_field_limits(rows)), "n_chars", "left").withColumn("verdict", _verdict()).where("not verdict.ends_well")
-    scored = scratch.write(scored.select("tab", "id", "th", "verdict.evidence", "bands"), "scored")
+    scored = texts.join(wide, ["tab", "id"]).join(F.broadcast(_field_limits(rows)), "n_chars", "left").withColumn("verdict", _verdict())
+    scored = scratch.write(scored.select("tab", "id", "th", F.when(~F.col("verdict.ends_well"), F.col("verdict.evidence")).alias("evidence"), "bands"), "scored")
 
-    # texts that end well by their closing words are not cut, whatever their near-copies say; the others look for some
+    # all open texts look for near-copies; how their closing words end elsewhere counts for those that have none
     near = _near_copies(rows, scored.select("th", "bands").dropDuplicates(["th"]), scratch)
     named = scored.join(near, "th", "left").select("tab", "id", F.when(F.col("near") & (F.coalesce("evidence", F.lit("")) != "broken_character"), "near_copy").otherwise(F.col("evidence")).alias("evidence"))
     return named.where("evidence is not null").dropDuplicates(["tab", "id"])
