@@ -60,6 +60,7 @@ class Scratch:
     """Tables written into the shared folder under one run's name; drop() or the end of a ``with`` removes what is no longer read."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        ship(spark)
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
 
     def path(self, name: str = "t") -> str:
