@@ -1,19 +1,22 @@
 """Text cut off by field limits or mid-transfer.
 
-Two kinds of evidence, both from the whole corpus. Near-copies: distinct texts whose min-hashes of five-word shingles
-agree in a band are aligned from the start, and the copy whose alignment ends early, inside a sentence of the other,
-is cut. Terminality of the closing words: how often texts that go on like this one end there. For the closing line
-that is the share of closing lines beginning with it that are no longer; where few begin so, the closing two words,
-then one, are looked up: how often a sentence ends after them. Only texts without closing punctuation can be cut.
-
-Counts are kept only for keys that some open text asks for. A bit map of fixed size (BITS) tells which those are; where
-it is full, more keys are counted than needed, no fewer.
+Two kinds of evidence, both from the whole corpus. Near-copies first: distinct texts whose min-hashes of five-word
+shingles agree in a band are aligned from the start, and the copy whose alignment ends early, inside a sentence of the
+other, is cut. Records without such a copy are judged by the terminality of their closing words: how often texts that go
+on like this one end there. For the closing line that is the share of closing lines beginning with it that are no longer;
+where few begin so, the closing two words, then one, are looked up: how often a sentence ends after them. Only texts
+without closing punctuation can be cut.
+
+Every text is parsed once; what the later steps need is written down with it. Counts are kept only for keys that some
+open text asks for. A bit map sized by the number of those keys tells which they are (KEY_BITS a key, MOST_BITS at most);
+where it is full, more keys are counted than needed, no fewer.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 from ..session import Scratch
 from .wordhash import Words, buffers, mix, min_hashes, span_hash, span_sums
 
-BITS = 1 << 26
+#: Bits of a key filter for each key, and its least and greatest size; the greatest is 64 MB.
+KEY_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 29
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 9, 4
 #: A cut copy of fewer words has less than that similarity to any longer text.
@@ -32,40 +36,47 @@ FEWEST = 8
 #: Distinct texts of a bucket that are joined in one place; of a larger bucket every block of so many meets all open texts.
 BLOCK = 1024
 PLACEHOLDERS = ("[deleted]", "[removed]", "[deleted by user]", "n/a", "-", "")
+_ENDS, _AFTER = ".!?…", "\"')]”»*_"
 _MARK = re.compile(r"(?:\s*(?:\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\)|…))+$")
 _BROKEN = re.compile("�+$")
-_BOUNDARY = re.compile(r"(?s).*(?:[.!?…][\"')\]”»*_]*\s|\n)")
-_CLOSED = re.compile(r"[.!?…][\"')\]”»*_]*$")
-_NOTE = re.compile(r"^(?:\s*(?:[-*•]|\d+[.)])\s|https?://|www\.|<?https?:|\s{4,})|[{};=<>]|https?://\S*$|\d[\d ()./-]{2,}$|\bdot \w+$|@\S+$")
+_BOUNDARY = re.compile(r"[.!?…][\"')\]”»*_]*\s|\n")
+_NOTE = re.compile(
+    r"^(?:\s*(?:[-*•]|\d+[.)])\s|https?://|www\.|<?https?:|\s{4,})|[{};=<>]|https?://\S*$|\d[\d ()./-]{2,}$|\bdot \w+$|@\S+$"
+)
 _DIGITS = re.compile(r"\d+")
 _K1, _K2, _KT, _KB = (np.uint64(x) for x in (0x1B873593AAAAAAA5, 0x2C1B3C6D5DEECE66, 0x3D4D51CB0D1B54A3, 0x4CF5AD432745937F))
 
 
 def closing(text: str) -> tuple[str, bool, int, bool]:
     """(closing line, closed, mark, note): the text after its last sentence or line end, without marks of a cut, lower-cased,
-    numbers as 0; whether it has closing punctuation; 0 no mark, 1 an ellipsis mark, 2 a broken character, 3 a comma or open bracket, 4 a blank at the end; whether it is a list item, link or code."""
+    numbers as 0; whether it has closing punctuation; 0 no mark, 1 an ellipsis mark, 2 a broken character, 3 a comma or
+    open bracket, 4 a blank at the end; whether an open text's line is a list item, link or code."""
     s = text.rstrip()
     mark = 0
-    if _BROKEN.search(s):
-        mark, s = 2, _BROKEN.sub("", s)
-    elif m := _MARK.search(s):
+    if s.endswith("�"):
+        mark, s = 2, s.rstrip("�")
+    elif s.endswith(("…", "]", ")")) and (m := _MARK.search(s)):
         mark, s = 1, s[: m.start()]
-    elif text[-1:] in " \t":
+    elif text.endswith((" ", "\t")):
         mark = 4
     s = s.rstrip()
-    if mark in (0, 4) and s[-1:] in ",;(":
+    if mark in (0, 4) and s.endswith((",", ";", "(")):
         mark = 3
-    closed = bool(_CLOSED.search(s)) or not s
+    closed = not s or s.rstrip(_AFTER).endswith((".", "!", "?", "…"))
     if closed and s.endswith("..."):
         closed, s = False, s.rstrip(".")  # three dots close nothing by themselves
-    b = _BOUNDARY.match(s)
-    line = s[b.end() :] if b else s
-    note = bool(_NOTE.search(line))
+    at = max(s.rfind(". ") + 2, s.rfind("? ") + 2, s.rfind("! ") + 2, s.rfind("\n") + 1) if s else 0
+    if at == 1 and s[0] != "\n":
+        at = 0  # no sentence ends before it
+    for m in _BOUNDARY.finditer(s, at):
+        at = m.end()
+    line = s[at:]
+    note = not closed and bool(_NOTE.search(line))
     return " ".join(_DIGITS.sub("0", line.lower()).rstrip(".!?…\"')]”»").split()), closed, mark, note
 
 
 class Banded:
-    """Bands of a batch of texts."""
+    """Bands of a batch of texts, and a bag of 128 bits for the shingles of each."""
 
     def __init__(self, texts: pa.Array) -> None:
         self.w = Words(texts)
@@ -82,24 +93,27 @@ class Banded:
             keys[b] ^= _KB + np.uint64(b)
         return keys, who
 
-
-class Batch(Banded):
-    """All keys of a batch of texts."""
-
-    def __init__(self, texts: pa.Array, only_open: bool = False) -> None:
-        listed = texts.to_pylist()
-        got = [closing(t) if t and t.strip().lower() not in PLACEHOLDERS else ("", True, 0, False) for t in listed]
-        self.line, self.closed, self.mark, self.note = (list(x) for x in zip(*got)) if got else ([], [], [], [])
-        self.open = ~np.array(self.closed, bool)
-        self.at = np.flatnonzero(self.open)
-        if only_open:  # the keys of these texts alone
-            texts = texts.take(pa.array(self.at))
-            self.line, self.mark, self.note = ([x[i] for i in self.at] for x in (self.line, self.mark, self.note))
-        data, off = buffers(pa.array(self.line, pa.large_string()))
+    def bags(self) -> list[np.ndarray]:
+        sh, doc = self.w.shingles(SHINGLE)
+        out = [np.zeros(self.w.n, np.uint64), np.zeros(self.w.n, np.uint64)]
+        if len(sh):
+            at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            bit = np.uint64(1) << ((sh >> np.uint64(20)) & np.uint64(63))
+            high = (sh >> np.uint64(26)) & np.uint64(1) > 0
+            for half, there in zip(out, (~high, high)):
+                half[doc[at]] = np.bitwise_or.reduceat(np.where(there, bit, np.uint64(0)), at)
+        return out
+
+
+class Keys:
+    """What is counted of a batch of texts: their words, pairs of words and the beginnings of their closing lines."""
+
+    def __init__(self, texts: pa.Array, lines: pa.Array, opened: np.ndarray) -> None:
+        self.open = opened
+        data, off = buffers(lines)
         self.off, self.sums = off, span_sums(data)
         self.kt = span_hash(self.sums, off[:-1], off[1:]) ^ _KT
-        super().__init__(texts)
-        w = self.w
+        self.w = w = Words(texts)
         prev = np.r_[np.uint64(0), w.h[:-1]] if len(w.h) else w.h
         brk = np.r_[True, w.last[:-1] | w.term[:-1]] if len(w.h) else np.empty(0, bool)
         prev = np.where(brk, np.uint64(1), prev)
@@ -110,51 +124,58 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _open_texts(rows: DataFrame) -> DataFrame:
-    """Open texts with what has to be looked up for them."""
+_PARSED = "tab string, id long, th long, n int, words int, open boolean, mark int, note boolean, line string, kt long, k1 long, k2 long, w0 long, w1 long, bands array<long>, text string"
+
+
+def _parse(rows: DataFrame) -> DataFrame:
+    """Every text with its closing line and state, the keys to be looked up for it, its bands and bag of shingles."""
+    names = [c.split()[0] for c in _PARSED.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = Batch(b.column("text"), only_open=True)
-            if not len(x.at):
-                continue
-            li = np.full(x.w.n, -1, np.int64)
-            li[x.w.doc] = np.arange(len(x.w.h))  # the last word's place
-            c1, c2 = (np.where(li >= 0, c[li] if len(c) else 0, np.uint64(0)) for c in (x.c1, x.c2))
+            texts = b.column("text")
+            got = [closing(t) if t.strip().lower() not in PLACEHOLDERS else ("", True, 0, False) for t in texts.to_pylist()]
+            line, closed, mark, note = (list(x) for x in zip(*got)) if got else ([], [], [], [])
+            opened = ~np.array(closed, bool)
+            lines = pa.array(line, pa.string())
+            k = Keys(texts, pa.array(line, pa.large_string()), opened)
+            x = Banded.__new__(Banded)
+            x.w = w = k.w
+            li = np.full(w.n, -1, np.int64)
+            li[w.doc] = np.arange(len(w.h))  # the last word's place
+            c1, c2 = (np.where(li >= 0, c[li] if len(c) else 0, np.uint64(0)) for c in (k.c1, k.c2))
             keys, who = x.bands()
-            size = np.zeros(x.w.n, np.int64)
+            size = np.zeros(w.n, np.int64)
             size[who] = BANDS
             bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), _signed(keys.T.ravel()))
-            take = pa.array(x.at)
+            w0, w1 = x.bags()
             yield pa.RecordBatch.from_arrays(
-                [b.column("tab").take(take), b.column("id").take(take), b.column("th").take(take), b.column("n").take(take), _signed(x.kt), _signed(c1), _signed(c2),
-                 pa.array(x.mark, pa.int32()), pa.array(x.note, pa.bool_()), pa.array([len(k) for k in x.line], pa.int32()), bands],
-                ["tab", "id", "th", "n", "kt", "k1", "k2", "mark", "note", "line_n", "bands"])
-
-    return rows.mapInArrow(scan, "tab string, id long, th long, n int, kt long, k1 long, k2 long, mark int, note boolean, line_n int, bands array<long>")
-
+                [b.column("tab"), b.column("id"), b.column("th"), b.column("n"), pa.array(w.count.astype(np.int32)), pa.array(opened), pa.array(mark, pa.int32()), pa.array(note, pa.bool_()),
+                 lines, _signed(k.kt), _signed(c1), _signed(c2), _signed(w0), _signed(w1), bands, texts], names)
 
-def _bit_map(keys: DataFrame) -> np.ndarray:
-    """A bit for each key; BITS / 8 bytes come to the driver, in blocks."""
-    pos = keys.select(F.pmod(F.col("key"), F.lit(BITS)).alias("pos")).distinct().withColumn("block", F.shiftright("pos", 18).cast("int"))
+    return rows.mapInArrow(scan, _PARSED)
 
-    def pack(key, part: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(1 << 18, np.uint8)
-        bits[part["pos"].to_numpy(np.int64) & ((1 << 18) - 1)] = 1
-        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(bits).tobytes()]})
 
-    out = np.zeros(BITS >> 3, np.uint8)
-    for r in pos.groupBy("block").applyInPandas(pack, "block int, bits binary").toLocalIterator():
-        out[r.block << 15 : (r.block + 1) << 15] = np.frombuffer(r.bits, np.uint8)
-    return out
+class KeyFilter:
+    """A bit for each key of a frame, built by the executors and held as bytes; bits are sized by the number of keys."""
 
+    def __init__(self, keys: DataFrame, n: int) -> None:
+        """keys: one column key, long; n: about how many."""
+        self.bits = min(MOST_BITS, max(LEAST_BITS, 1 << (KEY_BITS * max(n, 1) - 1).bit_length()))
+        pos = F.pmod(F.col("key"), F.lit(self.bits)) + 1
+        blocks = keys.groupBy(F.bitmap_bucket_number(pos).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(pos)).alias("bits"))
+        self.map = np.zeros(self.bits >> 3, np.uint8)
+        for r in blocks.toLocalIterator():  # bits / 8 bytes in all
+            at = (r.block - 1) << 12
+            part = np.frombuffer(r.bits, np.uint8)[: len(self.map) - at]
+            self.map[at : at + len(part)] = part
 
-def _hits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    pos = keys.view(np.int64) % BITS if len(keys) else np.empty(0, np.int64)
-    return (bits[pos >> 3] >> (7 - (pos & 7)).astype(np.uint8)) & 1 > 0
+    def hits(self, keys: np.ndarray) -> np.ndarray:
+        pos = keys.view(np.int64) % self.bits if len(keys) else np.empty(0, np.int64)
+        return (self.map[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1 > 0
 
 
-def _counted(rows: DataFrame, bits) -> DataFrame:
+def _counted(parsed: DataFrame, bits) -> DataFrame:
     """(key, n, e, x) for the keys asked for: times seen, with a sentence's end, at an open text's end; a row for each partition and key."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +184,7 @@ def _counted(rows: DataFrame, bits) -> DataFrame:
         counts: list[np.ndarray] = []
 
         def squeeze() -> None:
-            u, inv = np.unique(np.concatenate(held), return_inverse=True)
+            inv, u = pd.factorize(np.concatenate(held))
             c = np.concatenate(counts)
             held[:], counts[:] = [u], [np.stack([np.bincount(inv, c[:, j], len(u)).astype(np.int32) for j in range(3)], 1)]
 
@@ -173,20 +194,20 @@ def _counted(rows: DataFrame, bits) -> DataFrame:
             return pa.RecordBatch.from_arrays([_signed(k), *(pa.array(np.ascontiguousarray(c[:, j])) for j in range(3))], ["key", "n", "e", "x"])
 
         def add(keys: np.ndarray, e: np.ndarray, x: np.ndarray) -> None:
-            ok = _hits(have, keys)
+            ok = have.hits(keys)
             held.append(keys[ok])
             counts.append(np.stack([np.ones(len(held[-1]), np.int32), e[ok].astype(np.int32), x[ok].astype(np.int32)], 1))
 
         for b in batches:
-            x = Batch(b.column("text"))
-            w = x.w
-            open_end = w.last & x.open[w.doc] if len(w.h) else np.empty(0, bool)
-            for keys in (x.c1, x.c2):
+            k = Keys(b.column("text"), b.column("line"), b.column("open").to_numpy(zero_copy_only=False))
+            w = k.w
+            open_end = w.last & k.open[w.doc] if len(w.h) else np.empty(0, bool)
+            for keys in (k.c1, k.c2):
                 add(keys, w.term & ~open_end, open_end)
-            line = np.repeat(np.arange(w.n), np.diff(x.off))
+            line = np.repeat(np.arange(w.n), np.diff(k.off))
             end = np.arange(1, len(line) + 1)
-            full, op = end == x.off[line + 1], x.open[line]
-            add(span_hash(x.sums, x.off[line], end) ^ _KT, full & ~op, full & op)
+            full, op = end == k.off[line + 1], k.open[line]
+            add(span_hash(k.sums, k.off[line], end) ^ _KT, full & ~op, full & op)
             if sum(map(len, held)) > 2_000_000:
                 squeeze()
                 if len(held[0]) > 1_000_000:
@@ -194,42 +215,120 @@ def _counted(rows: DataFrame, bits) -> DataFrame:
         if held:
             yield flush()
 
-    return rows.mapInArrow(scan, "key long, n int, e int, x int")
+    return parsed.select("text", "line", "open").mapInArrow(scan, "key long, n int, e int, x int")
 
 
-def _banded(rows: DataFrame, bits) -> DataFrame:
-    """(key, th, n) for the texts in a band with some candidate: band key, text and words."""
+def _banded(parsed: DataFrame, bits) -> DataFrame:
+    """(key, th, n, open, w0, w1) for each text and band whose key passes the filter; copies within a batch come once."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = bits.value
         for b in batches:
-            x = Banded(b.column("text"))
-            keys, who = x.bands()
-            ok = [_hits(have, k) for k in keys]
-            some = np.logical_or.reduce(ok) if len(who) else np.empty(0, bool)
-            if not some.any():
-                continue
-            th, n = b.column("th").to_numpy(zero_copy_only=False)[who[some]], x.w.count[who[some]].astype(np.int32)
-            for k, hit in zip(keys, ok):
-                h = hit[some]
-                yield pa.RecordBatch.from_arrays([_signed(k[hit]), pa.array(th[h]), pa.array(n[h])], ["key", "th", "n"])
+            first = np.unique(b.column("th").to_numpy(zero_copy_only=False), return_index=True)[1]
+            b = b.take(pa.array(np.sort(first)))
+            keys = b.column("bands").flatten().to_numpy(zero_copy_only=False)
+            hit = np.flatnonzero(have.hits(keys))
+            at = pa.array(hit // BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), *(b.column(c).take(at) for c in ("th", "words", "open", "w0", "w1"))], ["key", "th", "n", "open", "w0", "w1"])
+
+    return parsed.where(F.size("bands") > 0).select("th", "words", "open", "w0", "w1", "bands").mapInArrow(scan, "key long, th long, n int, open boolean, w0 long, w1 long")
+
+
+def _may_be_near(na, nb, a0, a1, b0, b1) -> np.ndarray:
+    """Whether texts of na and nb words may reach the similarity, by the bits of either bag that the other lacks: of A and B
+    shingles they share 4/9 (A + B) at least, so the one lacks no more than (5 A - 4 B) / 9 of the other; one more is let pass
+    for shingles that come twice."""
+    s, t = na - (SHINGLE - 1), nb - (SHINGLE - 1)
+    lacks = lambda x0, x1, y0, y1: np.bitwise_count(x0 & ~y0).astype(np.int32) + np.bitwise_count(x1 & ~y1)
+    return (9 * (lacks(a0, a1, b0, b1) - 1) <= 5 * s - 4 * t) & (9 * (lacks(b0, b1, a0, a1) - 1) <= 5 * t - 4 * s)
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """rows: key, block, th, n, isa, isb, w0, w1, those of a key and block together, isb first. Pairs (ta, tb) of an isa and an
+    isb row of one block that may be near, the second no shorter. A block's isb rows are few (BLOCK), its isa rows any number."""
 
-    return rows.mapInArrow(scan, "key long, th long, n int")
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
+
+        def pairs(x: dict[str, np.ndarray], run: np.ndarray, fresh: int) -> Iterator[pa.RecordBatch]:
+            """All pairs of the runs, for the isa rows from ``fresh`` on."""
+            last = np.r_[run[1:] != run[:-1], True]
+            ends = np.flatnonzero(last) + 1
+            starts = np.r_[0, ends[:-1]]
+            many = np.add.reduceat(x["isb"].astype(np.int64), starts)
+            a = np.flatnonzero(x["isa"])
+            a = a[a >= fresh]
+            r = run[a]
+            size = many[r]
+            a, r, size = a[size > 0], r[size > 0], size[size > 0]
+            upto = np.cumsum(size)
+            at = 0
+            while at < len(a):
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 2_000_000, "right")))
+                n = size[at:to]
+                i = np.repeat(a[at:to], n)
+                j = np.repeat(starts[r[at:to]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                na, nb = x["n"][i], x["n"][j]
+                ok = (nb >= na) & (4 * na >= 3 * nb)
+                i, j, na, nb = i[ok], j[ok], na[ok], nb[ok]
+                ok = _may_be_near(na, nb, x["w0"][i], x["w1"][i], x["w0"][j], x["w1"][j]) & (x["th"][i] != x["th"][j])
+                yield pa.RecordBatch.from_arrays([pa.array(x["th"][i[ok]]), pa.array(x["th"][j[ok]])], ["ta", "tb"])
+                at = to
+
+        def numbered(x: dict[str, np.ndarray]) -> np.ndarray:
+            new = (x["key"][1:] != x["key"][:-1]) | (x["block"][1:] != x["block"][:-1])
+            return np.r_[0, np.cumsum(new)]
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names}
+            fresh = 0
+            if held is not None:
+                fresh = held.pop("done")
+                x = {c: np.concatenate([held[c], x[c]]) for c in x}
+            run = numbered(x)
+            end = int(np.searchsorted(run, run[-1]))  # the last run may go on
+            tail = len(run) - end
+            if end:
+                yield from pairs({c: v[:end] for c, v in x.items()}, run[:end], fresh)
+                fresh = 0
+                x = {c: v[end:] for c, v in x.items()}
+            if tail > 8 * BLOCK:  # a large run: its isb rows came first, what was met of the others goes
+                yield from pairs(x, np.zeros(tail, np.int64), fresh)
+                keep = x["isb"]
+                held = {c: v[keep] for c, v in x.items()} | {"done": int(keep.sum())}
+            else:
+                held = x | {"done": fresh}
+        if held is not None:
+            fresh = held.pop("done")
+            yield from pairs(held, np.zeros(len(held["th"]), np.int64), fresh)
+
+    return rows.mapInArrow(scan, "ta long, tb long")
 
 
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 
-def ends_early(a: str, b: str) -> bool:
-    """Whether a, cut, is a near-copy of b up to a place inside one of b's sentences."""
+def _read(text: str) -> tuple[list[str], list[tuple[int, int]], frozenset]:
+    """Words, their places and shingles."""
+    found = [(m.group().lower(), m.span()) for m in _TOKEN.finditer(text)]
+    words = [w for w, _ in found]
+    return words, [p for _, p in found], frozenset(zip(*(words[i:] for i in range(SHINGLE))))
+
+
+_read_short = lru_cache(4096)(_read)  # a text comes in many pairs
+
+
+def ends_early(a: str, b: str) -> int:
+    """Whether a, cut, is a near-copy of b up to a place inside one of b's sentences: 0 no, 1 between two words, 2 inside a word."""
     a = _BROKEN.sub("", _MARK.sub("", a.rstrip())).rstrip()
-    ta, tb = list(_TOKEN.finditer(a)), list(_TOKEN.finditer(b))
-    wa, wb = [m.group().lower() for m in ta], [m.group().lower() for m in tb]
+    (wa, _, sa), (wb, at, sb) = (_read_short(x) if len(x) < 20_000 else _read(x) for x in (a, b))
     if len(wa) < SHINGLE or len(wb) < len(wa):
-        return False
-    sa, sb = ({tuple(x[i : i + SHINGLE]) for i in range(len(x) - SHINGLE + 1)} for x in (wa, wb))
-    if len(sa & sb) < SIMILARITY * len(sa | sb):
-        return False
+        return 0
+    both = len(sa & sb)
+    if both < SIMILARITY * (len(sa) + len(sb) - both):
+        return 0
     band = max(2, len(wa) // 10)
     row = {k: max(0, k) for k in range(0, band + 1)}  # row[k]: edits of wa[:i] against wb[:i + k]
     for i, x in enumerate(wa):
@@ -246,49 +345,57 @@ def ends_early(a: str, b: str) -> bool:
             new[k] = best
         row = new
     k, edits = min(row.items(), key=lambda r: (r[1], abs(r[0])))
-    if edits > len(wa) // 10:
-        return False
     j = len(wa) + k - 1  # wb[j] stands against the last word
-    if not 0 <= j < len(wb):
-        return False
+    if edits > len(wa) // 10 or not 0 <= j < len(wb):
+        return 0
     if len(wb[j]) > len(wa[-1]) and wb[j].startswith(wa[-1]):
-        return True
+        return 2
     if wb[j] != wa[-1] or j + 1 >= len(wb):
-        return False
-    return not re.search(r"[.!?…\n]", b[tb[j].end() : tb[j + 1].start()])
+        return 0
+    return int(not re.search(r"[.!?…\n]", b[at[j][1] : at[j + 1][0]]))
 
 
 def find_truncated(rows: DataFrame) -> DataFrame:
     """rows: tab, id, text. One row (tab, id, evidence) for each record whose text was cut inside a word, a sentence or a
     closing line; evidence is near_copy, broken_character, closing_line or closing_words.
 
-    Null, empty and placeholder texts are never cut. A record that comes repeatedly counts once. A text of fewer than
-    five words has no near-copies. Texts are read whole; no columns but the three are read. No rows give no rows.
+    Null, empty and placeholder texts are never cut. A record that comes repeatedly counts once, with the text of the least
+    hash where they differ. A text of fewer than FEWEST words has no near-copies. Texts are read whole; no columns but the
+    three are read. No rows give no rows.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "truncation")
-    rows = rows.where("text is not null and text != '' and id is not null").select(F.col("tab").cast("string").alias("tab"), F.col("id").cast("long").alias("id"), F.xxhash64("text").alias("th"), F.length("text").alias("n"), F.col("text"))
-    opened = scratch.write(_open_texts(rows), "open")
-    asked = opened.select(F.explode(F.array("kt", "k1", "k2")).alias("key"))
-    stats = _counted(rows, spark.sparkContext.broadcast(_bit_map(asked))).groupBy("key").agg(*[F.sum(c).alias(c) for c in "nex"])  # the bit map has BITS / 8 bytes
-
-    look = opened.select("tab", "id", F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(c).alias("key")) for i, c in enumerate(("kt", "k2", "k1"))])).alias("q")).select("tab", "id", "q.which", "q.key").distinct()
-    wide = look.join(stats, "key").groupBy("tab", "id").agg(*[F.max(F.when(F.col("which") == i, F.col(c))).alias(f"{c}{k}") for i, k in enumerate(("t", "2", "1")) for c in "nex"]).na.fill(0)
-    texts = opened.drop("kt", "k1", "k2").withColumnRenamed("n", "n_chars").dropDuplicates(["tab", "id"])
-    scored = texts.join(wide, ["tab", "id"]).join(F.broadcast(_field_limits(rows)), "n_chars", "left").withColumn("verdict", _verdict())
-    scored = scratch.write(scored.select("tab", "id", "th", F.when(~F.col("verdict.ends_well"), F.col("verdict.evidence")).alias("evidence"), "bands"), "scored")
-
-    # all open texts look for near-copies; how their closing words end elsewhere counts for those that have none
-    near = _near_copies(rows, scored.select("th", "bands").dropDuplicates(["th"]), scratch)
-    named = scored.join(near, "th", "left").select("tab", "id", F.when(F.col("near") & (F.coalesce("evidence", F.lit("")) != "broken_character"), "near_copy").otherwise(F.col("evidence")).alias("evidence"))
-    return named.where("evidence is not null").dropDuplicates(["tab", "id"])
-
+    rows = rows.where("text is not null and text != '' and id is not null").select(
+        F.col("tab").cast("string").alias("tab"), F.col("id").cast("long").alias("id"), F.xxhash64("text").alias("th"), F.length("text").alias("n"), F.col("text"))
+    parsed = scratch.write(_parse(rows), "parsed")
+    near = _near_copies(parsed, scratch)
 
-def _field_limits(rows: DataFrame) -> DataFrame:
-    """Lengths at which far more texts end than at their neighbours: the limits of fields. Each stands for thirty times its neighbours' mean; the hundred with most texts count."""
-    by = rows.where("n >= 100").groupBy("n").agg(F.count("*").alias("c"))
-    near = by.select("n", F.col("c").alias("o"), F.explode(F.sequence(F.lit(-5), F.lit(5))).alias("d")).where("d <> 0").groupBy((F.col("n") + F.col("d")).alias("n")).agg(F.sum("o").alias("o"))
-    return by.join(near, "n", "left").where("c >= 5 and c > 3 * coalesce(o, 0)").orderBy(F.col("c").desc()).limit(100).select(F.col("n").alias("n_chars"), F.lit(True).alias("at_limit"))
+    # terminality of the closing words for the rest, of which each distinct text is looked up once
+    opened = scratch.write(parsed.where("open").groupBy("th").agg(F.count("*").alias("copies"), *[F.max(c).alias(c) for c in ("n", "words", "mark", "note", "kt", "k1", "k2")], F.max(F.length("line")).alias("line_n")), "open")
+    asked = opened.select(F.explode(F.array("kt", "k1", "k2")).alias("key"))
+    counts = _counted(parsed, spark.sparkContext.broadcast(KeyFilter(asked, 3 * opened.count())))
+    # copies of one cut text don't vouch for each other: of longer texts each counts once
+    again = opened.where((F.col("copies") > 1) & (F.col("words") >= FEWEST)).select(F.col("kt").alias("key"), (1 - F.col("copies")).cast("int").alias("n"), F.lit(0).alias("e"), (1 - F.col("copies")).cast("int").alias("x"))
+    stats = counts.unionByName(again).groupBy("key").agg(*[F.sum(c).alias(c) for c in "nex"])
+
+    look = opened.select("th", F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(c).alias("key")) for i, c in enumerate(("kt", "k2", "k1"))])).alias("q")).select("th", "q.which", "q.key")
+    wide = look.join(stats, "key").groupBy("th").agg(*[F.max(F.when(F.col("which") == i, F.col(c))).alias(f"{c}{k}") for i, k in enumerate(("t", "2", "1")) for c in "nex"])
+    limits = scratch.write(_field_limits(parsed), "limits")
+    scored = opened.join(wide, "th", "left").na.fill(0).join(limits, "n", "left").join(near, "th", "left").withColumn("verdict", _verdict())
+    # a copy that stops inside a word is cut; one that stops between two may lack an addition, unless texts don't end so elsewhere
+    cut = F.col("in_word") | (F.col("in_word").isNotNull() & ~F.col("verdict.ends_well"))
+    named = F.when(cut & (F.col("mark") != 2), "near_copy").when(~F.col("verdict.ends_well"), F.col("verdict.evidence"))
+    found = scored.select("th", named.alias("evidence")).where("evidence is not null")
+    return parsed.where("open").groupBy("tab", "id").agg(F.min("th").alias("th")).join(found, "th").select("tab", "id", "evidence")
+
+
+def _field_limits(parsed: DataFrame) -> DataFrame:
+    """(n, at_limit): lengths at which far more distinct texts end than at their neighbours, the limits of fields: five texts
+    at least and thirty times the neighbours' mean. A row a length."""
+    by = parsed.select("th", "n").distinct().groupBy("n").agg(F.count("*").alias("c"))
+    near = by.select("n", F.col("c").alias("o"), F.explode(F.sequence(F.lit(-5), F.lit(5))).alias("d")).where("d <> 0")
+    near = near.groupBy((F.col("n") + F.col("d")).alias("n")).agg(F.sum("o").alias("o"))
+    return by.join(near, "n", "left").where("c >= 5 and c > 3 * coalesce(o, 0)").select("n", F.lit(True).alias("at_limit"))
 
 
 def _verdict():
@@ -316,28 +423,42 @@ def _verdict():
     return F.struct(ends_well.alias("ends_well"), evidence.alias("evidence"))
 
 
-def _near_copies(rows: DataFrame, asked: DataFrame, scratch: Scratch) -> DataFrame:
-    """th of the asked texts (th, bands) that a verified near-copy goes beyond."""
-    bits = rows.sparkSession.sparkContext.broadcast(_bit_map(asked.select(F.explode("bands").alias("key"))))
-    one = _banded(rows, bits).groupBy("key", "th").agg(F.max("n").alias("n"))
-    one = scratch.write(one.join(asked.select("th", F.lit(1).alias("open")), "th", "left").na.fill(0, ["open"]), "bands")
-    size = one.groupBy("key").agg(F.count("*").alias("size"), F.max("open").alias("any_open")).where("size > 1 and any_open = 1")
-    one = one.join(size.select("key", "size"), "key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    a = one.where("open = 1").select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("th").alias("ta"), F.col("n").alias("na"))
-    b = one.select("key", F.pmod(F.xxhash64("th"), blocks).cast("int").alias("block"), F.col("th").alias("tb"), F.col("n").alias("nb"))
-    both = a.join(b, ["key", "block"]).where("ta <> tb and nb >= na and na >= 0.75 * nb").select("ta", "tb").distinct()
-    both = scratch.write(both, "pairs")
-    need = both.select(F.col("ta").alias("th")).unionByName(both.select(F.col("tb").alias("th"))).distinct()
-    texts = scratch.write(rows.select("th", "text").join(need, "th", "left_semi").dropDuplicates(["th"]), "texts")
-
-    @F.pandas_udf("boolean")
+def _near_copies(parsed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(th, in_word): the open texts that a verified near-copy goes beyond, and whether some cut falls inside a word.
+
+    All texts of a bucket that hold an open one are met with it, but for those that the bags of shingles rule out. Large
+    buckets are split into blocks that each meet all open texts.
+    """
+    spark = parsed.sparkSession
+    asked = parsed.where(F.col("open") & (F.size("bands") > 0)).select("th", "bands")
+    bits = spark.sparkContext.broadcast(KeyFilter(asked.select(F.explode("bands").alias("key")), BANDS * asked.count()))
+    size = _banded(parsed, bits).groupBy("key").agg(F.count("*").alias("size"), F.min("th").alias("lo"), F.max("th").alias("hi"), F.max("open").alias("any"))
+    size = scratch.write(size.where("any and lo <> hi").select("key", "size"), "buckets")
+    hot = scratch.write(size.where(F.col("size") > BLOCK).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "hot")
+    shared = spark.sparkContext.broadcast(KeyFilter(size.select("key"), size.count()))
+    own = F.struct(F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("isb"), F.lit(False).alias("isa"))
+    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("block"), F.lit(False).alias("isb"), F.lit(True).alias("isa")))
+    place = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("block"), F.lit(True).alias("isb"), F.col("open").alias("isa"))))
+    place = place.when(F.col("open"), F.concat(F.array(own), every)).otherwise(F.array(own))
+    rows = _banded(parsed, shared).join(hot, "key", "left").select("key", F.explode(place).alias("p"), "th", "n", "w0", "w1").select("key", "p.*", "th", "n", "w0", "w1")
+    rows = rows.repartition("key", "block").dropDuplicates(["key", "block", "th", "isb"]).sortWithinPartitions("key", "block", F.col("isb").desc())
+    both = scratch.write(_met(rows.select("key", "block", "th", "n", "isa", "isb", "w0", "w1")).distinct(), "pairs")
+    need = both.select(F.explode(F.array("ta", "tb")).alias("key")).distinct()
+    wanted = spark.sparkContext.broadcast(KeyFilter(need, 2 * both.count()))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            yield x.filter(pa.array(wanted.value.hits(x.column("th").to_numpy(zero_copy_only=False))))
+
+    texts = scratch.write(parsed.select("th", "text").mapInArrow(some, "th long, text string").dropDuplicates(["th"]), "texts")
+
+    @F.pandas_udf("int")
     def early(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([ends_early(x, y) for x, y in zip(a, b)])
+        return pd.Series([ends_early(x, y) for x, y in zip(a, b)], dtype="int32")
 
     ta, tb = texts.select(F.col("th").alias("ta"), F.col("text").alias("xa")), texts.select(F.col("th").alias("tb"), F.col("text").alias("xb"))
-    ok = both.join(ta, "ta").join(tb, "tb").where(early("xa", "xb"))
-    return ok.select(F.col("ta").alias("th"), F.lit(True).alias("near")).distinct()
+    ok = both.join(ta, "ta").join(tb, "tb").select(F.col("ta").alias("th"), early("xa", "xb").alias("early")).where("early > 0")
+    return scratch.write(ok.groupBy("th").agg((F.max("early") > 1).alias("in_word")), "near")
 
 
 def truncation_by_source(rows: DataFrame, cut: DataFrame, sources: DataFrame) -> DataFrame:
