@@ -15,6 +15,7 @@ where it is full, more keys are counted than needed, no fewer.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ from ..session import Scratch
 from .wordhash import Words, buffers, mix, min_hashes, span_hash, span_sums
 
 #: Bits of a key filter for each key, and its least and greatest size; the greatest is 64 MB.
-KEY_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 29
+KEY_BITS, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 29
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 9, 4
 #: A cut copy of fewer words has less than that similarity to any longer text.
@@ -75,6 +76,17 @@ def closing(text: str) -> tuple[str, bool, int, bool]:
     return " ".join(_DIGITS.sub("0", line.lower()).rstrip(".!?…\"')]”»").split()), closed, mark, note
 
 
+def last_word(text: str) -> int:
+    """A number above 0 for the last word; below 0 if the word stands nowhere else in the text, not even within a word; 0 for
+    what is no plain word."""
+    low = text.lower()
+    word = low.rsplit(None, 1)[-1].strip("\"'.,;:!?…()[]*_»”’�") if low.strip() else ""
+    if not word.isalpha():
+        return 0
+    h = zlib.crc32(word.encode()) >> 2 | 1
+    return -h if low.count(word) == 1 else h
+
+
 class Banded:
     """Bands of a batch of texts, and a bag of 128 bits for the shingles of each."""
 
@@ -124,7 +136,7 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-_PARSED = "tab string, id long, th long, n int, words int, open boolean, mark int, note boolean, line string, kt long, k1 long, k2 long, w0 long, w1 long, bands array<long>, text string"
+_PARSED = "tab string, id long, th long, n int, words int, open boolean, mark int, note boolean, line string, kt long, k1 long, k2 long, w0 long, w1 long, end int, bands array<long>, text string"
 
 
 def _parse(rows: DataFrame) -> DataFrame:
@@ -149,9 +161,10 @@ def _parse(rows: DataFrame) -> DataFrame:
             size[who] = BANDS
             bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), _signed(keys.T.ravel()))
             w0, w1 = x.bags()
+            ends = pa.array([last_word(t) for t in texts.to_pylist()], pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [b.column("tab"), b.column("id"), b.column("th"), b.column("n"), pa.array(w.count.astype(np.int32)), pa.array(opened), pa.array(mark, pa.int32()), pa.array(note, pa.bool_()),
-                 lines, _signed(k.kt), _signed(c1), _signed(c2), _signed(w0), _signed(w1), bands, texts], names)
+                 lines, _signed(k.kt), _signed(c1), _signed(c2), _signed(w0), _signed(w1), ends, bands, texts], names)
 
     return rows.mapInArrow(scan, _PARSED)
 
@@ -219,7 +232,7 @@ def _counted(parsed: DataFrame, bits) -> DataFrame:
 
 
 def _banded(parsed: DataFrame, bits) -> DataFrame:
-    """(key, th, n, open, w0, w1) for each text and band whose key passes the filter; copies within a batch come once."""
+    """(key, th, n, open, w0, w1, end) for each text and band whose key passes the filter; copies within a batch come once."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = bits.value
@@ -229,9 +242,9 @@ def _banded(parsed: DataFrame, bits) -> DataFrame:
             keys = b.column("bands").flatten().to_numpy(zero_copy_only=False)
             hit = np.flatnonzero(have.hits(keys))
             at = pa.array(hit // BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), *(b.column(c).take(at) for c in ("th", "words", "open", "w0", "w1"))], ["key", "th", "n", "open", "w0", "w1"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), *(b.column(c).take(at) for c in ("th", "words", "open", "w0", "w1", "end"))], ["key", "th", "n", "open", "w0", "w1", "end"])
 
-    return parsed.where(F.size("bands") > 0).select("th", "words", "open", "w0", "w1", "bands").mapInArrow(scan, "key long, th long, n int, open boolean, w0 long, w1 long")
+    return parsed.where(F.size("bands") > 0).select("th", "words", "open", "w0", "w1", "end", "bands").mapInArrow(scan, "key long, th long, n int, open boolean, w0 long, w1 long, end int")
 
 
 def _may_be_near(na, nb, a0, a1, b0, b1) -> np.ndarray:
@@ -244,8 +257,9 @@ def _may_be_near(na, nb, a0, a1, b0, b1) -> np.ndarray:
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """rows: key, block, th, n, isa, isb, w0, w1, those of a key and block together, isb first. Pairs (ta, tb) of an isa and an
-    isb row of one block that may be near, the second no shorter. A block's isb rows are few (BLOCK), its isa rows any number."""
+    """rows: key, block, th, n, isa, isb, w0, w1, end, those of a key and block together, isb first. Pairs (ta, tb) of an isa and
+    an isb row of one block that may be near, the second no shorter and going on: the last word of the first, if the second
+    ends with it too and has it nowhere else, can't stand before its end. A block's isb rows are few (BLOCK), its isa rows any number."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -270,6 +284,8 @@ def _met(rows: DataFrame) -> DataFrame:
                 j = np.repeat(starts[r[at:to]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                 na, nb = x["n"][i], x["n"][j]
                 ok = (nb >= na) & (4 * na >= 3 * nb)
+                ends = x["end"][j]
+                ok &= (ends >= 0) | (np.abs(x["end"][i]) != -ends)
                 i, j, na, nb = i[ok], j[ok], na[ok], nb[ok]
                 ok = _may_be_near(na, nb, x["w0"][i], x["w1"][i], x["w0"][j], x["w1"][j]) & (x["th"][i] != x["th"][j])
                 yield pa.RecordBatch.from_arrays([pa.array(x["th"][i[ok]]), pa.array(x["th"][j[ok]])], ["ta", "tb"])
@@ -326,10 +342,14 @@ def ends_early(a: str, b: str) -> int:
     (wa, _, sa), (wb, at, sb) = (_read_short(x) if len(x) < 20_000 else _read(x) for x in (a, b))
     if len(wa) < SHINGLE or len(wb) < len(wa):
         return 0
+    band = max(2, len(wa) // 10)
+    last = wa[-1]
+    near_end = range(max(0, len(wa) - 1 - band), min(len(wb), len(wa) + band))
+    if not any(wb[j].startswith(last) and (wb[j] != last or j + 1 < len(wb)) for j in near_end):
+        return 0  # the last word can't stand before the other's end
     both = len(sa & sb)
     if both < SIMILARITY * (len(sa) + len(sb) - both):
         return 0
-    band = max(2, len(wa) // 10)
     row = {k: max(0, k) for k in range(0, band + 1)}  # row[k]: edits of wa[:i] against wb[:i + k]
     for i, x in enumerate(wa):
         last = i == len(wa) - 1
@@ -440,9 +460,9 @@ def _near_copies(parsed: DataFrame, scratch: Scratch) -> DataFrame:
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("block"), F.lit(False).alias("isb"), F.lit(True).alias("isa")))
     place = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("block"), F.lit(True).alias("isb"), F.col("open").alias("isa"))))
     place = place.when(F.col("open"), F.concat(F.array(own), every)).otherwise(F.array(own))
-    rows = _banded(parsed, shared).join(hot, "key", "left").select("key", F.explode(place).alias("p"), "th", "n", "w0", "w1").select("key", "p.*", "th", "n", "w0", "w1")
+    rows = _banded(parsed, shared).join(hot, "key", "left").select("key", F.explode(place).alias("p"), "th", "n", "w0", "w1", "end").select("key", "p.*", "th", "n", "w0", "w1", "end")
     rows = rows.repartition("key", "block").dropDuplicates(["key", "block", "th", "isb"]).sortWithinPartitions("key", "block", F.col("isb").desc())
-    both = scratch.write(_met(rows.select("key", "block", "th", "n", "isa", "isb", "w0", "w1")).distinct(), "pairs")
+    both = scratch.write(_met(rows.select("key", "block", "th", "n", "isa", "isb", "w0", "w1", "end")).distinct(), "pairs")
     need = both.select(F.explode(F.array("ta", "tb")).alias("key")).distinct()
     wanted = spark.sparkContext.broadcast(KeyFilter(need, 2 * both.count()))
 
