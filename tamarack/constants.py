@@ -24,5 +24,6 @@ PER_WINDOW, WITH_COMMENTS, PER_POST = 100, 60, 25
 POST_CAP, COMMENT_CAP = 10_000, 5_000
 UNCATEGORIZED = 1
 EVIDENCE_KEPT = ("direct_complaint", "missing_feature", "broken_experience", "unmet_need")
+EVIDENCE_DROPPED = ("joke_meme_sarcasm", "self_promotion_showcase", "praise_only", "thought_leadership", "policy_news_grief_inferred", "abstract_opinion")
 RETRY_STATUS = (429, 500, 502, 503, 504)
 SITE = "https://reddit.com"

@@ -114,12 +114,15 @@ def parent_name(c: Column) -> Column:
     return F.trim(F.element_at(F.split(c, ">"), -1))
 
 
-def relevance(score: Column, n_comments: Column, created: Column, now: float, half_life: float, comment_score: Column | None = None, comment_created: Column | None = None) -> Column:
-    """Traction times a half-life decay: post ln(1+score)/2 + 0.8 ln(1+comments), comment ln(1+score)/2; no time means no decay."""
+def relevance(score: Column, n_comments: Column, created: Column, now: Column | float, half_life: float, comment_id: Column | None = None, comment_score: Column | None = None, comment_created: Column | None = None) -> Column:
+    """Traction times a half-life decay. A source in a post has the post's, ln(1 + score) / 2 + 0.8 ln(1 + comments); a source in
+    a comment (comment_id not null) has the comment's alone, ln(1 + score) / 2, and the comment's time if it has one. No time
+    means no decay; a time to come counts as now."""
     ln = lambda c: F.log1p(F.greatest(F.lit(0.0), F.coalesce(c, F.lit(0)).cast("double")))
-    at = created if comment_created is None else F.coalesce(F.when(comment_created != 0, comment_created), created)
-    age = F.greatest(F.lit(0.0), (F.lit(now) - at) / 86400.0)
-    traction = ln(score) * 0.5 + ln(n_comments) * 0.8
-    if comment_score is not None:
-        traction = traction + F.when(comment_score.isNotNull(), ln(comment_score) * 0.5).otherwise(0.0)
-    return traction * F.when(at.isNull() | (at == 0), 1.0).otherwise(F.pow(F.lit(0.5), age / half_life))
+    traction, at = ln(score) * 0.5 + ln(n_comments) * 0.8, created
+    if comment_id is not None:
+        traction = F.when(comment_id.isNotNull(), ln(comment_score) * 0.5).otherwise(traction)
+        at = F.coalesce(F.when(comment_id.isNotNull() & (comment_created != 0), comment_created), created)
+    now = now if isinstance(now, Column) else F.lit(now)
+    age = F.greatest(F.lit(0.0), (now - at) / 86400.0)
+    return traction * F.when(at.isNull(), 1.0).otherwise(F.pow(F.lit(0.5), age / half_life))

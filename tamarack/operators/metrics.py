@@ -179,8 +179,18 @@ def evidence_filter(items: DataFrame, label: str = "evidence_type") -> DataFrame
     return items.where(kind.isin(*K.EVIDENCE_KEPT)).drop(label)
 
 
+def _label(kind: Column) -> Column:
+    return F.when(kind.isin(*K.EVIDENCE_KEPT, *K.EVIDENCE_DROPPED), kind).otherwise("unknown")
+
+
 def evidence_filter_stats(items: DataFrame, label: str = "evidence_type") -> DataFrame:
+    """Rows by label, whether the label is kept; labels that are no known kind are counted as unknown."""
+    kind = F.lower(F.trim(F.coalesce(F.col(label), F.lit(""))))
+    return items.groupBy(_label(kind).alias("label")).agg(F.count("*").alias("n")).withColumn("kept", F.col("label").isin(*K.EVIDENCE_KEPT))
+
+
+def evidence_dropped(items: DataFrame, label: str = "evidence_type") -> DataFrame:
+    """The rows that the filter drops, in short: their label, post, comment, and title and quote of 120 letters at most."""
     kind = F.lower(F.trim(F.coalesce(F.col(label), F.lit(""))))
-    known = (*K.EVIDENCE_KEPT, "joke_meme_sarcasm", "self_promotion_showcase")
-    name = F.when(kind.isin(*known), kind).otherwise("unknown")
-    return items.groupBy(name.alias("label")).agg(F.count("*").alias("n")).withColumn("kept", F.col("label").isin(*K.EVIDENCE_KEPT))
+    out = items.where(~kind.isin(*K.EVIDENCE_KEPT))
+    return out.select("id", _label(kind).alias("evidence_type"), "post_id", "comment_id", T.compact(F.col("title")).alias("title"), T.compact(F.col("quoted_text")).alias("quoted_text"))

@@ -139,24 +139,28 @@ def pending_listing(pendings: DataFrame, posts: DataFrame, subreddit: str | None
 
 
 def opportunity_candidates(sources: DataFrame, bridge: DataFrame, pendings: DataFrame, posts: DataFrame, painpoints: DataFrame, categories: DataFrame, category: str | None = None) -> DataFrame:
-    """Painpoints that any quote backs, by subreddit: local and global source rows, severity range, subreddits seen.
+    """Painpoints that a quote of a known post backs, by subreddit: local and global source rows, severity range, subreddits seen.
 
-    One groupBy gives all that the correlated subqueries of the original ask for; the local counts are its finer grain.
+    One groupBy by painpoint and subreddit gives the local counts; the global ones are its coarser grain.
     """
-    q = pendings.select(F.col("id").alias("pending_painpoint_id"), F.col("severity").alias("pending_severity"), "quoted_text").dropDuplicates(["pending_painpoint_id"])
-    rows = bridge.join(sources, "pending_painpoint_id").join(posts.select(F.col("id").alias("post_id"), "subreddit"), "post_id").join(q.drop("quoted_text"), "pending_painpoint_id")
+    q = pendings.select(F.col("id").alias("pending_painpoint_id"), "post_id", F.col("severity").alias("pending_severity"), "quoted_text").dropDuplicates(["pending_painpoint_id"])
+    known = posts.select(F.col("id").alias("post_id"), "subreddit")
+    rows = bridge.join(sources, "pending_painpoint_id").join(known, "post_id").join(q.drop("quoted_text", "post_id"), "pending_painpoint_id")
     fine = rows.groupBy("painpoint_id", "subreddit").agg(F.count("*").alias("n"), F.min("pending_severity").alias("lo"), F.max("pending_severity").alias("hi"))
-    whole = fine.groupBy("painpoint_id").agg(F.sum("n").alias("global_signal_count"), F.min("lo").alias("severity_min"), F.max("hi").alias("severity_max"), F.array_join(F.array_sort(F.collect_set("subreddit")), ",").alias("subreddits_seen"))
-    quoted = bridge.join(q.where(has_text(F.col("quoted_text"))), "pending_painpoint_id").select("painpoint_id")
+    seen = F.array_join(F.array_sort(F.collect_set("subreddit")), ",").alias("subreddits_seen")  # as many as there are subreddits
+    whole = fine.groupBy("painpoint_id").agg(F.sum("n").alias("global_signal_count"), F.min("lo").alias("severity_min"), F.max("hi").alias("severity_max"), seen)
+    quoted = bridge.join(q.where(has_text(F.col("quoted_text"))).join(known, "post_id", "left_semi"), "pending_painpoint_id").select("painpoint_id")
     named = with_category(painpoints.withColumnRenamed("id", "painpoint_id"), categories)
     if category:
         named = named.where(F.col("category") == category)
     out = fine.select("painpoint_id", F.col("subreddit").alias("requested_subreddit"), F.col("n").alias("local_signal_count")).join(whole, "painpoint_id").join(named, "painpoint_id").join(quoted, "painpoint_id", "left_semi")
-    return out.select("painpoint_id", "title", "description", "severity", "category", "local_signal_count", "global_signal_count", "severity_min", "severity_max", "subreddits_seen", "requested_subreddit")
+    return out.select("painpoint_id", "title", "description", "severity", "signal_count", "category", "local_signal_count", "global_signal_count", "severity_min", "severity_max", "subreddits_seen", "requested_subreddit")
 
 
 def top_candidates(cand: DataFrame, n: int) -> DataFrame:
-    w = Window.partitionBy("requested_subreddit").orderBy(F.col("local_signal_count").desc(), F.col("global_signal_count").desc(), F.col("severity_max").desc_nulls_last(), "painpoint_id")
+    """The n first of each subreddit by local and global count, then the painpoint's own signal and severity, then its id."""
+    order = [F.col(c).desc_nulls_last() for c in ("local_signal_count", "global_signal_count", "signal_count", "severity")]
+    w = Window.partitionBy("requested_subreddit").orderBy(*order, "painpoint_id")
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..adapter import Views, with_tables
 from ..operators import hierarchy as H
 from ..operators import metrics as M
@@ -28,8 +29,11 @@ def _pairs(v: Views):
 
 
 def _items(v: Views):
-    kind = F.element_at(F.array(*[F.lit(x) for x in ("direct_complaint", " Missing_Feature", "joke_meme_sarcasm", "maybe_pain", "unmet_need", "self_promotion_showcase")]), (F.col("id") % 6 + 1).cast("int"))
-    return v.pendings.select("id", "title", F.when(F.col("id") % 11 != 0, kind).alias("evidence_type"))
+    """Observations with a label as an extractor gives it: any known kind, in other case, unknown or missing."""
+    kinds = [*K.EVIDENCE_KEPT, *K.EVIDENCE_DROPPED, "maybe_pain"]
+    kind = F.element_at(F.array(*[F.lit(x) for x in kinds]), (F.col("id") % len(kinds) + 1).cast("int"))
+    kind = F.when(F.col("id") % 4 == 0, F.concat(F.lit(" "), F.initcap(kind))).otherwise(kind)
+    return v.pendings.select("id", "post_id", "comment_id", "title", "quoted_text", F.when(F.col("id") % 13 != 0, kind).alias("evidence_type"))
 
 
 def _usage(v: Views):
@@ -60,7 +64,8 @@ _Q = {
     "token_cost": lambda v: M.token_cost(*_usage(v)),
     "author_stats": lambda v: M.author_stats(v.posts),
     "engagement_rank": lambda v: M.engagement_rank(v.posts, 60).select("id", "engagement", F.col("rank").cast("long").alias("rank"), "chunk"),
-    "evidence_filter": lambda v: M.evidence_filter(_items(v)),
+    "evidence_filter": lambda v: M.evidence_filter(_items(v)).select("id", "title"),
+    "evidence_dropped": lambda v: M.evidence_dropped(_items(v)),
     "evidence_filter_stats": lambda v: M.evidence_filter_stats(_items(v)),
 }
 QUERIES = {k: (lambda spark, sf, f=f: f(Views(spark, sf))) for k, f in _Q.items()}
@@ -75,8 +80,10 @@ _PAIRS = """pairs AS (SELECT d.decision_id, d.duplicates AS positive, round(1 /
   FROM merge_decisions d JOIN painpoints a ON a.id = d.painpoint_a JOIN painpoints b ON b.id = d.painpoint_b WHERE d.duplicates IS NOT NULL)"""
 _CONF = lambda h: f"count(*) FILTER ({h} AND positive) AS tp, count(*) FILTER ({h} AND NOT positive) AS fp, count(*) FILTER (NOT {h} AND positive) AS fn, count(*) FILTER (NOT {h} AND NOT positive) AS tn"
 _PRF = f"tp, fp, fn, tn, {_R4('tp', '(tp + fp)', 6)} AS precision, {_R4('tp', '(tp + fn)', 6)} AS recall, {_R4('2 * tp', '(2 * tp + fp + fn)', 6)} AS f1"
-_ITEMS = """items AS (SELECT id, title, CASE WHEN id % 11 <> 0 THEN ['direct_complaint', ' Missing_Feature', 'joke_meme_sarcasm', 'maybe_pain', 'unmet_need', 'self_promotion_showcase'][id % 6 + 1] END AS evidence_type FROM Q)"""
 _KEPT = "'direct_complaint', 'missing_feature', 'broken_experience', 'unmet_need'"
+_DROPPED = "'joke_meme_sarcasm', 'self_promotion_showcase', 'praise_only', 'thought_leadership', 'policy_news_grief_inferred', 'abstract_opinion'"
+_ITEMS = f"""raw AS (SELECT *, [{_KEPT}, {_DROPPED}, 'maybe_pain'][id % 11 + 1] AS kind FROM Q), items AS (SELECT *, CASE WHEN id % 13 = 0 THEN 'unknown' WHEN kind = 'maybe_pain' THEN 'unknown' ELSE kind END AS label FROM raw)"""
+_SHORT = lambda c: f"(SELECT CASE WHEN length(t) > 120 THEN substr(t, 1, 117) || '...' ELSE t END FROM (SELECT trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g')) AS t))"
 _NORM = lambda c: f"trim(lower(regexp_replace(regexp_replace(translate(coalesce({c}, ''), '‘’“”–— ', '''''\"\"-- '), '[*_`]', '', 'g'), '\\s+', ' ', 'g')))"
 _STATUS = f"""qq AS (SELECT id, post_id, comment_id, {_NORM('quoted_text')} AS q FROM Q), pp AS (SELECT id, {_NORM("concat_ws(' ', title, selftext)")} AS t FROM P), cc AS (SELECT id, post_id, {_NORM('body')} AS t FROM C),
 st AS (SELECT qq.id, CASE WHEN q = '' THEN 'blank' WHEN contains(cc.t, q) OR (qq.comment_id IS NULL AND contains(pp.t, q)) THEN 'attributed' WHEN contains(pp.t, q) THEN 'post'
@@ -105,6 +112,7 @@ ORACLE = {
     "token_cost": f"WITH u AS (SELECT 'model_' || (user_id % 3) AS model, event_id % 1000 + 200 AS prompt, event_id % 100 AS cached, event_id % 300 AS completion FROM events), p(model, price_in, price_out) AS (VALUES ('model_0', 0.05, 0.40), ('model_1', 0.40, 1.60), ('model_2', 0.10, 0.40)) SELECT model, CAST(sum(prompt) AS BIGINT) AS prompt, CAST(sum(cached) AS BIGINT) AS cached, CAST(sum(completion) AS BIGINT) AS completion, {_R4('sum(cached) * 100', 'sum(prompt)', 2)} AS hit_pct, round(CAST((sum(prompt) * max(price_in) + sum(completion) * max(price_out)) AS DOUBLE) / 1e6, 6) AS cost FROM u JOIN p USING (model) GROUP BY 1",
     "author_stats": with_tables("SELECT author, count(*) AS posts, CAST(sum(score) AS BIGINT) AS score, CAST(sum(num_comments) AS BIGINT) AS comments FROM P WHERE author IS NOT NULL AND trim(author) <> '' AND author <> '[deleted]' GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 10"),
     "engagement_rank": with_tables("SELECT id, engagement, rank, (rank - 1) // 25 AS chunk FROM (SELECT id, CAST(coalesce(num_comments, 0) + floor(coalesce(score, 0) / 5) AS BIGINT) AS engagement, row_number() OVER (ORDER BY CAST(coalesce(num_comments, 0) + floor(coalesce(score, 0) / 5) AS BIGINT) DESC, id) AS rank FROM P) WHERE rank <= 60"),
-    "evidence_filter": with_tables(f"SELECT id, title FROM items WHERE lower(trim(coalesce(evidence_type, ''))) IN ({_KEPT})", _ITEMS),
-    "evidence_filter_stats": with_tables(f"SELECT label, count(*) AS n, label IN ({_KEPT}) AS kept FROM (SELECT CASE WHEN lower(trim(coalesce(evidence_type, ''))) IN ({_KEPT}, 'joke_meme_sarcasm', 'self_promotion_showcase') THEN lower(trim(evidence_type)) ELSE 'unknown' END AS label FROM items) GROUP BY 1", _ITEMS),
+    "evidence_filter": with_tables(f"SELECT id, title FROM items WHERE label IN ({_KEPT})", _ITEMS),
+    "evidence_filter_stats": with_tables(f"SELECT label, count(*) AS n, label IN ({_KEPT}) AS kept FROM items GROUP BY 1", _ITEMS),
+    "evidence_dropped": with_tables(f"SELECT id, label AS evidence_type, post_id, comment_id, {_SHORT('title')} AS title, {_SHORT('quoted_text')} AS quoted_text FROM items WHERE label NOT IN ({_KEPT})", _ITEMS),
 }

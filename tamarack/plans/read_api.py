@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..adapter import Views, with_tables
 from ..operators import read_api as R
+from ..sources.listing import rank_all
 
 SUB = "tinyshopfloor"
 TEXT_BODY = "quoted_text IS NOT NULL AND trim(quoted_text) <> ''"
@@ -42,7 +43,7 @@ _Q = {
     "subreddit_summary": lambda v: R.subreddit_summary(v.posts, v.comments, v.pendings, v.bridge),
     "subreddit_top_categories": lambda v: R.subreddit_top_categories(v.posts, v.pendings, v.bridge, v.categories).select("subreddit", "category", "painpoint_count", F.col("rank").cast("long").alias("rank")),
     "category_paths": lambda v: R.category_paths(v.categories),
-    "category_hierarchy_order": lambda v: R.category_paths(v.categories).orderBy("group_name", F.col("is_root").desc(), "name", "id").limit(40).select("id", "group_name", "is_root", "name"),
+    "category_hierarchy_order": lambda v: rank_all(R.category_paths(v.categories), [F.col("group_name").asc_nulls_last(), F.col("is_root").desc(), F.col("name").asc_nulls_last(), F.col("id")]).select("id", "group_name", "is_root", "name", "rank"),
     "leaf_categories": lambda v: R.leaf_categories(v.categories).select("id", "name"),
     "unmerged_pendings": lambda v: R.unmerged(v.pendings, v.bridge).select("id", "title"),
     "unextracted_posts": lambda v: R.unextracted(v.posts, v.pendings).select("id", "reddit_id"),
@@ -58,14 +59,15 @@ _Q = {
 }
 QUERIES = {k: (lambda spark, sf, f=f: f(Views(spark, sf))) for k, f in _Q.items()}
 
-_CAND = f"""rows AS (SELECT b.painpoint_id, s.post_id, p.subreddit, q.severity FROM PS b JOIN S s USING (pending_painpoint_id) JOIN P p ON p.id = s.post_id JOIN Q q ON q.id = b.pending_painpoint_id),
-cand AS (SELECT pp.id AS painpoint_id, pp.title, pp.description, pp.severity, c.name AS category, count(*) AS local_signal_count,
-  (SELECT count(*) FROM rows r WHERE r.painpoint_id = pp.id) AS global_signal_count, (SELECT min(severity) FROM rows r WHERE r.painpoint_id = pp.id) AS severity_min,
-  (SELECT max(severity) FROM rows r WHERE r.painpoint_id = pp.id) AS severity_max, (SELECT string_agg(DISTINCT subreddit, ',' ORDER BY subreddit) FROM rows r WHERE r.painpoint_id = pp.id) AS subreddits_seen, l.subreddit AS requested_subreddit
-  FROM rows l JOIN painpoints pp ON pp.id = l.painpoint_id LEFT JOIN categories c ON c.id = pp.category_id
-  WHERE EXISTS (SELECT 1 FROM PS b JOIN Q q ON q.id = b.pending_painpoint_id WHERE b.painpoint_id = pp.id AND {TEXT_BODY})
-  GROUP BY pp.id, pp.title, pp.description, pp.severity, c.name, l.subreddit)"""
-_RANKED = """ranked AS (SELECT *, row_number() OVER (PARTITION BY requested_subreddit ORDER BY local_signal_count DESC, global_signal_count DESC, severity_max DESC NULLS LAST, painpoint_id) AS rank FROM cand)"""
+_CAND = f"""rows AS (SELECT b.painpoint_id, p.subreddit, q.severity FROM PS b JOIN S s USING (pending_painpoint_id) JOIN P p ON p.id = s.post_id JOIN Q q ON q.id = b.pending_painpoint_id),
+per_sub AS (SELECT painpoint_id, subreddit, count(*) AS here FROM rows GROUP BY ALL),
+per_pp AS (SELECT painpoint_id, count(*) AS everywhere, min(severity) AS lo, max(severity) AS hi, array_to_string(list_sort(list_distinct(list(subreddit))), ',') AS seen FROM rows GROUP BY ALL),
+backed AS (SELECT DISTINCT b.painpoint_id FROM Q q JOIN PS b ON b.pending_painpoint_id = q.id SEMI JOIN P p ON p.id = q.post_id WHERE {TEXT_BODY}),
+cand AS (SELECT x.painpoint_id, pp.title, pp.description, pp.severity, pp.signal_count, c.name AS category, x.here AS local_signal_count, y.everywhere AS global_signal_count,
+  y.lo AS severity_min, y.hi AS severity_max, y.seen AS subreddits_seen, x.subreddit AS requested_subreddit
+  FROM per_sub x JOIN per_pp y USING (painpoint_id) JOIN backed USING (painpoint_id) JOIN painpoints pp ON pp.id = x.painpoint_id LEFT JOIN categories c ON c.id = pp.category_id)"""
+_ORDER = "local_signal_count DESC, global_signal_count DESC, signal_count DESC NULLS LAST, severity DESC NULLS LAST, painpoint_id"
+_RANKED = f"ranked AS (SELECT *, row_number() OVER (PARTITION BY requested_subreddit ORDER BY {_ORDER}) AS rank FROM cand)"
 
 
 def _quotes(source: str) -> str:
@@ -99,7 +101,7 @@ ORACLE = {
     "subreddit_summary": with_tables("SELECT p.subreddit, count(DISTINCT p.id) AS post_count, count(c.id) AS comment_count, (SELECT count(DISTINCT b.painpoint_id) FROM PS b JOIN Q q ON q.id = b.pending_painpoint_id JOIN P x ON x.id = q.post_id WHERE x.subreddit = p.subreddit) AS painpoint_count FROM P p LEFT JOIN C c ON c.post_id = p.id GROUP BY p.subreddit"),
     "subreddit_top_categories": with_tables("SELECT *, row_number() OVER (PARTITION BY subreddit ORDER BY painpoint_count DESC, category) AS rank FROM (SELECT p.subreddit, k.name AS category, count(DISTINCT b.painpoint_id) AS painpoint_count FROM PS b JOIN Q q ON q.id = b.pending_painpoint_id JOIN P p ON p.id = q.post_id JOIN categories k ON k.id = q.category_id GROUP BY 1, 2) QUALIFY rank <= 10"),
     "category_paths": "SELECT c.id, c.name, p.name AS parent_name, concat_ws(' > ', p.name, c.name) AS path, coalesce(p.name, c.name) AS group_name, c.parent_id IS NULL AS is_root FROM categories c LEFT JOIN categories p ON p.id = c.parent_id",
-    "category_hierarchy_order": "SELECT c.id, coalesce(p.name, c.name) AS group_name, c.parent_id IS NULL AS is_root, c.name FROM categories c LEFT JOIN categories p ON p.id = c.parent_id ORDER BY 2, 3 DESC, 4, 1 LIMIT 40",
+    "category_hierarchy_order": "SELECT id, group_name, is_root, name, row_number() OVER (ORDER BY group_name NULLS LAST, is_root DESC, name NULLS LAST, id) AS rank FROM (SELECT c.id, coalesce(p.name, c.name) AS group_name, c.parent_id IS NULL AS is_root, c.name FROM categories c LEFT JOIN categories p ON p.id = c.parent_id)",
     "leaf_categories": "SELECT id, name FROM categories c WHERE NOT EXISTS (SELECT 1 FROM categories k WHERE k.parent_id = c.id)",
     "unmerged_pendings": with_tables("SELECT q.id, q.title FROM Q q LEFT JOIN PS b ON b.pending_painpoint_id = q.id WHERE b.painpoint_id IS NULL"),
     "unextracted_posts": with_tables("SELECT id, reddit_id FROM P WHERE id NOT IN (SELECT post_id FROM Q WHERE post_id IS NOT NULL)"),
@@ -108,7 +110,7 @@ ORACLE = {
     "validated_pendings": with_tables("SELECT q.id, q.post_id, CASE WHEN q.comment_id IN (SELECT id FROM C) THEN q.comment_id END AS comment_id, CASE WHEN q.severity IS NOT NULL THEN CAST(greatest(1, least(10, q.severity)) AS INT) END AS severity FROM Q q WHERE q.post_id IN (SELECT id FROM P)"),
     "pending_listing": with_tables(f"SELECT q.id, q.title, p.subreddit FROM Q q JOIN P p ON p.id = q.post_id WHERE p.subreddit = '{SUB}' AND q.id > 100"),
     "opportunity_candidates": with_tables("SELECT * FROM cand", _CAND),
-    "opportunity_candidates_by_category": with_tables("SELECT requested_subreddit, painpoint_id, local_signal_count, rank FROM (SELECT *, row_number() OVER (PARTITION BY requested_subreddit ORDER BY local_signal_count DESC, global_signal_count DESC, severity_max DESC NULLS LAST, painpoint_id) AS rank FROM cand WHERE category = 'Uncategorized') WHERE rank <= 5", _CAND),
+    "opportunity_candidates_by_category": with_tables("SELECT requested_subreddit, painpoint_id, local_signal_count, rank FROM (SELECT *, row_number() OVER (PARTITION BY requested_subreddit ORDER BY " + _ORDER + ") AS rank FROM cand WHERE category = 'Uncategorized') WHERE rank <= 5", _CAND),
     "opportunity_evidence_split": with_tables("SELECT * FROM split", f"{_CAND}, {_RANKED}, {_TOP3}, {_quotes('top3')}"),
     "opportunity_packs": with_tables("SELECT c.painpoint_id, c.requested_subreddit, c.subreddits_seen AS seen, CAST(count(*) FILTER (is_local) AS INT) AS local_quote_count, CAST(count(*) FILTER (NOT is_local) AS INT) AS cross_subreddit_quote_count, coalesce(string_agg(url, ' ' ORDER BY s.rank) FILTER (is_local), '') AS local_urls FROM top3 c JOIN split s USING (painpoint_id, requested_subreddit) GROUP BY 1, 2, 3", f"{_CAND}, {_RANKED}, {_TOP3}, {_quotes('top3')}"),
     "conviction_tiers": with_tables("SELECT painpoint_id, requested_subreddit, CASE WHEN local_signal_count >= 3 AND severity_max >= 5 AND (best_post >= 100 OR best_comment >= 50) THEN 'highest' WHEN local_signal_count >= 2 THEN 'strong' ELSE 'exploratory' END AS tier, best_post, best_comment FROM cand JOIN (SELECT painpoint_id, requested_subreddit, coalesce(max(source_score) FILTER (source_type = 'post'), 0) AS best_post, coalesce(max(source_score) FILTER (source_type = 'comment'), 0) AS best_comment FROM split WHERE is_local GROUP BY 1, 2) USING (painpoint_id, requested_subreddit)", f"{_CAND}, {_quotes('cand')}"),

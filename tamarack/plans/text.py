@@ -10,8 +10,6 @@ from ..adapter import Views, with_tables
 from ..functions import text as T
 from ..sources import listing as L
 
-NOW = 1_767_225_600.0  # 2026-01-01 UTC
-
 _Q = {
     "normalize_subreddit": lambda v: v.raw("evidence_packs").select("pack_id", T.normalize_subreddit(F.col("requested_subreddit")).alias("sub")).distinct(),
     "permalink_normalise": lambda v: v.posts.select("id", T.absolute_permalink(F.col("permalink")).alias("stored"), T.evidence_url(F.col("permalink")).alias("shown")),
@@ -24,7 +22,7 @@ _Q = {
     "csv_set": lambda v: v.categories.select("id", F.array_join(T.csv_set(F.col("description")), "|").alias("parts")),
     "parent_resolver": lambda v: _resolver(v),
     "token_estimate": lambda v: L.token_totals(v.posts, v.comments),
-    "relevance": lambda v: v.comments.join(v.posts.select(F.col("id").alias("post_id"), F.col("score").alias("ps"), "num_comments", F.col("created_utc").alias("pc")), "post_id").select("id", F.round(T.relevance(F.col("ps"), F.col("num_comments"), F.col("pc"), NOW, 5000.0, F.col("score"), F.col("created_utc")), 6).alias("relevance")),
+    "relevance": lambda v: _relevance(v),
     "epoch_text": lambda v: v.posts.select("id", T.epoch_minute(F.col("created_utc")).alias("minute")),
     "retry_after": lambda v: v.raw("events").select("event_id", T.retry_after(F.concat(F.lit("try again in "), F.col("user_id").cast("string"), F.when(F.col("event_id") % 2 == 0, "ms").otherwise("s"))).alias("seconds")),
     "delta_text": lambda v: v.painpoints.select("id", T.delta_text(F.col("severity").cast("int"), F.col("signal_count").cast("int")).alias("delta")),
@@ -47,6 +45,16 @@ _Q = {
 }
 
 
+def _relevance(v: Views):
+    """Each source of each observation, in a post or a comment, at the time of the newest post."""
+    now = v.posts.agg(F.max("created_utc").alias("now"))  # one row
+    p = v.posts.select(F.col("id").alias("post_id"), F.col("score").alias("ps"), "num_comments", F.col("created_utc").alias("pc"))
+    c = v.comments.select(F.col("id").alias("comment_id"), F.lit(True).alias("known"), F.col("score").alias("cs"), F.col("created_utc").alias("cc"))
+    s = v.sources.join(p, "post_id").join(c, "comment_id", "left").join(F.broadcast(now))
+    r = T.relevance(F.col("ps"), F.col("num_comments"), F.col("pc"), F.col("now"), K.HALF_LIFE_DAYS, F.col("known"), F.col("cs"), F.col("cc"))
+    return s.select("pending_painpoint_id", "post_id", "comment_id", F.round(r, 6).alias("relevance"))
+
+
 def _resolver(v: Views):
     c = v.categories.select("id", "name")
     wanted = c.select("id", F.concat(F.lit("Any > "), "name").alias("path"))
@@ -84,7 +92,9 @@ ORACLE = {
     "csv_set": "SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(coalesce(description, ''), ','), lambda x: trim(x)), lambda x: x <> ''))), '|') AS parts FROM categories",
     "parent_resolver": "SELECT c.id, trim(c.name) AS parent, k.id AS parent_id FROM categories c LEFT JOIN categories k ON k.name = trim(c.name)",
     "token_estimate": with_tables("SELECT p.id, CAST(greatest(1, (length(coalesce(title, '')) + length(coalesce(selftext, '')) + coalesce((SELECT sum(length(coalesce(body, ''))) FROM C c WHERE c.post_id = p.id), 0)) // 4) AS BIGINT) AS tokens FROM P p"),
-    "relevance": with_tables(f"SELECT c.id, round((ln(1 + greatest(0, p.score)) * 0.5 + ln(1 + greatest(0, p.num_comments)) * 0.8 + ln(1 + greatest(0, c.score)) * 0.5) * CASE WHEN coalesce(nullif(c.created_utc, 0), p.created_utc, 0) = 0 THEN 1 ELSE pow(0.5, greatest(0, ({NOW} - coalesce(nullif(c.created_utc, 0), p.created_utc)) / 86400) / 5000.0) END, 6) AS relevance FROM C c JOIN P p ON p.id = c.post_id"),
+    "relevance": with_tables("""SELECT pending_painpoint_id, post_id, comment_id, round(traction * CASE WHEN since IS NULL THEN 1 ELSE pow(0.5, greatest(0, now - since) / 86400 / 14) END, 6) AS relevance
+  FROM (SELECT s.*, CASE WHEN c.id IS NULL THEN ln(1 + greatest(0, coalesce(p.score, 0))) / 2 + ln(1 + greatest(0, coalesce(p.num_comments, 0))) * 0.8 ELSE ln(1 + greatest(0, coalesce(c.score, 0))) / 2 END AS traction,
+    coalesce(nullif(c.created_utc, 0), p.created_utc) AS since, (SELECT max(created_utc) FROM P) AS now FROM S s JOIN P p ON p.id = s.post_id LEFT JOIN C c ON c.id = s.comment_id)"""),
     "epoch_text": with_tables("SELECT id, strftime(make_timestamp(CAST(floor(created_utc) AS BIGINT) * 1000000), '%Y-%m-%d %H:%M') AS minute FROM P"),
     "retry_after": "SELECT event_id, user_id / CASE WHEN event_id % 2 = 0 THEN 1000.0 ELSE 1.0 END AS seconds FROM events",
     "delta_text": "SELECT id, CASE WHEN d >= 0 THEN '+' ELSE '-' END || abs(d) || CASE WHEN severity <> 0 THEN ' (' || CASE WHEN d / severity >= 0 THEN '+' ELSE '-' END || format('{:.1f}', abs(d / severity) * 100) || '%)' ELSE '' END AS delta FROM (SELECT id, severity, signal_count - severity AS d FROM painpoints)",

@@ -8,6 +8,7 @@ from pyspark.sql import types as S
 
 from .. import constants as K
 from ..functions import text as T
+from ..session import Scratch
 
 _POST = S.StructType([S.StructField(n, t) for n, t in (("name", S.StringType()), ("subreddit", S.StringType()), ("title", S.StringType()), ("selftext", S.StringType()), ("url", S.StringType()), ("author", S.StringType()), ("score", S.LongType()), ("upvote_ratio", S.DoubleType()), ("num_comments", S.LongType()), ("permalink", S.StringType()), ("created_utc", S.DoubleType()), ("is_self", S.BooleanType()), ("stickied", S.BooleanType()))])
 _COMMENT = S.StructType([S.StructField(n, t) for n, t in (("name", S.StringType()), ("parent_id", S.StringType()), ("author", S.StringType()), ("body", S.StringType()), ("score", S.LongType()), ("controversiality", S.LongType()), ("permalink", S.StringType()), ("created_utc", S.DoubleType()), ("depth", S.LongType()))])
@@ -48,12 +49,17 @@ def dedup_and_rank(windows: DataFrame) -> DataFrame:
 
 
 def rank_all(df: DataFrame, order: list) -> DataFrame:
-    """1-based rank over all rows: ranks within range partitions plus the sizes of those before."""
-    part = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    local = part.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = part.groupBy("_p").agg(F.count("*").alias("_n"))  # a row a partition
+    """1-based rank over all rows: places within range partitions plus the sizes of those before.
+
+    The partitioned rows are written once with their places, so that both the rows and the sizes come from one partitioning.
+    Equal rows in the order get ranks next to each other; no rows give none.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    placed = Scratch(df.sparkSession, "ranks").write(placed, "placed")  # a place is the partition's number and, in 33 bits, the row's
+    part, row = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))  # a row a partition
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
-    return local.join(F.broadcast(before), "_p").withColumn("rank", F.col("_r") + F.col("_before")).drop("_p", "_r", "_before")
+    return placed.withColumn("_p", part).join(F.broadcast(before), "_p").withColumn("rank", row + F.col("_before") + 1).drop("_p", "_before", "_place")
 
 
 def comment_targets(ranked: DataFrame, min_score: int, n: int) -> DataFrame:
