@@ -18,6 +18,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -106,7 +107,7 @@ class Banded:
         return keys, who
 
     def bags(self) -> list[np.ndarray]:
-        sh, doc = self.w.shingles(SHINGLE)
+        sh, doc = self.w.shingles(SHINGLE, numbers=True)
         out = [np.zeros(self.w.n, np.uint64), np.zeros(self.w.n, np.uint64)]
         if len(sh):
             at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
@@ -326,20 +327,33 @@ def _met(rows: DataFrame) -> DataFrame:
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 
-def _read(text: str) -> tuple[list[str], list[tuple[int, int]], frozenset]:
-    """Words, their places and shingles."""
-    found = [(m.group().lower(), m.span()) for m in _TOKEN.finditer(text)]
-    words = [w for w, _ in found]
-    return words, [p for _, p in found], frozenset(zip(*(words[i:] for i in range(SHINGLE))))
+class _Read:
+    """A text's words; its shingles and the places of words when they are asked for."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.words, self._shingles = text, _TOKEN.findall(text.lower()), None
+
+    def shingles(self) -> frozenset:
+        if self._shingles is None:
+            self._shingles = frozenset(zip(*(self.words[i:] for i in range(SHINGLE))))
+        return self._shingles
+
+    def gap(self, j: int) -> str:
+        """What stands between word j and the next."""
+        found = list(islice(_TOKEN.finditer(self.text.lower()), j, j + 2))
+        return self.text.lower()[found[0].end() : found[1].start()]
 
 
-_read_short = lru_cache(4096)(_read)  # a text comes in many pairs
+_read = lru_cache(4096)(_Read)  # a text comes in many pairs
 
 
 def ends_early(a: str, b: str) -> int:
     """Whether a, cut, is a near-copy of b up to a place inside one of b's sentences: 0 no, 1 between two words, 2 inside a word."""
-    a = _BROKEN.sub("", _MARK.sub("", a.rstrip())).rstrip()
-    (wa, _, sa), (wb, at, sb) = (_read_short(x) if len(x) < 20_000 else _read(x) for x in (a, b))
+    a = a.rstrip()
+    if a.endswith(("�", "…", "]", ")")):
+        a = _BROKEN.sub("", _MARK.sub("", a)).rstrip()
+    x, y = (_read(t) if len(t) < 20_000 else _Read(t) for t in (a, b))
+    wa, wb = x.words, y.words
     if len(wa) < SHINGLE or len(wb) < len(wa):
         return 0
     band = max(2, len(wa) // 10)
@@ -347,19 +361,20 @@ def ends_early(a: str, b: str) -> int:
     near_end = range(max(0, len(wa) - 1 - band), min(len(wb), len(wa) + band))
     if not any(wb[j].startswith(last) and (wb[j] != last or j + 1 < len(wb)) for j in near_end):
         return 0  # the last word can't stand before the other's end
+    sa, sb = x.shingles(), y.shingles()
     both = len(sa & sb)
     if both < SIMILARITY * (len(sa) + len(sb) - both):
         return 0
     row = {k: max(0, k) for k in range(0, band + 1)}  # row[k]: edits of wa[:i] against wb[:i + k]
-    for i, x in enumerate(wa):
-        last = i == len(wa) - 1
+    for i, w in enumerate(wa):
+        end = i == len(wa) - 1
         new: dict[int, int] = {}
         for k in range(-min(band, i + 1), band + 1):
             j = i + k
             best = row.get(k, 99_999)
             if j < 0 or j >= len(wb):
                 best = 99_999
-            elif wb[j] != x and not (last and wb[j].startswith(x)):
+            elif wb[j] != w and not (end and wb[j].startswith(w)):
                 best += 1
             best = min(best, row.get(k + 1, 99_999) + 1, new.get(k - 1, 99_999) + 1)
             new[k] = best
@@ -368,11 +383,11 @@ def ends_early(a: str, b: str) -> int:
     j = len(wa) + k - 1  # wb[j] stands against the last word
     if edits > len(wa) // 10 or not 0 <= j < len(wb):
         return 0
-    if len(wb[j]) > len(wa[-1]) and wb[j].startswith(wa[-1]):
+    if len(wb[j]) > len(last) and wb[j].startswith(last):
         return 2
-    if wb[j] != wa[-1] or j + 1 >= len(wb):
+    if wb[j] != last or j + 1 >= len(wb):
         return 0
-    return int(not re.search(r"[.!?…\n]", b[at[j][1] : at[j + 1][0]]))
+    return int(not re.search(r"[.!?…\n]", y.gap(j)))
 
 
 def find_truncated(rows: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ _pow: dict[str, np.ndarray] = {}
 _low = np.arange(256, dtype=np.uint8)
 _low[65:91] += 32
 _low[48:58] = 48
+_cased = np.arange(256, dtype=np.uint8)
+_cased[65:91] += 32
 _word = np.zeros(256, bool)
 _word[48:58] = _word[65:91] = _word[97:123] = True
 _word[39] = True
@@ -73,6 +75,7 @@ class Words:
         ends = inner[inner > 0] - 1
         after[ends] = False
         s, e = np.flatnonzero(isw & ~before), np.flatnonzero(isw & ~after) + 1
+        self.at, self.data = (s, e), data
         self.h = span_hash(span_sums(_low[data]), s, e)
         digit = (data[s] >= 48) & (data[s] < 58) if len(s) else np.empty(0, bool)
         self.h[digit] = NUMBER
@@ -87,14 +90,15 @@ class Words:
         self.has = self.doc[self.start]
         self.count = np.bincount(self.doc, minlength=self.n)
 
-    def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of k words in a row and their text index."""
-        n = len(self.h) - k + 1
+    def shingles(self, k: int, numbers: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of k words in a row and their text index; numbers: different numbers are different words."""
+        h = span_hash(span_sums(_cased[self.data]), *self.at) if numbers else self.h
+        n = len(h) - k + 1
         if n <= 0:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
         out = np.zeros(n, np.uint64)
         for i in range(k):
-            out = out * np.uint64(_B) + self.h[i : i + n]
+            out = out * np.uint64(_B) + h[i : i + n]
         ok = self.doc[:n] == self.doc[k - 1 : k - 1 + n]
         return mix(out[ok]), self.doc[:n][ok]
 
