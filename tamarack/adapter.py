@@ -39,6 +39,13 @@ class Views:
     def categories(self) -> DataFrame:
         return self.raw("categories")
 
+    @cached_property
+    def stamped_categories(self) -> DataFrame:
+        """Categories with the time their member set last changed, which isn't delivered: the newest observation that names the category."""
+        seen = self.raw("pending_painpoints").where("category_id is not null").groupBy("category_id").agg(F.max("extracted_at").alias("member_set_last_changed_at"))
+        c = self.categories
+        return c.join(seen, c.id == seen.category_id, "left").drop("category_id")
+
     @cached_property
     def pendings(self) -> DataFrame:
         return self.raw("pending_painpoints").distinct()

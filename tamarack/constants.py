@@ -11,6 +11,7 @@ RRF_K, RRF_TOP = 60, 10
 BM25_K1, BM25_B = 1.2, 0.75
 MIN_CLUSTER = 3
 SPLIT_DELTA, SPLIT_MIN_SIZE, MAX_CLUSTERS_SHOWN = 10, 10, 10
+SPLIT_PART, SPLIT_PARTS = 5, 4
 MERGE_CATEGORY, MERGE_ROOT = 0.80, 0.70
 PAIR_CANDIDATE, PAIRS_PER_CATEGORY = 0.50, 20
 STALE_DAYS = 30

@@ -6,10 +6,44 @@ columns keyed by id; events are few beside them, and the optimiser may broadcast
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import Scratch
+
+
+def resolve(merges: DataFrame) -> DataFrame:
+    """merges: survivor, loser, each loser once. The same with survivors that nothing retires, found by doubling jumps."""
+    scratch = Scratch(merges.sparkSession, "resolve")
+    m = scratch.write(merges.select("survivor", "loser"), "m")
+    while True:
+        up = m.select(F.col("loser").alias("survivor"), F.col("survivor").alias("up"))
+        nxt = scratch.write(m.join(up, "survivor", "left").select(F.coalesce("up", "survivor").alias("survivor"), "loser", F.col("up").isNotNull().alias("moved")), "m")
+        scratch.drop(m)
+        m = nxt.select("survivor", "loser")
+        m._tamarack_path = nxt._tamarack_path
+        if nxt.where("moved").isEmpty():
+            return m
+
+
+def split_categories(categories: DataFrame, painpoints: DataFrame, parts: DataFrame, members: DataFrame, next_id: int, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """parts: category_id, label, part; members: id, label. Each part becomes a child of its category with an id from next_id on,
+    in order of category and part, and takes its members; a category left empty that has a parent goes, its children to the parent.
+    names: category_id, part, name, description, else AutoCat-n."""
+    n = F.row_number().over(Window.orderBy("category_id", "part"))  # a row a part: few
+    new = parts.withColumn("n", n).withColumn("new_id", (F.lit(next_id) + F.col("n") - 1).cast("long"))
+    if names is not None:
+        new = new.join(names, ["category_id", "part"], "left")
+    else:
+        new = new.withColumn("name", F.lit(None).cast("string")).withColumn("description", F.lit(None).cast("string"))
+    moved = members.join(new.select("label", "category_id", "new_id"), "label").select("id", F.col("category_id").alias("was"), "new_id")
+    p = painpoints.join(moved, "id", "left").withColumn("category_id", F.when(F.col("category_id") == F.col("was"), F.col("new_id")).otherwise(F.col("category_id"))).drop("was", "new_id")
+    left = p.where("category_id is not null").select(F.col("category_id").alias("id")).distinct()
+    empty = new.select(F.col("category_id").alias("id")).distinct().join(left, "id", "left_anti").join(categories.where("parent_id is not null").select("id", "parent_id"), "id").select(F.col("id").alias("gone"), F.col("parent_id").alias("above"))
+    made = new.select(F.col("new_id").alias("id"), F.coalesce("name", F.concat(F.lit("AutoCat-"), F.col("n").cast("string"))).alias("name"), F.col("category_id").alias("parent_id"), "description", F.lit(False).alias("is_seed"))
+    c = categories.unionByName(made, allowMissingColumns=True).join(empty, F.col("parent_id") == F.col("gone"), "left").withColumn("parent_id", F.coalesce("above", "parent_id")).drop("gone", "above")
+    return c.join(empty.select(F.col("gone").alias("id")), "id", "left_anti"), p
 
 
 def move_members(painpoints: DataFrame, moves: DataFrame, now: str) -> DataFrame:

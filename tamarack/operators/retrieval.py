@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
+from . import vectors as V
 
 
 def raw_tokens(c: Column) -> Column:
@@ -33,23 +34,35 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, text: str = "text") -> Dat
     return score.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def fuse(dense: DataFrame, lexical: DataFrame, k: int = K.RRF_TOP) -> DataFrame:
+def fuse(dense: DataFrame, lexical: DataFrame, k: int | None = K.RRF_TOP) -> DataFrame:
     """Reciprocal rank fusion of two (q, id, rank) lists, ranks from 1 here and from 0 in the formula; equal scores keep the
-    dense order, then the lexical one."""
+    dense order, then the lexical one. k: how many come out, None for all."""
     one = lambda df, n: df.select("q", "id", (1 / (F.lit(K.RRF_K) + F.col("rank") - 1)).alias("s"), F.struct(F.lit(n).alias("list"), "rank").alias("seen"))
     both = one(dense, 0).unionByName(one(lexical, 1)).groupBy("q", "id").agg(F.sum("s").alias("rrf"), F.min("seen").alias("seen"))
     w = Window.partitionBy("q").orderBy(F.round("rrf", 12).desc(), "seen")
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q", "id", F.round("rrf", 9).alias("rrf"), "rank")
+    ranked = both.withColumn("rank", F.row_number().over(w))
+    return (ranked if k is None else ranked.where(F.col("rank") <= k)).select("q", "id", F.round("rrf", 9).alias("rrf"), "rank")
 
 
-def hybrid(dense: DataFrame, lexical: DataFrame, exclude: DataFrame, k: int = K.RRF_TOP) -> DataFrame:
-    """Both lists without the excluded (q, id), re-ranked and cut to k, then fused. Lists come long enough: k + what is excluded."""
+def hybrid(queries: DataFrame, categories: DataFrame, asks: DataFrame, docs: DataFrame, exclude: DataFrame, k: int = K.RRF_TOP) -> DataFrame:
+    """(q, id, sim, rrf, rank): categories near a query by vector or by words, fused. queries: q, v; categories: id, v; asks: q,
+    text; docs: id, text; exclude: q, id.
+
+    Uncategorized is always left out, and what exclude names. Each list is cut to k without the excluded ones; what both hold
+    comes out whole. sim is the cosine of every one, 0 where a vector is missing; it decides, the fusion only finds.
+    """
+    out = exclude.select("q", "id").where("id is not null").unionByName(queries.select("q", F.lit(K.UNCATEGORIZED).cast("long").alias("id"))).distinct()
+    most = out.groupBy("q").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    w = Window.partitionBy("q").orderBy("rank")
 
     def cut(df: DataFrame) -> DataFrame:
-        w = Window.partitionBy("q").orderBy("rank")
-        return df.join(exclude, ["q", "id"], "left_anti").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        left = df.select("q", "id", "rank").join(out, ["q", "id"], "left_anti")
+        return left.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    return fuse(cut(dense), cut(lexical), k)
+    dense = V.nearest(queries.select(F.col("q").alias("id"), "v"), categories, k + most, exclude_self=False)
+    got = fuse(cut(dense), cut(bm25(asks, docs, k + most)), None)
+    got = got.join(queries.select("q", F.col("v").alias("qv")), "q").join(categories.select("id", F.col("v").alias("cv")), "id", "left")
+    return got.select("q", "id", V.cosine(F.col("qv"), F.col("cv")).alias("sim"), "rrf", "rank")
 
 
 def creation_gate(best: Column, threshold: float = K.SIMILAR_CATEGORY) -> Column:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,6 +117,37 @@ def similarity_join(vectors: DataFrame, threshold: float, block: int = BLOCK) ->
     return _against(vectors, vectors, keep, block).select(F.col("q").alias("id_a"), F.col("id").alias("id_b"), "sim")
 
 
+#: Vectors of one key that are met in one place.
+TILE = 1024
+
+
+def pairs_within(vectors: DataFrame, key: str, threshold: float, tile: int = TILE) -> DataFrame:
+    """(key, id_a, id_b, sim), id_a < id_b, of the pairs of one key with a cosine of at least the threshold, exactly.
+
+    vectors: id, v and the key; a null key is a key too. Only vectors of one key meet. A key's vectors are split into tiles,
+    each pair of tiles is a cell of at most two tiles, so a key of any size takes bounded memory.
+    """
+    rows = vectors.select(F.col("id").cast("long").alias("id"), F.col(key).alias("key"), "v").where("v is not null and id is not null")
+    n = rows.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).withColumnRenamed("key", "of")
+    rows = rows.join(n, F.col("key").eqNullSafe(F.col("of"))).withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    cell = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(F.least("t", j).alias("i"), F.greatest("t", j).alias("j")))
+    rows = rows.select("key", "id", "v", "t", F.explode(cell).alias("c")).select("key", "c.i", "c.j", "t", "id", "v")
+    out = vectors.select(F.col(key).alias("key")).schema["key"].dataType.simpleString()
+
+    def meet(part: pd.DataFrame) -> pd.DataFrame:
+        i, j = part["i"].iloc[0], part["j"].iloc[0]
+        a = part[part["t"] == i]
+        b = a if i == j else part[part["t"] == j]
+        ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
+        sims = _rows(a["v"].tolist(), 1) @ _rows(b["v"].tolist(), 1).T if len(a) and len(b) else np.empty((len(a), len(b)))
+        x, y = np.nonzero((sims >= threshold) & ((ia[:, None] < ib[None, :]) if i == j else (ia[:, None] != ib[None, :])))
+        got = pd.DataFrame({"id_a": np.minimum(ia[x], ib[y]), "id_b": np.maximum(ia[x], ib[y]), "sim": sims[x, y]})
+        got.insert(0, "key", part["key"].iloc[0])
+        return got
+
+    return rows.groupBy("key", "i", "j").applyInPandas(meet, f"key {out}, id_a long, id_b long, sim double")
+
+
 def centroids(vectors: DataFrame, by: str, vec: str = "v") -> DataFrame:
     """Sum, count and normalised mean by group, added up by position: no group is collected."""
     n = vectors.groupBy(by).agg(F.count("*").alias("n"))

@@ -12,7 +12,7 @@ from ..operators import vectors as V
 from ..session import Scratch
 
 T1, T2, ROUTE = 0.38, 0.42, 0.02
-NOW = "2026-01-01"
+NOW, LATER = "2026-01-01", "2026-01-02"
 
 
 def _vec(v: Views):
@@ -66,8 +66,12 @@ def _rank(df):
 
 
 def _hybrid(v: Views):
-    ex = v.painpoints.where("id % 50 = 0").select(F.col("id").alias("q"), F.col("category_id").alias("id"))
-    return R.hybrid(_dense(v).select("q", "id", "rank"), R.bm25(_asks(v), _docs(v), 20).select("q", "id", "rank"), ex)
+    """For each asked painpoint the categories but its own and Uncategorized, by the delivered vectors of both ids and by words."""
+    asked = v.painpoints.where("id % 50 = 0")
+    cats = _vec(v).join(v.categories.select("id"), "id", "left_semi").select("id", "v")
+    queries = _vec(v).join(asked.select("id"), "id", "left_semi").select(F.col("id").alias("q"), "v")
+    asks = _asks(v).join(queries.select("q"), "q", "left_semi")
+    return R.hybrid(queries, cats, asks, _docs(v), asked.select(F.col("id").alias("q"), F.col("category_id").alias("id")))
 
 
 def _fates(v: Views):
@@ -84,10 +88,13 @@ def _similar_categories(v: Views):
 
 
 def _reroutes(v: Views):
-    m = _members(v)
-    loo = V.leave_one_out(m, "category_id")
-    cand = V.nearest(m.select("id", "v"), _catvec(v), 3, exclude_self=False)
-    return W.reroutes(m.select("id", "category_id"), loo, cand, ROUTE)
+    """By hybrid candidates: the groups' centroids and the texts of the categories of those ids."""
+    m = Scratch(v.spark, "members").write(_members(v), "m")
+    cats = _catvec(v).where(F.col("id") != K.UNCATEGORIZED)
+    docs = _docs(v).join(cats.select("id"), "id", "left_semi")
+    asks = m.join(v.painpoints.select("id", "title", "description"), "id").select(F.col("id").alias("q"), F.concat_ws(" ", "title", "description").alias("text"))
+    cand = R.hybrid(m.select(F.col("id").alias("q"), "v"), cats, asks, docs, m.select(F.col("id").alias("q"), F.col("category_id").alias("id")))
+    return W.reroutes(m.select("id", "category_id"), V.leave_one_out(m, "category_id"), cand, ROUTE)
 
 
 def _pp_pairs(v: Views):
@@ -95,6 +102,27 @@ def _pp_pairs(v: Views):
     return W.painpoint_pairs(m.drop("v"), m.select("id", "v"), 0.3, 20)
 
 
+def _folded(v: Views):
+    return W.fold_merges(_pp_pairs(v), "category_id", "rank").select(F.col("grp").alias("category_id"), F.col("at").alias("rank"), "survivor", "loser", "accepted", "reason")
+
+
+def _siblings(v: Views):
+    """Sibling merges after the fold, by parent, in the order of the ids."""
+    e = W.sibling_merges(v.categories, _vec(v).select("id", "v"), 0.25, 0.2).join(v.categories.select(F.col("id").alias("survivor"), F.coalesce("parent_id", F.lit(0)).alias("parent")), "survivor")
+    return W.fold_merges(e.withColumn("at", F.struct("survivor", "loser")).withColumn("at", F.col("survivor") * 1_000_000 + F.col("loser")), "parent", "at")
+
+
+def _moved(v: Views):
+    """The painpoints as they are after the accepted merges: losers gone."""
+    return _members(v).join(_folded(v).where("accepted").select(F.col("loser").alias("id")), "id", "left_anti")
+
+
+def _split(v: Views):
+    m = Scratch(v.spark, "members").write(_members(v).select("id", "category_id", "v"), "m")
+    crowded = m.groupBy(F.col("category_id").alias("id")).agg(F.count("*").alias("n")).where((F.col("n") >= K.SPLIT_MIN_SIZE) & (F.col("id") != K.UNCATEGORIZED)).select("id")
+    return W.split_clusters(crowded, m.select("id", "category_id"), V.pairs_within(m, "category_id", 0.3), 2)
+
+
 def _clusters(v: Views):
     m = _members(v).where(F.col("category_id") == K.UNCATEGORIZED)
     return W.uncategorised_clusters(m.select("id"), V.similarity_join(m.select("id", "v"), 0.3), 0.3, 2)
@@ -116,12 +144,17 @@ _Q = {
     "cluster_summary": lambda v: V.cluster_summary(Scratch(v.spark, "pairs").write(_pairs(v), "p"), _vec(v), [T1, 0.40, T2]),
     "bm25_topk": lambda v: _rank(R.bm25(_asks(v), _docs(v), 10)),
     "rrf_fusion": lambda v: _rank(R.fuse(_dense(v).where(F.col("rank") <= 10), R.bm25(_asks(v), _docs(v), 10))),
-    "hybrid_candidates": lambda v: _rank(_hybrid(v)),
+    "hybrid_candidates": lambda v: _rank(_round(_hybrid(v), "sim")),
     "split_fate": _fates,
     "sweep_uncat_clusters": _clusters,
     "sweep_homeless": lambda v: W.homeless(_members(v).where(F.col("category_id") == K.UNCATEGORIZED).select("id", "signal_count", "severity"), _clusters(v), V.nearest(_members(v).where(F.col("category_id") == K.UNCATEGORIZED).select("id", "v"), _catvec(v).where(F.col("id") != 1), 1, exclude_self=False), 0.2).select("id", F.round("best", 6).alias("best"), "priority"),
     "sweep_split_candidates": lambda v: W.split_candidates(v.categories, v.painpoints, F.col("id") % 5),
-    "sweep_delete": lambda v: W.delete_candidates(v.categories, v.painpoints, NOW, 300),
+    "sweep_delete": lambda v: W.delete_candidates(v.stamped_categories, v.painpoints, NOW, 90),
+    "sweep_split": _split,
+    "sweep_merge_fold": lambda v: _siblings(v).select("survivor", "loser", "accepted", "reason"),
+    "sweep_painpoint_fold": lambda v: _rank(_folded(v)),
+    "accept_delete": lambda v: W.accept_deletes(W.delete_candidates(v.stamped_categories, v.painpoints, NOW, 90).select("id", "metric"), v.stamped_categories, v.painpoints, LATER, 150),
+    "accept_reroute": lambda v: W.accept_reroutes(_reroutes(v), _moved(v), v.categories.where(F.col("id") != 5)),
     "sweep_merge": lambda v: W.sibling_merges(v.categories, _vec(v).select("id", "v"), 0.25, 0.2),
     "sweep_painpoint_pairs": lambda v: _rank(_pp_pairs(v)),
     "sweep_reroute": _reroutes,
@@ -146,6 +179,20 @@ _PAIR = lambda t, src="E": f"pr AS (SELECT a.id AS id_a, b.id AS id_b, {_COS('a.
 _M = "M AS (SELECT p.id, signal_count, severity, last_updated, e.v, e.label AS category_id FROM painpoints p JOIN E e ON e.id = p.id)"
 _PP = f"""{_E}, {_M}, pr AS (SELECT a.id AS ia, b.id AS ib, a.category_id, a.signal_count AS sa, b.signal_count AS sb, round({_COS('a.v', 'b.v')}, 6) AS sim FROM M a JOIN M b ON a.category_id = b.category_id AND a.id < b.id WHERE a.category_id <> 1 AND {_COS('a.v', 'b.v')} >= 0.3),
 pp AS (SELECT category_id, CASE WHEN coalesce(sa, 1) >= coalesce(sb, 1) THEN ia ELSE ib END AS survivor, CASE WHEN coalesce(sa, 1) >= coalesce(sb, 1) THEN ib ELSE ia END AS loser, sim, row_number() OVER (PARTITION BY category_id ORDER BY sim DESC, ia DESC, ib DESC) AS rank FROM pr QUALIFY rank <= 20)"""
+_OUT = "ex AS (SELECT id AS q, category_id AS id FROM painpoints UNION SELECT id, 1 FROM E)"
+_ACT = f"""st0 AS (SELECT category_id AS id, max(extracted_at) AS stamp FROM pending_painpoints GROUP BY 1), mem AS (SELECT category_id AS id, count(*) AS members, max(last_updated) AS newest FROM painpoints GROUP BY 1),
+act AS (SELECT c.id, coalesce(members, 0) AS members, stamp, coalesce(stamp, newest) AS last FROM categories c LEFT JOIN st0 USING (id) LEFT JOIN mem USING (id) WHERE c.name <> 'Uncategorized'),
+doomed AS (SELECT *, 'member_count' AS metric FROM act WHERE members = 0 AND stamp IS NOT NULL UNION ALL SELECT *, 'category_age_days' FROM act WHERE members > 0 AND last < TIMESTAMP '{NOW}' - INTERVAL 90 DAY)"""
+_WHY = "CASE WHEN accepted THEN 'applied' ELSE 'cascade: survivor or loser already retired' END"
+_FOLD = lambda src, grp, at: f"""f AS (SELECT {grp} AS grp, CAST({at} AS BIGINT) AS at, survivor, loser, true AS accepted, [loser] AS gone FROM {src} WHERE {at} = 1 UNION ALL
+  SELECT f.grp, f.at + 1, s.survivor, s.loser, NOT list_has_any(f.gone, [s.survivor, s.loser]), CASE WHEN list_has_any(f.gone, [s.survivor, s.loser]) THEN f.gone ELSE list_append(f.gone, s.loser) END FROM f JOIN {src} s ON s.{grp} = f.grp AND s.{at} = f.at + 1)"""
+_PPL = _PP[len(_E) + len(_M) + 4 :]
+_BM_ALL = _BM.replace("FROM categories)", "FROM categories WHERE id IN (SELECT label FROM embeddings WHERE label <> 1))").replace("FROM painpoints WHERE id % 50 = 0)", "FROM painpoints WHERE id IN (SELECT vec_id FROM embeddings))")
+_REROUTE = f"""own AS (SELECT m.id, m.category_id, m.v, CASE WHEN m.category_id = 1 OR mc.n <= 1 THEN 0.0 ELSE {_COS('m.v', 'list_transform(list_zip(mc.total, m.v), lambda z: z[1] - z[2])')} END AS own FROM M m
+  JOIN (SELECT category_id, count(*) AS n, list_transform(range(1, 65), lambda i: list_sum(list_transform(list(v), lambda x: x[i]))) AS total FROM M GROUP BY 1) mc USING (category_id)),
+near AS (SELECT o.id AS q, c.label AS id, row_number() OVER (PARTITION BY o.id ORDER BY {_COS('o.v', 'c.c')} DESC, c.label) AS rank FROM own o JOIN cent c ON c.label <> 1 AND c.label <> o.category_id),
+lex2 AS (SELECT q, l.id, row_number() OVER (PARTITION BY q ORDER BY rank) AS rank FROM lex l JOIN own o ON o.id = l.q WHERE l.id <> o.category_id), {_FUSE('near', 'lex2')},
+rr AS (SELECT o.id, o.category_id, r.id AS target, round(coalesce({_COS('o.v', 'c.c')}, 0) - own, 6) AS metric FROM own o JOIN ranked r ON r.q = o.id AND r.rank = 1 LEFT JOIN cent c ON c.label = r.id WHERE round(coalesce({_COS('o.v', 'c.c')}, 0) - own, 6) >= {ROUTE})"""
 _UC = f"""{_CENT}, {_M}, U AS (SELECT * FROM M WHERE category_id = 1), {_PAIR(0.3, 'U')}, {_CC}, uc AS (SELECT id, label, count(*) OVER (PARTITION BY label) AS size FROM lab)"""
 
 ORACLE = {
@@ -163,14 +210,19 @@ ORACLE = {
     "clusters": f"WITH RECURSIVE {_E}, {_PAIR(T2)}, {_CC} SELECT id, label FROM lab",
     "bm25_topk": f"WITH {_BM} SELECT q, id, score, rank FROM lex WHERE rank <= 10",
     "rrf_fusion": f"WITH {_BM}, {_DENSE}, {_FUSE('dense', 'lex')} SELECT * FROM ranked WHERE rank <= 10",
-    "hybrid_candidates": f"WITH {_BM}, {_DENSE}, d2 AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY rank) AS rank FROM dense WHERE rank <= 20 AND (q, id) NOT IN (SELECT (id, category_id) FROM painpoints WHERE category_id IS NOT NULL)), l2 AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY rank) AS rank FROM lex WHERE rank <= 20 AND (q, id) NOT IN (SELECT (id, category_id) FROM painpoints WHERE category_id IS NOT NULL)), {_FUSE('d2', 'l2')} SELECT * FROM ranked WHERE rank <= 10",
+    "hybrid_candidates": f"WITH {_BM}, {_DENSE}, {_OUT}, d2 AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY rank) AS rank FROM dense ANTI JOIN ex USING (q, id) WHERE q IN (SELECT id FROM painpoints)), l2 AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY rank) AS rank FROM lex ANTI JOIN ex USING (q, id) WHERE q IN (SELECT id FROM E)), {_FUSE('d2', 'l2')} SELECT q, r.id, coalesce(round({_COS('a.v', 'b.v')}, 6), 0.0) AS sim, rrf, rank FROM ranked r JOIN E a ON a.id = q LEFT JOIN E b ON b.id = r.id",
     "split_fate": f"WITH {_CENT}, b AS (SELECT e.id AS q, e.label, e.v, c.label AS best_label, {_COS('e.v', 'c.c')} AS s FROM E e, cent c WHERE e.id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY e.id ORDER BY {_COS('e.v', 'c.c')} DESC, c.label) = 1), o AS (SELECT b.*, {_COS('b.v', 'c.c')} AS o FROM b JOIN cent c USING (label)) SELECT q, best_label, round(s, 6) AS best, round(o, 6) AS own, CASE WHEN s >= 0.35 THEN 'absorb' ELSE 'create' END AS gate, CASE WHEN s >= 0.4 THEN 'absorb' WHEN s >= 0.2 AND s - o >= 0.05 AND best_label % 2 <> label % 2 THEN 'replant' ELSE 'create' END AS fate FROM o",
     "sweep_uncat_clusters": f"WITH RECURSIVE {_UC} SELECT * FROM uc WHERE size >= 2",
     "sweep_homeless": f"WITH RECURSIVE {_UC}, nb AS (SELECT u.id, max({_COS('u.v', 'c.c')}) AS best FROM U u, cent c WHERE c.label <> 1 GROUP BY 1) SELECT u.id, round(best, 6) AS best, CAST(coalesce(signal_count, 1) * coalesce(severity, 5) AS BIGINT) AS priority FROM U u LEFT JOIN nb ON nb.id = u.id WHERE u.id NOT IN (SELECT id FROM uc WHERE size >= 2) AND (best IS NULL OR best < 0.2)",
     "sweep_split_candidates": "SELECT c.id, c.name, count(*) AS members, c.id % 5 AS last_count FROM categories c JOIN painpoints p ON p.category_id = c.id GROUP BY c.id, c.name HAVING count(*) >= 10 AND count(*) - c.id % 5 >= 10",
-    "sweep_delete": f"SELECT c.id, count(*) AS members, CAST(floor((epoch(TIMESTAMP '{NOW}') - floor(epoch(max(last_updated)))) / 86400) AS BIGINT) AS idle_days FROM categories c JOIN painpoints p ON p.category_id = c.id WHERE NOT is_seed AND c.id <> 1 GROUP BY c.id HAVING max(last_updated) < TIMESTAMP '{NOW}' - INTERVAL 300 DAY",
+    "sweep_delete": f"WITH {_ACT} SELECT id, metric, CASE WHEN members = 0 THEN 0.0 ELSE round(epoch_us(TIMESTAMP '{NOW}') / 86400e6 - epoch_us(last) / 86400e6, 6) END AS value, CASE WHEN members = 0 THEN 0.0 ELSE 90.0 END AS threshold FROM doomed",
+    "accept_delete": f"WITH {_ACT} SELECT id, metric, CASE WHEN members > 0 AND last >= TIMESTAMP '{LATER}' - INTERVAL 150 DAY THEN 'member activity at ' || strftime(last, '%Y-%m-%d %H:%M:%S') || ' is fresh' ELSE 'applied' END AS reason, NOT (members > 0 AND last >= TIMESTAMP '{LATER}' - INTERVAL 150 DAY) AS accepted FROM doomed",
+    "sweep_split": f"WITH RECURSIVE {_E}, {_M}, crowd AS (SELECT category_id FROM M WHERE category_id <> 1 GROUP BY 1 HAVING count(*) >= 10), pr AS (SELECT a.id AS id_a, b.id AS id_b FROM M a JOIN M b ON a.category_id = b.category_id AND a.id < b.id WHERE {_COS('a.v', 'b.v')} >= 0.3), {_CC}, sz AS (SELECT m.category_id, label, count(*) AS size FROM lab JOIN M m USING (id) WHERE m.category_id IN (SELECT category_id FROM crowd) GROUP BY ALL HAVING count(*) >= 2) SELECT category_id, label, size, CAST(part AS INT) AS part FROM (SELECT *, row_number() OVER (PARTITION BY category_id ORDER BY size DESC, label) AS part, count(*) OVER (PARTITION BY category_id) AS n FROM sz) WHERE n >= 2 AND part <= 4",
+    "sweep_painpoint_fold": f"WITH RECURSIVE {_PP}, {_FOLD('pp', 'category_id', 'rank')} SELECT grp AS category_id, f.at AS rank, survivor, loser, accepted, {_WHY} AS reason FROM f",
+    "sweep_merge_fold": f"WITH RECURSIVE {_E}, k AS (SELECT c.id, parent_id, v FROM categories c JOIN E e ON e.id = c.id), mm AS (SELECT coalesce(a.parent_id, 0) AS parent, a.id AS survivor, b.id AS loser, row_number() OVER (PARTITION BY a.parent_id ORDER BY a.id, b.id) AS n FROM k a JOIN k b ON a.id < b.id AND a.parent_id IS NOT DISTINCT FROM b.parent_id WHERE {_COS('a.v', 'b.v')} >= CASE WHEN a.parent_id IS NULL THEN 0.2 ELSE 0.25 END), {_FOLD('mm', 'parent', 'n')} SELECT survivor, loser, accepted, {_WHY} AS reason FROM f",
+    "accept_reroute": f"WITH RECURSIVE {_BM_ALL}, {_CENT}, {_M}, {_REROUTE}, {_PPL}, {_FOLD('pp', 'category_id', 'rank')} SELECT r.id, category_id, target, metric, CASE WHEN r.id IN (SELECT loser FROM f WHERE accepted) THEN 'cascade: painpoint deleted' WHEN target = 5 OR target NOT IN (SELECT id FROM categories) THEN 'cascade: target category ' || target || ' gone' ELSE 'applied' END AS reason, r.id NOT IN (SELECT loser FROM f WHERE accepted) AND target <> 5 AND target IN (SELECT id FROM categories) AS accepted FROM rr r",
     "sweep_merge": f"WITH {_E}, k AS (SELECT c.id, parent_id, v FROM categories c JOIN E e ON e.id = c.id) SELECT a.id AS survivor, b.id AS loser, round({_COS('a.v', 'b.v')}, 6) AS metric FROM k a JOIN k b ON a.id < b.id AND a.parent_id IS NOT DISTINCT FROM b.parent_id WHERE {_COS('a.v', 'b.v')} >= CASE WHEN a.parent_id IS NULL THEN 0.2 ELSE 0.25 END",
     "sweep_painpoint_pairs": f"WITH {_PP} SELECT * FROM pp",
-    "sweep_reroute": f"WITH {_CENT}, {_M}, own AS (SELECT m.id, m.category_id, m.v, CASE WHEN m.category_id = 1 OR mc.n <= 1 THEN 0.0 ELSE {_COS('m.v', 'list_transform(list_zip(mc.total, m.v), lambda z: z[1] - z[2])')} END AS own FROM M m JOIN (SELECT category_id, count(*) AS n, list_transform(range(1, 65), lambda i: list_sum(list_transform(list(v), lambda x: x[i]))) AS total FROM M GROUP BY 1) mc USING (category_id)), near AS (SELECT o.id, o.category_id, o.own, c.label, {_COS('o.v', 'c.c')} AS sim, row_number() OVER (PARTITION BY o.id ORDER BY {_COS('o.v', 'c.c')} DESC, c.label) AS rank FROM own o, cent c QUALIFY rank <= 3) SELECT id, category_id, label AS target, round(sim - own, 6) AS metric FROM (SELECT * FROM near WHERE label <> category_id AND label <> 1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank) = 1) WHERE round(sim - own, 6) >= {ROUTE}",
+    "sweep_reroute": f"WITH {_BM_ALL}, {_CENT}, {_M}, {_REROUTE} SELECT * FROM rr",
     "acceptance_tests": f"WITH {_PP}, X AS (SELECT id, CASE WHEN id % 13 = 0 THEN 99 ELSE category_id END AS category_id FROM M WHERE id % 9 <> 0) SELECT survivor, loser, sim, CASE WHEN s.category_id IS NULL OR l.category_id IS NULL THEN 'cascade: painpoint deleted' WHEN s.category_id <> l.category_id THEN 'cascade: survivor/loser moved categories' ELSE 'applied' END AS reason, coalesce(s.category_id = l.category_id, false) AS accepted FROM pp LEFT JOIN X s ON s.id = survivor LEFT JOIN X l ON l.id = loser",
 }
