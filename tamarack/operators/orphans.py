@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import partitions
+
 PER_RANGE = 200_000
 PER_TASK = 400_000
 MAX_RANGES = 4096
@@ -61,7 +63,11 @@ def find_orphans(refs: DataFrame, parents: DataFrame, per_range: int = PER_RANGE
             miss = np.ones(len(want), bool)
         return left.loc[miss, ["tab", "field", "row_id", "ref", "at"]]
 
+    # as many places as pieces, fixed, so that several pieces don't fall together in one task
     keys = ("target", "rng", "part")
+    pieces = sum(len(cuts) + 1 for cuts in bounds.values()) + sum(-(-r.n // per_task) for r in many)
+    n = max(partitions(spark), min(pieces, 20_000))
+    refs, held = refs.repartition(n, *keys), held.repartition(n, *keys)
     return refs.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(probe, "tab string, field string, row_id long, ref long, at timestamp")
 
 

@@ -63,6 +63,13 @@ class Scratch:
         ship(spark)
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
 
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        """For results that were written elsewhere: all tables of this run go."""
+        self._rm(self.base)
+
     def path(self, name: str = "t") -> str:
         self.n += 1
         return f"{self.base}/{self.n:04d}-{name}"

@@ -36,6 +36,16 @@ class Store:
         v = self.version(table) if version is None else version
         return self.spark.read.parquet(f"{self.base}/{table}/v{v:06d}")
 
+    def write_part(self, table: str, part: int, df: DataFrame) -> None:
+        """One part of a table that grows by parts; written again it replaces itself, and half written it isn't read."""
+        df.write.mode("overwrite").parquet(f"{self.base}/{table}/p{part:09d}")
+
+    def parts(self, table: str, below: int | None = None) -> DataFrame | None:
+        """All whole parts, or those below a number; None where there are none."""
+        have = [n for n in self._names(f"{self.base}/{table}") if n[0] == "p" and self._exists(f"{self.base}/{table}/{n}/_SUCCESS")]
+        paths = [f"{self.base}/{table}/{n}" for n in have if below is None or int(n[1:]) < below]
+        return self.spark.read.parquet(*paths) if paths else None
+
     def snapshot(self, label: str, tables: dict[str, DataFrame]) -> str:
         n = len(self._names(f"{self.base}/snapshots"))
         name = f"{n:02d}_{label}"
