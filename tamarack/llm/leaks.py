@@ -3,8 +3,12 @@
 Texts are compared as their words (runs of letters and digits, lower-cased) joined by one blank. A passage of L
 characters within e edits of another shares at least L + 1 - q(e + 1) of its q-grams with it, all on diagonals at most
 e apart. So shared q-grams are counted in overlapping bands of diagonals; the windows of L characters that meet the
-bound stay and are aligned within the band. The items are a stated query set: they go over the corpus in blocks of at
-most BLOCK_CHARS characters, each broadcast to one scan of the documents, so the memory of a task is bounded.
+bound stay, and around every run of q-grams there the texts are aligned within the band, as far as the edits go to both sides.
+
+The corpus is scanned once, however many items there are: a bit map of all items' q-grams is sent to that scan, which
+keeps the documents with a window of L + e characters that holds enough of them. Only these suspects meet the items, in
+blocks of at most BLOCK_CHARS characters. q follows the length of an item's own passages, so items of short words don't
+blunt the search for the others.
 """
 
 from __future__ import annotations
@@ -15,13 +19,19 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch, partitions
+from .keyfilter import KeyFilter
+from .wordhash import buffers, span_hash, span_sums
+
 WORDS = 12
 EDITS = 2
 BLOCK_CHARS = 2_000_000
-SHORT = 6
+#: Lengths of q-grams; an item takes the longest that its passages allow.
+QS = (4, 6, 8, 12, 16, 24)
 _WORD = re.compile(r"[^\W_]+")
 _SCHEMA = "doc_id long, item_id long, shared_qgrams int, doc_from int, item_from int, edits int, shared_run boolean"
 
@@ -42,33 +52,77 @@ def qgrams(data: bytes, q: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def banded_edits(a: bytes, band: bytes) -> int:
-    """Least edits that turn a into some part of band, the text between the outer diagonals; a column of the alignment is one integer, bit i for row i."""
-    peq: dict[int, int] = {}
-    for i, x in enumerate(a):
-        peq[x] = peq.get(x, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, edits = full, 0, len(a)
-    best = edits
-    for x in band:
-        eq = peq.get(x, 0)
-        v = eq | down
-        h = (((eq & up) + up) ^ up) | eq
-        ph, mh = (down | ~(h | up)) & full, up & h
-        if ph & top:
-            edits += 1
-        elif mh & top:
-            edits -= 1
-            best = min(best, edits)
-        ph, mh = ph << 1, mh << 1
-        up, down = (mh | ~(v | ph)) & full, ph & v & full
-    return best
+def gram_keys(data: bytes, q: int) -> np.ndarray:
+    """The q-grams of one text as Suspects hashes them."""
+    n = len(data) - q + 1
+    s = np.arange(max(0, n))
+    return span_hash(span_sums(np.frombuffer(data, np.uint8)), s, s + q)
+
+
+def _same(x: bytes, i: int, y: bytes, j: int) -> int:
+    """How many bytes are equal from x[i] and y[j] on."""
+    n = min(len(x) - i, len(y) - j)
+    if n <= 0 or x[i : i + n] == y[j : j + n]:
+        return max(n, 0)
+    lo = 0
+    while n - lo > 1:
+        mid = (lo + n) // 2
+        if x[i + lo : i + mid] == y[j + lo : j + mid]:
+            lo = mid
+        else:
+            n = mid
+    return lo
+
+
+def reach(x: bytes, y: bytes, edits: int) -> list[tuple[int, int]]:
+    """For 0, 1, ... edits the most bytes of x, and then of y, that a common beginning of both takes in: the alignment in a band of as
+    many diagonals to each side, kept as the furthest place on every diagonal."""
+    at = {0: _same(x, 0, y, 0)}
+    out = [(at[0], at[0])]
+    for k in range(1, edits + 1):
+        new = {}
+        for d in range(-k, k + 1):  # y is d bytes further than x
+            i = max(at.get(d, -2) + 1, at.get(d - 1, -2), at.get(d + 1, -2) + 1)
+            i = min(i, len(x), len(y) - d)
+            if i >= 0 and i + d >= 0:
+                new[d] = i + _same(x, i, y, i + d)
+        at = new
+        best = max(((i, i + d) for d, i in at.items()), default=out[-1])
+        out.append(max(best, out[-1]))
+    return out
+
+
+def aligned(item: bytes, i: int, doc: bytes, j: int, least: int, edits: int) -> tuple[int, int, int] | None:
+    """(edits, start in the document, start in the item) of a passage of at least that many bytes around equal bytes at i and j,
+    with the fewest edits; None if it takes more edits."""
+    right = reach(item[i : i + least], doc[j : j + least + edits], edits)
+    left = reach(item[max(0, i - least) : i][::-1], doc[max(0, j - least - edits) : j][::-1], edits)
+    for k in range(edits + 1):
+        for n in range(k + 1):
+            if left[n][0] + right[k - n][0] >= least:
+                return k, j - left[n][1], i - left[n][0]
+    return None
+
+
+def passages(text: str | None, words: int, edits: int) -> tuple[bytes, int, int] | None:
+    """The words of an item, the least length of so many of them in a row, and the q that this length allows; None for fewer words."""
+    w = words_of(text)
+    if len(w) < words:
+        return None
+    ends = np.cumsum([len(x.encode()) + 1 for x in w])
+    least = int((ends[words - 1 :] - np.r_[0, ends[: len(w) - words]]).min()) - 1
+    return " ".join(w).encode(), least, max((q for q in QS if q <= least // (edits + 1)), default=QS[0])
+
+
+def bound(least: int, q: int, edits: int) -> int:
+    """The lemma: q-grams that a passage of so many characters shares with any within so many edits."""
+    return max(1, least + 1 - q * (edits + 1))
 
 
 class Items:
-    """The q-gram index of one block of items."""
+    """The q-gram index of one block of items of one q."""
 
-    def __init__(self, rows: list[tuple[int, str]], words: int, edits: int) -> None:
+    def __init__(self, rows: list[tuple[int, str]], words: int, edits: int, q: int | None = None) -> None:
         self.words, self.edits = words, edits
         toks = [(i, w) for i, t in rows if len(w := words_of(t)) >= words]
         self.ids = [i for i, _ in toks]
@@ -76,8 +130,8 @@ class Items:
         spans = [[" ".join(w[k : k + words]) for k in range(len(w) - words + 1)] for _, w in toks]
         self.runs = [frozenset(s) for s in spans]
         self.least = min((len(x.encode()) for s in spans for x in s), default=2 * words - 1)
-        self.q = max(4, min(24, self.least // (edits + 1)))
-        self.bound = max(1, self.least + 1 - self.q * (edits + 1))
+        self.q = q or max((x for x in QS if x <= self.least // (edits + 1)), default=QS[0])
+        self.bound = bound(self.least, self.q, edits)
         grams = [qgrams(t, self.q) for t in self.text]
         flat = np.concatenate(grams) if grams else np.empty(0, np.uint64)
         order = np.argsort(flat, kind="stable")
@@ -85,11 +139,13 @@ class Items:
         self.item = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])[order] if grams else np.empty(0, np.int32)
         self.pos = (np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams]) if grams else np.empty(0, np.int32))[order]
 
-    def may_align(self, part: bytes, near: bytes) -> bool:
-        """The lemma once more, with short q-grams: within the edits, all but SHORT for each edit are shared."""
-        have = {near[i : i + SHORT] for i in range(len(near) - SHORT + 1)}
-        n = len(part) - SHORT + 1
-        return sum(part[i : i + SHORT] in have for i in range(n)) >= n - SHORT * self.edits
+    @staticmethod
+    def _firsts(p: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """The first gram of every run of grams that go on along one diagonal."""
+        order = np.lexsort((p, d - p))
+        q, g = p[order], (d - p)[order]
+        new = np.r_[True, (g[1:] != g[:-1]) | (q[1:] != q[:-1] + 1)]
+        return order[new]
 
     def match(self, text: str | None) -> list[tuple]:
         """(item index, shared q-grams, start in the document, start in the item, edits, shares a run of words) of every item with a passage in the text."""
@@ -114,32 +170,67 @@ class Items:
         item, ipos, dpos, band = item[order], ipos[order], dpos[order], band[order]
         cut = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (band[1:] != band[:-1])])
         best: dict[int, tuple] = {}
-        seen: dict[tuple, int] = {}
         runs: set[str] | None = None
+        shared: dict[int, bool] = {}
         for s, t in zip(cut, np.r_[cut[1:], len(item)]):
             if t - s < self.bound:
                 continue
             p = ipos[s:t]
             count = np.searchsorted(p, p + self.least - self.q, "right") - np.arange(t - s)
-            m = int(count.argmax())
-            if count[m] < self.bound:
-                continue
-            i, a0, d0 = int(item[s]), int(p[m]), int(dpos[s + m])
-            if (old := best.get(i)) and old[1] >= int(count[m]):
+            most = int(count.max())
+            i = int(item[s])
+            if most < self.bound or ((old := best.get(i)) and old[4] == 0):
                 continue
-            part = self.text[i][a0 : a0 + self.least]
-            reach = wide + self.edits
-            start = max(0, d0 - reach)
-            near = doc[start : d0 + len(part) + reach]
-            if (e := seen.get((part, d0))) is None:  # items that share a passage are aligned once
-                e = seen[part, d0] = 0 if part in near else banded_edits(part, near) if self.may_align(part, near) else self.edits + 1
-            if e <= self.edits:
-                if runs is None:
-                    runs = {" ".join(toks[x : x + self.words]) for x in range(len(toks) - self.words + 1)}
-                best[i] = (i, int(count[m]), d0, a0, e, not runs.isdisjoint(self.runs[i]))
+            if runs is None:
+                runs = {" ".join(toks[x : x + self.words]) for x in range(len(toks) - self.words + 1)}
+            if i not in shared:
+                shared[i] = not runs.isdisjoint(self.runs[i])
+            d = dpos[s:t]
+            first = self._firsts(p, d)
+            for m in first:
+                got = aligned(self.text[i], int(p[m]), doc, int(d[m]), self.least, self.edits)
+                if got and (i not in best or got[0] < best[i][4]):
+                    best[i] = (i, most, got[1], got[2], got[0], shared[i])
+                    if got[0] == 0:
+                        break
+            if shared[i] and i not in best:  # the run of words itself
+                best[i] = (i, most, int(d[0]), int(p[0]), 0, True)
         return list(best.values())
 
 
+def _joined(texts: pa.Array) -> pa.Array:
+    """The words of each text, lower-cased and joined by one blank, as words_of gives them."""
+    return pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\pL\pN]+", " "), " ")
+
+
+class Suspects:
+    """Which texts of a batch may hold a passage: those with a window that holds enough of the items' q-grams."""
+
+    def __init__(self, kinds: list[tuple[int, int, int, KeyFilter]]) -> None:
+        self.kinds = kinds  # q, window, least number of grams, filter
+
+    def among(self, texts: pa.Array) -> np.ndarray:
+        data, off = buffers(texts)
+        out = np.zeros(len(texts), bool)
+        sums = span_sums(data)
+        for q, window, least, have in self.kinds:
+            n = len(data) - q + 1
+            if n <= 0:
+                continue
+            s = np.arange(n)
+            hit = have.hits(span_hash(sums, s, s + q))
+            doc = np.repeat(np.arange(len(texts)), np.diff(off))[:n]
+            hit &= s + q <= off[doc + 1]
+            at = np.flatnonzero(hit)
+            if len(at) < least:
+                continue
+            # the place of the least-th hit from here on, if it is in this text and within the window
+            to = at[least - 1 :]
+            near = (to - at[: len(to)] <= window) & (doc[to] == doc[at[: len(to)]])
+            out[doc[at[: len(to)][near]]] = True
+        return out
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", words: int = WORDS, edits: int = EDITS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row for each document and item that share a passage of about ``words`` words within ``edits`` edits; shared_run
     tells whether they share that many consecutive words exactly.
@@ -148,28 +239,45 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     documents give no rows; other columns are ignored. Texts are read whole.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "leaks")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(i, t, p[1], p[2], np.unique(gram_keys(p[0], p[2])).view(np.int64)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (p := passages(t, words, edits))]
+            cols = list(zip(*got)) if got else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64())))], ["i", "t", "least", "q", "grams"])
+
     one = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")).where("i is not null and t is not null").distinct()
-    sizes = one.select("i", F.length("t").alias("n")).orderBy("i").toLocalIterator()  # item ids with lengths, a partition at a time
-    blocks: list[list[int]] = []
-    size = block_chars + 1
-    for r in sizes:
-        if size + r.n > block_chars:
-            blocks.append([r.i, r.i])
-            size = 0
-        size += r.n
-        blocks[-1][1] = r.i
+    one = scratch.write(one.mapInArrow(read, "i long, t string, least int, q int, grams array<long>"), "items")
+    kinds = one.groupBy("q").agg(F.min("least").alias("least"), F.sum(F.size("grams")).alias("n"), F.sum(F.length("t")).alias("chars")).orderBy("q").collect()  # a row a q
+    if not kinds:
+        return spark.createDataFrame([], _SCHEMA)
+    filters = [(k.q, k.least + edits, bound(k.least, k.q, edits), KeyFilter(one.where(F.col("q") == k.q).select(F.explode("grams").alias("key")), k.n)) for k in kinds]
+    held = spark.sparkContext.broadcast(Suspects(filters))  # at most 64 MB for each of the six q
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(held.value.among(_joined(b.column(1)))))
+
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null")
+    suspects = scratch.write(rows.mapInArrow(sift, "doc_id long, text string"), "suspects")
     out = []
-    for lo, hi in blocks:
-        index = spark.sparkContext.broadcast(Items([(r.i, r.t) for r in one.where(F.col("i").between(lo, hi)).collect()], words, edits))
-
-        def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            ix = index.value
-            for b in batches:
-                got = [(d, ix.ids[m[0]], *m[1:]) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in ix.match(t)]
-                cols = list(zip(*got)) if got else [[]] * 7
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "item_id", "shared_qgrams", "doc_from", "item_from", "edits", "shared_run"])
-
-        out.append(rows.mapInArrow(scan, _SCHEMA))
-    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], _SCHEMA)
+    for k in kinds:
+        blocks = max(1, -(-k.chars // block_chars))
+        mine = one.where(F.col("q") == k.q).select("i", "t", F.pmod(F.xxhash64("i"), F.lit(blocks)).alias("block"))
+        for n in range(blocks):
+            got = [(r.i, r.t) for r in mine.where(F.col("block") == n).collect()]  # about block_chars characters
+            if not got:
+                continue
+            index = spark.sparkContext.broadcast(Items(got, words, edits, k.q))
+
+            def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+                ix = index.value
+                for b in batches:
+                    got = [(d, ix.ids[m[0]], *m[1:]) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in ix.match(t)]
+                    cols = list(zip(*got)) if got else [[]] * 7
+                    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "item_id", "shared_qgrams", "doc_from", "item_from", "edits", "shared_run"])
+
+            out.append(suspects.repartition(partitions(spark)).mapInArrow(scan, _SCHEMA))
+    return reduce(DataFrame.unionByName, out)

@@ -20,7 +20,7 @@ from ..session import Scratch
 
 #: The vocabulary's file name; where the file lies is a parameter.
 VOCABULARY = "byte_bpe_50k.tiktoken"
-STEPS = 30
+STEPS = 100
 BUCKETS = 4096
 
 
@@ -50,32 +50,41 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), src.alias("source"), F.col(text).cast("string").alias("text")).mapInArrow(count, "doc_id long, source string, tokens long")
 
 
-def _targets(plan: list, have: dict) -> dict:
-    """(mix, source) -> tokens wanted. The total is all tokens of the sources that the mix names; what a source can't give
-    at its cap goes to the others in proportion to their shares, as far as their caps allow."""
+def _targets(plan: list, have: dict, totals: dict | float | None = None) -> dict:
+    """(mix, source) -> tokens wanted. Shares count among the sources that have documents. Without a total it is the largest at
+    which every source can give its share at its cap. Where a given total is larger, what a source can't give at its cap
+    goes to the others in proportion to their shares, as far as their caps allow."""
     out = {}
     for mix in {r.mix_name for r in plan}:
-        rows = [r for r in plan if r.mix_name == mix]
-        total = sum(have.get(r.source, (0, 0))[1] for r in rows)
-        open_, left = {r.source: r for r in rows if have.get(r.source, (0, 0))[1]}, float(total)
+        rows = [r for r in plan if r.mix_name == mix and have.get(r.source, (0, 0))[1] and r.max_repeats > 0]
+        most = {r.source: float(have[r.source][1] * r.max_repeats) for r in rows}
+        open_ = {r.source: r.target_share for r in rows if r.target_share > 0}
+        out |= {(mix, r.source): 0.0 for r in rows if r.source not in open_}
+        if not open_:
+            continue
+        share = sum(open_.values())
+        total = totals.get(mix) if isinstance(totals, dict) else totals
+        if total is None:
+            total = min(most[s] * share / t for s, t in open_.items())
+        left = float(total)
         while open_:
-            share = sum(r.target_share for r in open_.values())
-            over = [s for s, r in open_.items() if share <= 0 or left * r.target_share / share > have[s][1] * r.max_repeats]
+            share = sum(open_.values())
+            over = [s for s, t in open_.items() if left * t / share > most[s] * (1 + 1e-12)]
             if not over:
-                out |= {(mix, s): left * r.target_share / share for s, r in open_.items()}
+                out |= {(mix, s): left * t / share for s, t in open_.items()}
                 break
-            for s in over:
-                most = have[s][1] * open_[s].max_repeats if share > 0 else 0
-                out[mix, s] = float(most)
-            left = max(0.0, total - sum(v for (m, _), v in out.items() if m == mix))
-            open_ = {s: r for s, r in open_.items() if s not in over}
+            out |= {(mix, s): most[s] for s in over}
+            left = max(0.0, left - sum(most[s] for s in over))
+            open_ = {s: t for s, t in open_.items() if s not in over}
     return out
 
 
-def mix_sources(tokens: DataFrame, plan: DataFrame, steps: int = STEPS) -> tuple[DataFrame, DataFrame]:
+def mix_sources(tokens: DataFrame, plan: DataFrame, total: dict | float | None = None, steps: int = STEPS) -> tuple[DataFrame, DataFrame]:
     """tokens: doc_id, source, tokens; plan: mix_name, source, target_share, max_repeats. Gives the copies (mix_name, doc_id,
     source, tokens, copies; only copies > 0) and the report (mix_name, source, target_share, max_repeats, docs, tokens,
-    wanted_tokens, actual_tokens, actual_share, max_copies).
+    wanted_tokens, actual_tokens, actual_share, max_copies, gap). total: tokens of a mix, or of each by name; without it the
+    largest total that meets every target. gap is how far the rates' sum was from what is wanted when Newton's steps ended,
+    as a share of it; below 1e-9 it has converged.
 
     A document without source or tokens is in no mix. A source named but without documents stays in the report with
     zeros. Repeated plan rows add up their shares, with the least cap. Plans are small (a row a mix and source) and
@@ -85,7 +94,7 @@ def mix_sources(tokens: DataFrame, plan: DataFrame, steps: int = STEPS) -> tuple
     rows = plan.select("mix_name", F.lower(F.trim("source")).alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats")).where("mix_name is not null and source is not null").groupBy("mix_name", "source").agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats")).collect()
     tokens = tokens.where("tokens > 0 and source is not null")
     have = {r.source: (r.n, r.t) for r in tokens.groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).where(F.col("source").isin(sorted({r.source for r in rows}))).collect()}
-    want = _targets(rows, have)
+    want = _targets(rows, have, total)
     cap = {(r.mix_name, r.source): r.max_repeats for r in rows}
     dual = {k: [float(np.log(max(cap[k], 1)) - 0.7), 0.0] for k in want}  # half the cap: no rate is bound at first
 
@@ -94,6 +103,7 @@ def mix_sources(tokens: DataFrame, plan: DataFrame, steps: int = STEPS) -> tuple
         rate = F.least(F.col("cap"), F.exp(F.least(F.lit(40.0), F.col("a") + F.col("b") * (F.col("tokens") / F.col("mean")))))
         return tokens.join(F.broadcast(made), "source").withColumn("w", rate)  # a row a mix and source
 
+    gaps = {}
     for _ in range(steps if want else 0):
         x = F.col("tokens") / F.col("mean")
         free = F.when(F.col("w") < F.col("cap"), F.col("w")).otherwise(0.0)
@@ -103,13 +113,14 @@ def mix_sources(tokens: DataFrame, plan: DataFrame, steps: int = STEPS) -> tuple
             k = (r.mix_name, r.source)
             goal = want[k] / (have[r.source][1] / have[r.source][0])  # both moments, in documents of mean length
             g = np.array([goal - r.w, goal - r.wx])
-            if goal >= cap[k] * have[r.source][0] * (1 - 1e-12):
-                dual[k] = [40.0, 0.0]  # all at the cap
+            if goal >= cap[k] * have[r.source][0] * (1 - 1e-9):
+                dual[k], gaps[k] = [40.0, 0.0], 0.0  # all at the cap
                 continue
             if goal <= 0:
-                dual[k] = [-700.0, 0.0]
+                dual[k], gaps[k] = [-700.0, 0.0], 0.0
                 continue
-            off = max(off, float(np.abs(g).max() / goal))
+            gaps[k] = float(np.abs(g).max() / goal)
+            off = max(off, gaps[k])
             if r.f <= 0:  # every rate is bound: come down until some are free
                 dual[k][0] -= 1.0
                 continue
@@ -145,7 +156,7 @@ def mix_sources(tokens: DataFrame, plan: DataFrame, steps: int = STEPS) -> tuple
     last = spark.createDataFrame([(m, s, lo[m, s]) for m, s in want], "mix_name string, source string, threshold double")
     copies = rates.join(F.broadcast(last), ["mix_name", "source"]).withColumn("copies", (F.col("base") + F.when(F.col("v") < F.col("threshold"), 1).otherwise(0)).cast("int")).where("copies > 0").select("mix_name", "doc_id", "source", "tokens", "copies")
     got = copies.groupBy("mix_name", "source").agg(F.countDistinct("doc_id").alias("docs"), F.sum(F.col("tokens") * F.col("copies")).alias("actual_tokens"), F.max("copies").alias("max_copies"))
-    head = spark.createDataFrame([(r.mix_name, r.source, r.target_share, r.max_repeats, int(have.get(r.source, (0, 0))[1]), float(want.get((r.mix_name, r.source), 0.0))) for r in rows], "mix_name string, source string, target_share double, max_repeats int, tokens long, wanted_tokens double")
+    head = spark.createDataFrame([(r.mix_name, r.source, r.target_share, r.max_repeats, int(have.get(r.source, (0, 0))[1]), float(want.get((r.mix_name, r.source), 0.0)), gaps.get((r.mix_name, r.source))) for r in rows], "mix_name string, source string, target_share double, max_repeats int, tokens long, wanted_tokens double, gap double")
     report = head.join(got, ["mix_name", "source"], "left").na.fill(0, ["docs", "actual_tokens", "max_copies"])
     total = report.groupBy("mix_name").agg(F.sum("actual_tokens").alias("all_tokens"))
     report = report.join(total, "mix_name").withColumn("actual_share", F.coalesce(F.try_divide(F.col("actual_tokens").cast("double"), F.col("all_tokens")), F.lit(0.0))).drop("all_tokens")

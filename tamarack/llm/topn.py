@@ -1,8 +1,9 @@
 """Top N items within every group, by partition lower bounds.
 
-The N-th best score of a group within any part of the rows is a lower bound of its N-th best overall. Each batch of
-each partition gives such bounds, the best bound of a group is joined back, rows below it go, and only survivors are
-ranked. Neither a hot group nor the number of groups is held anywhere: state is one batch.
+The N-th best score of a group within any part of the rows is a lower bound of its N-th best overall. Each partition keeps
+the N best of every group that it has seen and gives the N-th as a bound; the best bound of a group is joined back, rows
+below it go, and only survivors are ranked. A partition holds HELD rows at most: where it has seen more groups than that,
+it gives the bounds it has and begins anew, which only makes them lower.
 """
 
 from __future__ import annotations
@@ -16,22 +17,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that a partition holds at most, and rows that it reads before it sorts again.
+HELD, READ = 1_000_000, 200_000
+
+
 def partition_bounds(rows: DataFrame, n: int) -> DataFrame:
-    """rows: grp string, s1, s2, item long, items distinct. Gives (grp, s1, s2, item) rows that are the n-th best of the group within a batch."""
+    """rows: grp string, s1, s2, item long, items distinct. Gives (grp, s1, s2, item) rows that are the n-th best of the group within a partition."""
+
+    def best(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        """The n best rows of each group, and the places of the n-th among them."""
+        t = t.combine_chunks()
+        g = pc.dictionary_encode(t.column("grp").combine_chunks()).indices.to_numpy(zero_copy_only=False)
+        s1, s2, item = (t.column(c).to_numpy() for c in ("s1", "s2", "item"))
+        order = np.lexsort((item, -s2, -s1, g))
+        g = g[order]
+        start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        place = np.arange(len(g)) - np.repeat(start, np.diff(np.r_[start, len(g)]))
+        keep = place < n
+        return t.take(pa.array(order[keep])), np.flatnonzero(place[keep] == n - 1)
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = kept = 0
         for b in batches:
-            if b.num_rows < n:
-                continue
-            g = pc.dictionary_encode(b.column("grp")).indices.to_numpy(zero_copy_only=False)
-            s1, s2, item = (b.column(c).to_numpy(zero_copy_only=False) for c in ("s1", "s2", "item"))
-            order = np.lexsort((item, -s2, -s1, g))
-            g = g[order]
-            start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-            size = np.diff(np.r_[start, len(g)])
-            at = order[start[size >= n] + n - 1]
-            if len(at):
-                yield b.take(pa.array(at))
+            held.append(b)
+            rows += b.num_rows
+            if rows - kept >= READ:
+                t, last = best(pa.Table.from_batches(held))
+                if t.num_rows > HELD:
+                    yield from t.take(pa.array(last)).to_batches()
+                    held, rows = [], 0
+                else:
+                    held, rows = t.to_batches(), t.num_rows
+                kept = rows
+        if rows:
+            t, last = best(pa.Table.from_batches(held))
+            yield from t.take(pa.array(last)).to_batches()
 
     return rows.mapInArrow(bounds, rows.schema)
 

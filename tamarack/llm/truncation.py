@@ -8,8 +8,7 @@ where few begin so, the closing two words, then one, are looked up: how often a
 without closing punctuation can be cut.
 
 Every text is parsed once; what the later steps need is written down with it. Counts are kept only for keys that some
-open text asks for. A bit map sized by the number of those keys tells which they are (KEY_BITS a key, MOST_BITS at most);
-where it is full, more keys are counted than needed, no fewer.
+open text asks for. A bit map sized by the number of those keys tells which they are (see keyfilter); where it is full, more keys are counted than needed, no fewer.
 """
 
 from __future__ import annotations
@@ -27,10 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
+from .keyfilter import KeyFilter
 from .wordhash import Words, buffers, mix, min_hashes, span_hash, span_sums
 
-#: Bits of a key filter for each key, and its least and greatest size; the greatest is 64 MB.
-KEY_BITS, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 29
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 9, 4
 #: A cut copy of fewer words has less than that similarity to any longer text.
@@ -170,25 +168,6 @@ def _parse(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(scan, _PARSED)
 
 
-class KeyFilter:
-    """A bit for each key of a frame, built by the executors and held as bytes; bits are sized by the number of keys."""
-
-    def __init__(self, keys: DataFrame, n: int) -> None:
-        """keys: one column key, long; n: about how many."""
-        self.bits = min(MOST_BITS, max(LEAST_BITS, 1 << (KEY_BITS * max(n, 1) - 1).bit_length()))
-        pos = F.pmod(F.col("key"), F.lit(self.bits)) + 1
-        blocks = keys.groupBy(F.bitmap_bucket_number(pos).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(pos)).alias("bits"))
-        self.map = np.zeros(self.bits >> 3, np.uint8)
-        for r in blocks.toLocalIterator():  # bits / 8 bytes in all
-            at = (r.block - 1) << 12
-            part = np.frombuffer(r.bits, np.uint8)[: len(self.map) - at]
-            self.map[at : at + len(part)] = part
-
-    def hits(self, keys: np.ndarray) -> np.ndarray:
-        pos = keys.view(np.int64) % self.bits if len(keys) else np.empty(0, np.int64)
-        return (self.map[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1 > 0
-
-
 def _counted(parsed: DataFrame, bits) -> DataFrame:
     """(key, n, e, x) for the keys asked for: times seen, with a sentence's end, at an open text's end; a row for each partition and key."""
 
