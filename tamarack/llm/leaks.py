@@ -132,6 +132,9 @@ class Items:
         self.least = min((len(x.encode()) for s in spans for x in s), default=2 * words - 1)
         self.q = q or max((x for x in QS if x <= self.least // (edits + 1)), default=QS[0])
         self.bound = bound(self.least, self.q, edits)
+        edge = bytes(self.least)
+        self.flat = np.frombuffer(edge + edge.join(self.text) + edge, np.uint8)
+        self.base = np.cumsum([self.least, *(len(t) + self.least for t in self.text)])[:-1]
         grams = [qgrams(t, self.q) for t in self.text]
         flat = np.concatenate(grams) if grams else np.empty(0, np.uint64)
         order = np.argsort(flat, kind="stable")
@@ -139,13 +142,22 @@ class Items:
         self.item = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])[order] if grams else np.empty(0, np.int32)
         self.pos = (np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams]) if grams else np.empty(0, np.int32))[order]
 
-    @staticmethod
-    def _firsts(p: np.ndarray, d: np.ndarray) -> np.ndarray:
-        """The first gram of every run of grams that go on along one diagonal."""
-        order = np.lexsort((p, d - p))
-        q, g = p[order], (d - p)[order]
-        new = np.r_[True, (g[1:] != g[:-1]) | (q[1:] != q[:-1] + 1)]
-        return order[new]
+    def _may_align(self, item: np.ndarray, i: np.ndarray, doc: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which seeds (equal bytes at i of an item and j of the document) may lie in a passage within the edits: but for that many
+        bytes of it, each one of the item's bytes equals the document's on some diagonal of the band."""
+        n, wide = self.least, np.arange(-self.least, self.least)
+        out = np.empty(len(item), bool)
+        for s in range(0, len(item), 2048):
+            at = slice(s, s + 2048)
+            x = self.flat[self.base[item[at]][:, None] + i[at][:, None] + wide]
+            y = j[at][:, None] + wide + (n + self.edits)  # the document has that many bytes in front
+            same = np.zeros(x.shape, bool)
+            for d in range(-self.edits, self.edits + 1):
+                same |= x == doc[y + d]
+            off = np.zeros((len(x), 2 * n + 1), np.int16)
+            np.cumsum(~same, axis=1, out=off[:, 1:])
+            out[at] = (off[:, n:] - off[:, : n + 1]).min(axis=1) <= self.edits
+        return out
 
     def match(self, text: str | None) -> list[tuple]:
         """(item index, shared q-grams, start in the document, start in the item, edits, shares a run of words) of every item with a passage in the text."""
@@ -162,39 +174,36 @@ class Items:
         n = n[at]
         dpos = np.repeat(at, n)
         k = np.repeat(lo[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        item, ipos = self.item[k], self.pos[k]
+        item, ipos = self.item[k], self.pos[k].astype(np.int64)
         wide = 2 * self.edits + 1
         band = (dpos - ipos) // wide
         item, ipos, dpos, band = np.r_[item, item], np.r_[ipos, ipos], np.r_[dpos, dpos], np.r_[band, band + 1]  # bands overlap by half
         order = np.lexsort((ipos, band, item))
         item, ipos, dpos, band = item[order], ipos[order], dpos[order], band[order]
-        cut = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (band[1:] != band[:-1])])
+        new = np.r_[True, (item[1:] != item[:-1]) | (band[1:] != band[:-1])]
+        group = np.cumsum(new) - 1
+        place = (group << 32) + ipos
+        count = np.searchsorted(place, place + self.least - self.q, "right") - np.arange(len(place))
+        most = np.maximum.reduceat(count, np.flatnonzero(new))
+        good = most[group] >= self.bound
+        item, ipos, dpos, most = item[good], ipos[good], dpos[good], most[group[good]]
+        # the first gram of every run of grams that go on along one diagonal
+        order = np.lexsort((-most, ipos, dpos - ipos, item))
+        item, ipos, dpos, most = item[order], ipos[order], dpos[order], most[order]
+        first = np.r_[True, (item[1:] != item[:-1]) | ((dpos - ipos)[1:] != (dpos - ipos)[:-1]) | (ipos[1:] > ipos[:-1] + 1)] if len(item) else np.empty(0, bool)
+        item, ipos, dpos, most = item[first], ipos[first], dpos[first], most[first]
+        pad = np.ones(self.least + self.edits, np.uint8)
+        may = self._may_align(item, ipos, np.concatenate([pad, np.frombuffer(doc, np.uint8), pad]), dpos)
         best: dict[int, tuple] = {}
         runs: set[str] | None = None
-        shared: dict[int, bool] = {}
-        for s, t in zip(cut, np.r_[cut[1:], len(item)]):
-            if t - s < self.bound:
-                continue
-            p = ipos[s:t]
-            count = np.searchsorted(p, p + self.least - self.q, "right") - np.arange(t - s)
-            most = int(count.max())
-            i = int(item[s])
-            if most < self.bound or ((old := best.get(i)) and old[4] == 0):
+        for i, a, d, m in zip(*(x[may].tolist() for x in (item, ipos, dpos, most))):
+            if (old := best.get(i)) and old[4] == 0:
                 continue
             if runs is None:
                 runs = {" ".join(toks[x : x + self.words]) for x in range(len(toks) - self.words + 1)}
-            if i not in shared:
-                shared[i] = not runs.isdisjoint(self.runs[i])
-            d = dpos[s:t]
-            first = self._firsts(p, d)
-            for m in first:
-                got = aligned(self.text[i], int(p[m]), doc, int(d[m]), self.least, self.edits)
-                if got and (i not in best or got[0] < best[i][4]):
-                    best[i] = (i, most, got[1], got[2], got[0], shared[i])
-                    if got[0] == 0:
-                        break
-            if shared[i] and i not in best:  # the run of words itself
-                best[i] = (i, most, int(d[0]), int(p[0]), 0, True)
+            got = aligned(self.text[i], a, doc, d, self.least, self.edits)
+            if got and (not old or got[0] < old[4]):
+                best[i] = (i, m, got[1], got[2], got[0], old[5] if old else not runs.isdisjoint(self.runs[i]))
         return list(best.values())
 
 
