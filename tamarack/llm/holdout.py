@@ -1,4 +1,5 @@
-"""Texts checked by hand for the calibration of quality.classify: 1 mostly list, table or machine residue, 0 prose. All invented."""
+"""Texts labelled by hand for quality.classify: 1 mostly list, table or machine residue, 0 prose. All invented. SEEDS train
+along with the weak labels, CHECKED calibrates, MEASURED does neither and is what accuracy is measured on."""
 
 CHECKED = (
     (0, "I tried the new planner for a week. It crashed twice and support told me to wait. Has anyone seen the same?"),
@@ -37,3 +38,43 @@ CHECKED = (
     (1, "2024-01-03 12:00:01 INFO worker=3 queue=7 retry=0\n2024-01-03 12:00:02 WARN worker=4 queue=9 retry=1\n2024-01-03 12:00:05 INFO worker=3 queue=2 retry=0"),
     (1, "SELECT a, b FROM t WHERE c = 4;\nSELECT d FROM u WHERE e IN (1, 2, 3);\nUPDATE t SET a = 0;"),
 )
+
+SEEDS = (
+    (0, "The river rose in the night and by morning the lower road was gone. We carried what we could up the hill and waited for the boats."),
+    (0, "my sister asked me to fix her printer again and i said no because last time it took the whole weekend and she never even said thank you"),
+    (0, "Wir haben den Vertrag gekündigt, weil die Rechnung jeden Monat höher war als vereinbart. Der Anbieter hat sich nie gemeldet."),
+    (0, "Q: Does it work offline?\nA: It does, but only for the files that you opened while you were online."),
+    (0, "He said that the old version was better, and I think he is right about that.\nThe new one hides half of what we need behind menus."),
+    (1, "apples\npears\nbread\nmilk\ncoffee\nsoap\nbatteries"),
+    (1, "id,name,price,stock\n1,lamp,12.50,4\n2,chair,49.00,0\n3,desk,120.00,7"),
+    (1, "<ul class=\"nav\"><li><a href=\"/a\">A</a></li><li><a href=\"/b\">B</a></li></ul>"),
+    (1, "ERROR 2031 at 0x7fa3c1 in mod_cache.so (+0x1f3)\nERROR 2031 at 0x7fa3d9 in mod_cache.so (+0x20b)"),
+    (1, "aGVsbG8gd29ybGQgdGhpcyBpcyBhIHRlc3Q5ODc2NTQzMjEwYWJjZGVmZ2hpamtsbW5vcA=="),
+)
+
+MEASURED = (
+    (0, "After the storm the power was out for two days. Nobody from the company called us back, so we drove to the office and found it closed."),
+    (0, "I grew up in a house without a telephone, and when we finally got one my grandmother refused to touch it. She wrote letters until she died."),
+    (0, "so basically what happens is you press save and nothing, no message no sound, then an hour later it is all gone and you start over"),
+    (0, "The committee met three times this year.\nEach time the question of the roof came up, and each time it\nwas put off, because the money had gone to the\nheating instead."),
+    (0, "> Why did you leave the old bank?\nThey closed the branch in our town and wanted me to do it all by phone.\n> And now?\nNow I bring the cash to the post office."),
+    (0, "Il pleut depuis trois semaines et le jardin ressemble à un lac. Mon voisin dit que c'est normal, mais je n'ai jamais vu cela."),
+    (0, "Ayer fuimos al mercado y no había nada. La señora de la esquina nos dijo que los camiones no llegan desde el lunes."),
+    (0, "Der Zug fiel aus, und der nächste kam erst nach einer Stunde. Niemand am Bahnhof wusste, was los war."),
+    (0, "We baked it for an hour and it was still raw inside. What I would change next time:\n- a smaller tin\n- less water\nThe taste was good though, and the children ate all of it before it was cold."),
+    (0, "The function returns nothing when the list is empty, which took me a day to find out. I would write:\n\n    if not items:\n        return 0\n\nThat is all it takes, and I wonder why nobody did it before."),
+    (0, "teh docter sed it wil get beter in a few weaks but its been too months now an i stil cant lift my arm"),
+    (0, "Interviewer: How long did you work there?\nBaker: Thirty years, from the day I left school until the oven broke.\nInterviewer: Did you like it?\nBaker: On most days I did."),
+    (1, "* tent\n* two sleeping bags\n* stove and gas\n* water filter\n* first aid kit\n* map\n* rope, 20 m"),
+    (1, "Mon 08:00 swim\nMon 17:30 choir\nTue 09:00 dentist\nWed 18:00 chess\nThu 07:45 bus\nFri 20:00 film"),
+    (1, "Year | Wheat | Rye | Oats\n1901 | 12.1 | 8.4 | 6.0\n1902 | 11.7 | 8.9 | 6.2\n1903 | 13.0 | 7.7 | 5.9"),
+    (1, "red, blue, dark green, light green, yellow, off-white, grey, brown, orange, purple, black, pale pink, silver"),
+    (1, "GET /a/b.css 200 12ms\nGET /a/c.js 304 3ms\nPOST /login 302 48ms\nGET /home 200 91ms\nGET /img/logo.png 200 7ms"),
+    (1, "{\"a\": [1, 2, 3], \"b\": {\"c\": null, \"d\": [true, false]}, \"e\": \"x1\", \"f\": 0.25, \"g\": []}"),
+    (1, "def f(x):\n    return x + 1\n\nfor i in range(10):\n    print(f(i), i ** 2)\n\nclass A(B):\n    pass"),
+    (1, "xxxxxxxx xxxxxxxx xxxxxxxx xxxxxxxx xxxxxxxx xxxxxxxx xxxxxxxx xxxxxxxx"),
+    (1, "Startseite\nProdukte\nÜber uns\nKontakt\nImpressum\nDatenschutz\nAnmelden\nWarenkorb (0)"),
+    (1, "7f 45 4c 46 02 01 01 00 00 00 00 00 00 00 00 00 03 00 3e 00 01 00 00 00 40 10 00 00 00 00 00 00"),
+    (1, "https://one.example/a\nhttps://one.example/b\nhttps://two.example/c\nhttps://three.example/d?x=1&y=2"),
+    (1, "â€œ Ã© Ã¨ Ã  Ã§ Ãª Ã® Ã´ Ã» â€\x9d â€™ Â« Â» Â° Ã¼ Ã¶ Ã¤ ÃŸ"),
+)

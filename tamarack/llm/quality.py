@@ -1,8 +1,10 @@
 """Per-document text quality statistics, and prose told from lists, tables and junk.
 
-The plain statistics are column expressions. The classifier's further statistics describe lines; weak labels come from
-rules where these are sure, gradient-boosted trees learn them on a bounded sample (TRAIN_ROWS of each label), and the
-trees' margin becomes a probability on a holdout of hand-checked texts. Every document is scored.
+The plain statistics are column expressions. The classifier's features describe lines, pieces and characters. Weak labels
+come from three sources that are no features: the share of words that lists lack, how many words go to a sentence's end, and the share
+of lines that end as sentences do; a document gets one where two agree and none objects. Gradient-boosted trees learn them on
+a bounded sample (TRAIN_ROWS of each label) together with a few hand-labelled seeds, and the trees' margin becomes a
+probability on other hand-checked texts. Every document is scored.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .holdout import CHECKED
+from .holdout import CHECKED, SEEDS
 
 TRAIN_ROWS = 5000
 SEED = 11
@@ -29,6 +31,15 @@ au avec ce cette dans de des du elle en est et il je la le les mais ne nous on o
 al como con del el en es esta la las lo los más no nos para pero por que se sin su un una y ya""".split()
 )
 _COMMON = frozenset(COMMON)
+# fixed values: those of them that lists of things hold as well
+_OF_LISTS = frozenset("a an the of for on by with to in at from and or der die das dem den des ein eine mit von zum zur für und au de des du le la les un une en et pour el los las del una con y".split())
+# fixed values: further words that only sentences have
+_RUNNING = (_COMMON - _OF_LISTS) | frozenset(
+    """i'm it's don't me him us could were did does too very while yet still only even because when until since before after where whose each any many much nobody everyone
+habe haben hatte war waren wurde werden wirklich seit dass weil wenn jede jeder jeden niemand immer schon nur auch man kann muss alles nichts uns unser unsere bis wie zwei
+a ai avons cela c j n nous notre nos sont était très rien tout même fait depuis chaque personne toujours mais aussi quand où comme si tient tenons coûte
+ha han he hay esto este ese muy nos nuestro nuestra tiene cuando cada siempre nadie todo nada fue son está mientras desde hasta ya solo cuesta mismo""".split()
+)
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -57,7 +68,9 @@ def text_statistics(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     )
 
 
-FEATURES = ("words", "word_len", "symbols", "digits", "punctuated", "common", "prose_share", "list_share", "table_share", "markup_share", "short_share", "repeat_share", "sentence_words", "unique", "odd", "lines", "wide", "longest_run", "item_words")
+FEATURES = ("words", "word_len", "symbols", "digits", "prose_share", "list_share", "table_share", "markup_share", "short_share", "repeat_share", "unique", "odd", "lines", "wide", "longest_run", "item_words")
+#: What the weak labels are read from; none of these is a feature.
+LABELLERS = ("running", "sentence_words", "punctuated")
 _W = re.compile(r"[^\W_]+")
 _LETTERS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _ITEM = re.compile(r"\s*(?:[-*•·▪‣–—+]|\d{1,3}[.)]|[a-z][.)]|\[[ x]\]|☐|☑|✓)\s+(?:\[[ xX]\]\s*)?")
@@ -67,6 +80,12 @@ _MARKUP = re.compile(r"</?\w+[^>]*>|&\w+;|\{[^}]*\}|\[/?\w+\]|0x[0-9a-f]+|[0-9a-
 _EMPHASIS = re.compile(r"[*_`~]+")
 _GAP = re.compile(r"\S {2,}\S")
 _SENTENCE_END = re.compile(r"[.!?…]+[\"')\]»”]*(?:\s|$)")
+_SYMBOL = re.compile(r"[^\w\s]|_")
+_ODD_MARK = re.compile(r"[^\w\s.,;:!?'’\"\-()–]|_")
+_NUMERAL = re.compile(r"\d")
+_HIGH = re.compile(r"[^\x00-\x7e\w]")
+_RUN = re.compile(r"(\S)\1+")
+_PIECE = re.compile(r"[|;│\t]|, ")
 _SEP = re.compile(r"\s[|;/›»>·•]\s|[|│;\t]|,(?=\S)")
 
 
@@ -81,8 +100,8 @@ def _prose(line: str) -> float:
     common = sum(w in _COMMON for w in low) / len(words)
     ends = len(_SENTENCE_END.findall(body))
     seps = len(_SEP.findall(body)) + body.count(",") * (ends == 0) * 0.5
-    symbols = sum(not (c.isalnum() or c.isspace() or c in ".,;:!?'’\"-()–") for c in body) / len(body)
-    if symbols > 0.12 or seps / len(words) > 0.13 or len(_MARKUP.findall(body)) / len(words) > 0.2 or sum(c.isdigit() for c in body) / len(body) > 0.2:
+    symbols = len(_ODD_MARK.findall(body)) / len(body)
+    if symbols > 0.12 or seps / len(words) > 0.13 or len(_MARKUP.findall(body)) / len(words) > 0.2 or len(_NUMERAL.findall(body)) / len(body) > 0.2:
         return 0.0
     if Counter(low).most_common(1)[0][1] / len(words) > 0.34 and len(words) > 8:
         return 0.0
@@ -94,11 +113,11 @@ def _prose(line: str) -> float:
 
 
 def line_statistics(text: str | None) -> list[float]:
-    """FEATURES of one text; zeros for one without a visible character."""
+    """FEATURES and then LABELLERS of one text; zeros for one without a visible character."""
     t = text or ""
     lines = [x for x in t.split("\n") if x.strip()]
     if not lines:
-        return [0.0] * len(FEATURES)
+        return [0.0] * (len(FEATURES) + len(LABELLERS))
     # a line that goes on in the next one: it ends in a blank, or wide lines without an end that run on in small letters
     joined: list[str] = []
     wide = [len(x) for x in lines if len(x) >= 40]
@@ -119,25 +138,32 @@ def line_statistics(text: str | None) -> list[float]:
     low = [w.lower() for w in words]
     n = max(1, len(words))
     repeated = lambda x: count[x.strip()] > 2
-    pieces = [p for x in joined for p in re.split(r"[|;│\t]|, ", x) if p.strip()]
-    runs = max((len(m.group()) for m in re.finditer(r"(\S)\1*", t)), default=0)
+    pieces = [p for x in joined for p in _PIECE.split(x) if p.strip()]
+    runs = max((len(m.group()) for m in _RUN.finditer(t)), default=1)
+    ends = len(_SENTENCE_END.findall(t))
     return [
-        float(len(words)), sum(map(len, words)) / n, sum(not (c.isalnum() or c.isspace()) for c in t) / len(t), sum(c.isdigit() for c in t) / len(t),
-        sum(bool(_SENTENCE_END.search(_TAIL.sub("", x.rstrip())[-4:])) for x in joined) / len(joined), sum(w in _COMMON for w in low) / n,
+        float(len(words)), sum(map(len, words)) / n, len(_SYMBOL.findall(t)) / len(t), len(_NUMERAL.findall(t)) / len(t),
         sum(_prose(x) * len(x.strip()) * (not repeated(x)) for x in joined) / chars, share(lambda x: bool(_ITEM.match(x))), share(lambda x: len(_SEP.findall(x)) >= 2),
         min(1.0, sum(len(m.group()) for m in _MARKUP.finditer(t)) / len(t)), share(lambda x: len(x.split()) <= 6), share(repeated),
-        len(words) / (len(_SENTENCE_END.findall(t)) + 1), len(set(low)) / n, sum(ord(c) > 126 and not c.isalpha() for c in t) / len(t),
-        float(len(joined)), sum(map(len, joined)) / len(joined), float(min(runs, 50)), sum(len(p.split()) for p in pieces) / max(1, len(pieces)),
+        len(set(low)) / n, len(_HIGH.findall(t)) / len(t), float(len(joined)), sum(map(len, joined)) / len(joined), float(min(runs, 50)),
+        sum(len(p.split()) for p in pieces) / max(1, len(pieces)),
+        sum(w in _RUNNING for w in low) / n, len(words) / (ends + 1), sum(bool(_SENTENCE_END.search(_TAIL.sub("", x.rstrip())[-4:])) for x in joined) / len(joined),
     ]
 
 
-def weak_label(f: list[float]) -> int | None:
-    """1 junk, 0 prose, None where the rules aren't sure."""
-    prose = f[FEATURES.index("prose_share")]
-    if prose >= 0.7:
+def weak_label(running: float, sentence_words: float, punctuated: float) -> int | None:
+    """1 junk, 0 prose, None where fewer than two sources say so or one says the contrary. As many words of running text as only
+    sentences have say prose by themselves, for careless writers leave out all punctuation."""
+    says = [
+        0 if running >= 0.15 else 1 if running <= 0.06 else None,
+        0 if 3 <= sentence_words <= 24 else 1 if sentence_words > 30 or sentence_words < 1 else None,
+        0 if punctuated >= 0.5 else 1 if punctuated <= 0.05 else None,
+    ]
+    if running >= 0.2:
         return 0
-    if prose <= 0.3:
-        return 1
+    for label in (0, 1):
+        if says.count(label) >= 2 and says.count(1 - label) == 0:
+            return label
     return None
 
 
@@ -145,8 +171,9 @@ def _featured(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [line_statistics(t) for t in b.column(1).to_pylist()]
-            cols = list(zip(*rows)) if rows else [[]] * len(FEATURES)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([weak_label(r) for r in rows], pa.int32()), *[pa.array(c, pa.float64()) for c in cols]], ["doc_id", "weak", *FEATURES])
+            cols = list(zip(*rows)) if rows else [[]] * (len(FEATURES) + len(LABELLERS))
+            weak = pa.array([weak_label(*r[len(FEATURES) :]) for r in rows], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), weak, *[pa.array(c, pa.float64()) for c in cols[: len(FEATURES)]]], ["doc_id", "weak", *FEATURES])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null").mapInArrow(scan, "doc_id long, weak int, " + ", ".join(f"{f} double" for f in FEATURES))
 
@@ -154,32 +181,38 @@ def _featured(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, junk_probability, is_prose) of every document with an id; a null or blank text isn't prose (probability 1).
 
-    Repeated rows come out repeatedly. Where the weak labels are all alike, or there are none, the prose share decides alone.
+    Repeated rows come out repeatedly. Documents without a weak label are scored like the others; where no document has one,
+    the seeds alone train the trees.
     """
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
 
     spark = docs.sparkSession
     rows = Scratch(spark, "quality").write(_featured(docs, doc_id, text), "features")
     counts = {r.weak: r.n for r in rows.where("weak is not null").groupBy("weak").agg(F.count("*").alias("n")).collect()}
-    blank = F.col("words") == 0
-    if len(counts) < 2 or min(counts.values()) < 20:
-        p = F.when(blank, 1.0).otherwise(1 - F.col("prose_share"))
-        return rows.select("doc_id", p.alias("junk_probability"), (p <= 0.5).alias("is_prose"))
     put = VectorAssembler(inputCols=list(FEATURES), outputCol="x")
     rate = F.lit(0.0)
     for label, n in counts.items():
         rate = F.when(F.col("weak") == label, min(1.0, train_rows / n)).otherwise(rate)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) / 1_000_000
-    sample = put.transform(rows.where("weak is not null").where(draw < rate)).select("x", F.col("weak").cast("double").alias("label")).coalesce(4)
-    trees = GBTClassifier(featuresCol="x", labelCol="label", maxIter=12, maxDepth=4, stepSize=0.3, seed=SEED, cacheNodeIds=False).fit(sample.cache())
+
+    def by_hand(texts: tuple) -> DataFrame:
+        got = [(*line_statistics(t)[: len(FEATURES)], float(y)) for y, t in texts]
+        return spark.createDataFrame(got, ", ".join(f"{f} double" for f in FEATURES) + ", label double")
+
+    sample = rows.where("weak is not null").where(draw < rate).select(*FEATURES, F.col("weak").cast("double").alias("label"))
+    sample = put.transform(sample.unionByName(by_hand(SEEDS))).select("x", "label")
+    drawn = [min(train_rows, counts.get(y, 0)) + 5 for y in (0, 1)]  # both labels weigh alike
+    sample = sample.withColumn("weight", F.when(F.col("label") == 1, drawn[0] / drawn[1]).otherwise(1.0)).coalesce(4).cache()
+    trees = GBTClassifier(featuresCol="x", labelCol="label", weightCol="weight", maxIter=12, maxDepth=4, stepSize=0.3, seed=SEED, cacheNodeIds=False).fit(sample)
     sample.unpersist()
-    checked = spark.createDataFrame([(*line_statistics(t), float(y)) for y, t in CHECKED], ", ".join(f"{f} double" for f in FEATURES) + ", label double")
-    from pyspark.ml.functions import vector_to_array
 
-    margin = lambda df: trees.transform(put.transform(df)).withColumn("m", vector_to_array("rawPrediction")[1])
+    def margin(df: DataFrame) -> DataFrame:
+        return trees.transform(put.transform(df)).withColumn("m", vector_to_array("rawPrediction")[1])
+
     one = VectorAssembler(inputCols=["m"], outputCol="mx")
-    scale = LogisticRegression(featuresCol="mx", labelCol="label", regParam=0.01).fit(one.transform(margin(checked).select("m", "label")))
+    scale = LogisticRegression(featuresCol="mx", labelCol="label", regParam=0.01).fit(one.transform(margin(by_hand(CHECKED)).select("m", "label")))
     a, b = float(scale.coefficients[0]), float(scale.intercept)
-    p = F.when(blank, 1.0).otherwise(1 / (1 + F.exp(-(F.lit(a) * F.col("m") + F.lit(b)))))
+    p = F.when(F.col("words") == 0, 1.0).otherwise(1 / (1 + F.exp(-(F.lit(a) * F.col("m") + F.lit(b)))))
     return margin(rows).select("doc_id", p.alias("junk_probability"), (p <= 0.5).alias("is_prose"))

@@ -1,7 +1,7 @@
 import random
 
 from tamarack.llm import leaks, pii, quality, truncation
-from tamarack.llm.holdout import CHECKED
+from tamarack.llm.holdout import CHECKED, MEASURED
 
 
 def kinds(text):
@@ -140,5 +140,9 @@ def test_quality(spark):
     assert sum(got[i].is_prose == bool(y) for i, (y, _) in enumerate(CHECKED)) <= 2
     assert not got[900].is_prose and not got[901].is_prose and not got[902].is_prose and len(got) == 3 * n + 3
     assert quality.classify(df.limit(0)).count() == 0
+    assert not set(quality.FEATURES) & set(quality.LABELLERS)
+    held = spark.createDataFrame([(5000 + i, t, "x") for i, (_, t) in enumerate(MEASURED)], "doc_id long, text string, words string")
+    right = {r.doc_id: r.is_prose for r in quality.classify(df.unionByName(held)).collect()}
+    assert sum(right[5000 + i] == (not y) for i, (y, _) in enumerate(MEASURED)) >= len(MEASURED) - 3
     s = {r.doc_id: r for r in quality.text_statistics(df).collect()}
     assert s[900].word_count == 0 and s[900].common_words == 0.0 and s[902].word_count == 50_000
