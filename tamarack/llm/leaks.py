@@ -261,7 +261,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     kinds = one.groupBy("q").agg(F.min("least").alias("least"), F.sum(F.size("grams")).alias("n"), F.sum(F.length("t")).alias("chars")).orderBy("q").collect()  # a row a q
     if not kinds:
         return spark.createDataFrame([], _SCHEMA)
-    filters = [(k.q, k.least + edits, bound(k.least, k.q, edits), KeyFilter(one.where(F.col("q") == k.q).select(F.explode("grams").alias("key")), k.n)) for k in kinds]
+    filters = [(k.q, k.least + edits, bound(k.least, k.q, edits), KeyFilter(one.where(F.col("q") == k.q).select(F.explode("grams").alias("key")), k.n, 64, True)) for k in kinds]
     held = spark.sparkContext.broadcast(Suspects(filters))  # at most 64 MB for each of the six q
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
