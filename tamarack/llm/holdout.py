@@ -50,6 +50,25 @@ SEEDS = (
     (1, "<ul class=\"nav\"><li><a href=\"/a\">A</a></li><li><a href=\"/b\">B</a></li></ul>"),
     (1, "ERROR 2031 at 0x7fa3c1 in mod_cache.so (+0x1f3)\nERROR 2031 at 0x7fa3d9 in mod_cache.so (+0x20b)"),
     (1, "aGVsbG8gd29ybGQgdGhpcyBpcyBhIHRlc3Q5ODc2NTQzMjEwYWJjZGVmZ2hpamtsbW5vcA=="),
+    (0, "Nobody told us that the bridge was closed, so we waited there with the whole load until it got dark."),
+    (0, "we tried it twice and it was slow both times but at least it did not lose anything which is more than i can say for the other one"),
+    (0, "Ich war gestern dort, und es war niemand da. Am Telefon hieß es, man habe uns vergessen."),
+    (0, "[POST] Boots fall apart\n-- reply: Mine did too, after one winter. They sent me a new pair and that one lasts."),
+    (0, "Thank you so much!"),
+    (0, "They wrote to say that it would be fixed. That was in May. Here is what is still open:\n- the door\n- the lamp\nI will ask again next week and tell you what they say."),
+    (1, "lamp;3;0.2;yes\nchair;8;0.5;no\ndesk;1;0.1;yes\nstool;2;0.1;no"),
+    (1, "size\tprice\tleft\nsmall\t2.50\t14\nlarge\t4.75\t3\nhuge\t9.00\t0"),
+    (1, "blue lamp | oak chair | the small desk | kitchen stool | folding bed | garden bench | mirror"),
+    (1, "der Tisch; die Lampe; der Stuhl; das Regal; die Lampe; der Schrank; das Bett; der Tisch"),
+    (1, "Shopping for the trip\noak chair (new), blue lamp, two stools, the folding bed, garden bench, mirror, rug, curtain rod, door mat"),
+    (1, "[{\"k\": 1, \"v\": \"a\", \"w\": null}, {\"k\": 2, \"v\": \"b\", \"w\": null}, {\"k\": 3, \"v\": \"c\", \"w\": 0.5}]"),
+    (1, "Ã¼Â¤ â€\x9cÃ¶ Â¶Â§ Ã\x9fÂ© â€™â€™ Ã¢â‚¬ Â±Â± Â°Ã¤ Ã´Ã» Å’Å¡ Â¼Â½"),
+    (1, "INSERT INTO t (a, b) VALUES (1, 'x');\nSELECT a FROM t WHERE b = 'x' ORDER BY a;\nDROP TABLE t;"),
+    (1, "1) oak chair\n2) blue lamp (new)\n3) kitchen stool\n4. folding bed for guests\n5. garden bench"),
+    (1, "- [ ] oak chair\n- [x] blue lamp\n- [ ] the kitchen stool v2\n- [x] folding bed\n- [ ] mirror"),
+    (1, "Menu Home Shop Cart Sign in Help Terms Privacy Home Shop Cart Help Accept all Next Back to top Share Home Cart"),
+    (1, "push the button push the button push the button push the button push the button push the button push the button"),
+    (1, "#oakchair #bluelamp #kitchenstool #foldingbed #gardenbench #mirror #rug"),
 )
 
 MEASURED = (

@@ -22,6 +22,8 @@ from .holdout import CHECKED, SEEDS
 
 TRAIN_ROWS = 5000
 SEED = 11
+#: What a text labelled by hand weighs against one labelled weakly.
+SEED_WEIGHT = 5.0
 
 # fixed values: frequent function words of en, de, fr and es
 COMMON = tuple(
@@ -37,7 +39,7 @@ _OF_LISTS = frozenset("a an the of for on by with to in at from and or der die d
 _RUNNING = (_COMMON - _OF_LISTS) | frozenset(
     """i'm it's don't me him us could were did does too very while yet still only even because when until since before after where whose each any many much nobody everyone
 habe haben hatte war waren wurde werden wirklich seit dass weil wenn jede jeder jeden niemand immer schon nur auch man kann muss alles nichts uns unser unsere bis wie zwei
-a ai avons cela c j n nous notre nos sont était très rien tout même fait depuis chaque personne toujours mais aussi quand où comme si tient tenons coûte
+ai avons cela nous notre nos sont était très rien tout même fait depuis chaque personne toujours mais aussi quand où comme si tient tenons coûte
 ha han he hay esto este ese muy nos nuestro nuestra tiene cuando cada siempre nadie todo nada fue son está mientras desde hasta ya solo cuesta mismo""".split()
 )
 WORD = r"[\p{L}\p{N}]+"
@@ -201,10 +203,11 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", train_
         got = [(*line_statistics(t)[: len(FEATURES)], float(y)) for y, t in texts]
         return spark.createDataFrame(got, ", ".join(f"{f} double" for f in FEATURES) + ", label double")
 
-    sample = rows.where("weak is not null").where(draw < rate).select(*FEATURES, F.col("weak").cast("double").alias("label"))
-    sample = put.transform(sample.unionByName(by_hand(SEEDS))).select("x", "label")
-    drawn = [min(train_rows, counts.get(y, 0)) + 5 for y in (0, 1)]  # both labels weigh alike
-    sample = sample.withColumn("weight", F.when(F.col("label") == 1, drawn[0] / drawn[1]).otherwise(1.0)).coalesce(4).cache()
+    sample = rows.where("weak is not null").where(draw < rate).select(*FEATURES, F.col("weak").cast("double").alias("label"), F.lit(1.0).alias("weight"))
+    sample = sample.unionByName(by_hand(SEEDS).withColumn("weight", F.lit(SEED_WEIGHT)))
+    drawn = [min(train_rows, counts.get(y, 0)) + SEED_WEIGHT * sum(s == y for s, _ in SEEDS) for y in (0, 1)]  # both labels weigh alike
+    sample = put.transform(sample.withColumn("weight", F.when(F.col("label") == 1, F.col("weight") * (drawn[0] / drawn[1])).otherwise(F.col("weight"))))
+    sample = sample.select("x", "label", "weight").coalesce(4).cache()
     trees = GBTClassifier(featuresCol="x", labelCol="label", weightCol="weight", maxIter=12, maxDepth=4, stepSize=0.3, seed=SEED, cacheNodeIds=False).fit(sample)
     sample.unpersist()
 
