@@ -11,6 +11,7 @@ import hashlib
 import hmac
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -35,10 +36,21 @@ would year yes yesterday yet you your zwei kunden der die das ein eine mit von u
 )
 _NOT_NAME = frozenset("plan plans ledger point account tier edition version app street road avenue lane drive court close row way place inc llc ltd gmbh monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december spring summer autumn winter german french spanish english edit support post comment".split())
 _NOT_STREET = frozenset("a an and are as at be but by for from had has have he her his i if in is it its just me my no not of on or our out she so than that the their them then there these they this those to was we were when which who will with you your days hours minutes people users clients tickets times votes".split())
+# fixed values: frequent given names, f for women and m for men
+_GIVEN_F = frozenset(
+    """aisha alice ana anna anja amina amy beatriz birgit camille carla carmen caroline catherine charlotte chiara chloe claire clara daniela elena elif elisa elizabeth ella emily emma eva fatima fiona
+    francesca frida gabriela giulia grace hannah helen helena ingrid irina isabel jana jane jennifer jessica joanna johanna julia karen karin kate katharina laura lea lena leonie linda lucia lucy maria marie marta mary megan
+    mei mia michelle monika nadia natalia nina noor olga olivia patricia petra priya rachel rebecca rosa ruth sabine sara sarah silvia sofia sophie susan svetlana ursula valentina yuki zoe""".split()
+)
+_GIVEN_M = frozenset(
+    """adam ahmed alejandro alexander ali andreas andrew antoine antonio arjun ben bernd bjorn björn carlos charles christian christopher daniel dave david diego dieter dmitri edward emil emmanuel erik ethan fernando francisco
+    frank george giovanni hans harry hassan henry hiroshi igor ivan jack jakob james jan javier jens johan john jonas jorge jose josé joseph juan jurgen jürgen karl kevin klaus lars leon liam luca lucas luis lukas manuel marco mark markus martin
+    matteo matthew michael miguel mohamed mohammed nicolas oliver omar oscar pablo patrick paul pedro peter philipp pierre rafael rajesh robert sanjay sergei stefan stephen steven thomas tim tom viktor wei william wolfgang""".split()
+)
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Señor|Señora|Monsieur|Madame)"
 #: What stands right before a person's name, and what may have to follow where the cue alone says little.
 _BEFORE = {
-    "regards,": None, "sincerely,": None, "best wishes,": None, "greetings,": None, "yours,": None, "grüße,": None, "cordialement,": None, "saludos,": None, "row read:": None, "assigned to": None, "signed by": None, "refund to": None, "made out to": None,
+    "regards,": None, "best,": None, "cheers,": None, "ich heiße": None, "je m'appelle": None, "me llamo": None, "doctor": None, "lawyer": None, "teacher": None, "landlord": None, "sincerely,": None, "best wishes,": None, "greetings,": None, "yours,": None, "grüße,": None, "cordialement,": None, "saludos,": None, "row read:": None, "assigned to": None, "signed by": None, "refund to": None, "made out to": None,
     "spoke to": None, "spoke with": None, "talked to": None, "talk to": None, "thanks to": None, "thank you to": None, "ask for": None, "asked for": None, "neighbour": None, "neighbor": None, "colleague": None, "coworker": None, "new hire,": None, "boss": None,
     "my name is": None, "named": None, "meet": None, "contacted": None, "credit to": None, "invoice to": None, "addressed to": None, "written by": None, "reported by": None, "attn:": None, "attention:": None, "name:": None, "contact person": None,
     "merged": r"\s+(?:with|and|into)\b", "lists": r"\s+as\b", "pay": r"\s+(?:to|for)\b", "paid": r"\s+(?:to|for)\b", "reason": r"\s+(?:shows|is|appears|was|has)\b", "i am": r"\s*(?:,|\.|\band\b)", "this is": r"\s*(?:,|\bfrom\b)", "then": r"\s+(?:called|wrote|said|came|left|quit|asked|told|rang)\b",
@@ -60,9 +72,9 @@ _NOT_PHONE_AFTER = re.compile(r"(?i)\s*(?:is the affected|rows\b|items?\b|is sti
 _ID = re.compile(
     r"(?i)(?:\b(?:ssn|social security(?: number| no\.?)?|social(?: insurance)?(?: number| no\.?)?|national insurance(?: number| no\.?)?|ni (?:no\.?|number)|nino|passports?(?: number| no\.?)?|(?:national )?id card(?: number| no\.?)?|identity card(?: number| no\.?)?|"
     r"tax (?:id|number|no\.?|identification number)|tin|driver'?s?,? licen[cs]e(?: number| no\.?)?|driving licen[cs]e(?: number| no\.?)?|licen[cs]e(?: number| no\.?)?|insurance number|personal(?: id)? number|nie|dni|nif|steuer-?id(?:entifikationsnummer)?|steuernummer|ausweis(?:nummer)?|reisepass(?:nummer)?|"
-    r"personalausweis(?:nummer)?|sozialversicherungsnummer|numéro de sécurité sociale|sécurité sociale|passeport|pasaporte|carte d'identité)\b(?:\s+(?:on file|is|was|of mine))?[\s,:;.#-]{0,3})([A-Z]{0,6}[ -]?\d[A-Z0-9]*(?:[ -][A-Z0-9]*\d[A-Z0-9]*|[ -][A-Z](?![a-zA-Z]))*)"
+    r"cpf|aadhaar(?: number| no\.?)?|curp|pesel|bsn|nhs number|codice fiscale|personnummer|personalausweis(?:nummer)?|sozialversicherungsnummer|numéro de sécurité sociale|sécurité sociale|passeport|pasaporte|carte d'identité)\b(?:\s+(?:on file|is|was|of mine))?[\s,:;.#-]{0,3})([A-Z]{0,6}[ -]?\d[A-Z0-9]*(?:[ -][A-Z0-9]*\d[A-Z0-9]*|[ -][A-Z](?![a-zA-Z]))*)"
 )
-_ID_SHAPES = re.compile(r"\b(?:[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[XYZ]\d{7}[A-Z])\b")
+_ID_SHAPES = re.compile(r"\b(?:[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[XYZ]\d{7}[A-Z]|\d{3}\.\d{3}\.\d{3}-\d{2})\b")
 _SSN = re.compile(r"(?i)\bmy (?:number|social)[^.!?\n]{0,20}?(\d{3}-\d{2}-\d{4})")
 _ADDRESS = (
     re.compile(rf"(?i)(?:\b(?:flat|apt\.?|unit|suite|apartment)\s*\d+\w?,?\s+)?\b\d{{1,5}}[a-z]?\s+((?:[^\W\d_][\w'’.-]*\s+){{1,3}}){_STREET}\b\.?((?:,?\s*(?:apt\.?|unit|flat|suite|apartment)\s*\d+\w?)?)"),
@@ -72,7 +84,7 @@ _ADDRESS = (
     re.compile(r"(?i)\b(?:calle|c/|avenida|avda\.?|plaza|paseo|carrer|camino|via|viale|piazza|corso)\s+(?:(?:de|del|la|las|los|el|di|della)\s+)*[^\W\d_][\w'’-]*(?:\s+[A-Z][\w'’-]*)?,?\s*(?:n[º°o]\.?\s*)?\d{1,4}\b"),
 )
 #: A pattern is only tried on a text that holds one of these, as each match must.
-_NEED_ID = ("ssn", "social", "insurance", "ni no", "ni number", "nino", "passport", "id card", "identity", "tax", "tin", "licen", "personal", "nie", "dni", "nif", "steuer", "ausweis", "pass", "sécurité", "carte", "pasaporte", "sozial")
+_NEED_ID = ("ssn", "social", "insurance", "ni no", "ni number", "nino", "passport", "id card", "identity", "tax", "tin", "licen", "personal", "nie", "dni", "nif", "steuer", "ausweis", "pass", "sécurité", "carte", "pasaporte", "sozial", "cpf", "aadhaar", "curp", "pesel", "bsn", "nhs", "codice", "personnummer")
 _NEED_ADDRESS = (
     ("st", "av", "ro", "rd", "la", "dr", "ct", "court", "cl", "way", "pl", "sq", "terrace", "crescent", "b", "hill", "g", "parade", "quay", "mews"),
     ("rue", "avenue", "boulevard", "place", "chemin", "allée", "quai", "impasse", "route", "cours"),
@@ -83,9 +95,14 @@ _NEED_ADDRESS = (
 _DIGIT = re.compile(r"\d")
 _PLACE = re.compile(r"(?i)(?:\n[A-ZÄÖÜ][\w-]+,\s*[A-Z]{2}\s+\d{5}|[,/]?\s*(?:in\s+)?\d{5}\s+[A-ZÄÖÜ][\w-]+|(?:\s*[,/]\s*|\s+in\s+)[A-ZÄÖÜ][\w-]+(?:,\s*[A-Z]{2}\s+\d{5}|\s+[A-Z]{1,2}\d{1,2}[A-Z]?\s+\d[A-Z]{2})?)")
 _CAP = r"[A-ZÀ-ÖØ-ÞŠŽ][\w'’]+(?:-[A-ZÀ-ÖØ-ÞŠŽ][\w'’]+)?"
-_NAME_TITLE = re.compile(rf"\b{_TITLE}\.?\s+(?:{_CAP}\s+)?{_CAP}")
+_NAME_TITLE = re.compile(rf"\b{_TITLE}\.?(?:\s+{_CAP}){{1,4}}")
+_NAME_GIVEN = re.compile(rf"(?<![\w@./+-])({_CAP})((?:\s+[A-ZÀ-Þ]\.)*)\s+((?:(?:de|da|di|del|dos|van|von|der|den|bin|al|el|la|ten)\s+)*{_CAP}(?:\s+{_CAP})?)(?![\w@])")
+_NAME_CYRILLIC = re.compile(r"(?<!\w)([А-ЯЁ][а-яё]+)\s+([А-ЯЁ][а-яё]*(?:ов|ова|ев|ева|ёв|ёва|ин|ина|ын|ына|ский|ская|цкий|цкая|енко|чук|ович|евич))(?!\w)")
 _NAME_CAP = re.compile(rf"(?<![\w@./+-])({_CAP})(,?\s+(?:[A-ZÀ-Þ]\.\s*)*)({_CAP})(?![\w@])")
 _NAME_LOW = re.compile(r"\s+([^\W\d_]{3,}(?:-[^\W\d_]{3,})?),?\s+(?:[a-z]\.\s*)?([^\W\d_]{3,}(?:-[^\W\d_]{3,})?)(?![\w@])")
+_WORDS = re.compile(r"\S+")
+_NEXT_WORD = re.compile(r"\s+([^\W\d_]+)")
+_GIVEN = _GIVEN_F | _GIVEN_M
 _END = re.compile(r"[.!?…:\n>*\"(]\s*$")
 
 
@@ -177,14 +194,31 @@ def spans(text: str | None) -> list[tuple[int, int, str, str]]:
 
     for m in _NAME_TITLE.finditer(text):
         parts = m.group().split()
-        if _good(parts[-1]):
-            name(*m.span(), " ".join(parts[1:-1]) or parts[0].rstrip("."), parts[-1])
+        n = next((i for i, w in enumerate(parts[1:], 1) if not _good(w)), len(parts))
+        if n > 1:  # as far as the words can be a name's
+            end = m.start() + [x.end() for x in _WORDS.finditer(m.group())][n - 1]
+            name(m.start(), end, " ".join(parts[1 : n - 1]), parts[n - 1])
+    for m in _NAME_GIVEN.finditer(text):
+        if m.group(1).lower() in _GIVEN:
+            words = m.group(3).split()
+            n = next((i for i, w in enumerate(words) if w[0].isupper() and not _good(w)), len(words))
+            while n and words[n - 1].islower():
+                n -= 1
+            if n and m.group(1).isupper() == words[0].isupper():
+                end = m.start(3) + [x.end() for x in _WORDS.finditer(m.group(3))][n - 1]
+                nxt = _NEXT_WORD.match(text, end)
+                if not (nxt and nxt.group(1).lower() in _NOT_NAME):
+                    name(m.start(), end, m.group(1), " ".join(words[:n]))
+    for m in _NAME_CYRILLIC.finditer(text) if "в" in low or "и" in low or "о" in low else ():
+        name(*m.span(), m.group(1), m.group(2))
     cued = [(i + len(c), c) for c in _CUES if c in low for i in _places(low, c)]
     at = {}
     for i, c in cued:
         j = i
         while j < len(text) and text[j] in " \t\n>*_\"'":
             j += 1
+        if text[j : j + 2] == ", " and (m := _NAME_LOW.match(text, j + 1)) and m.group(1) in _GIVEN:
+            j += 2  # "my doctor, sarah connor": only a known given name follows a comma
         at[j] = c
     pos = 0
     while m := _NAME_CAP.search(text, pos):
@@ -258,8 +292,14 @@ def find_spans(rows: DataFrame, keep_text: bool = False) -> DataFrame:
     return rows.mapInArrow(scan, f"tab string, row_id long, spans {SPANS}" + (", text string" if keep_text else ""))
 
 
-_FEMALE, _MALE = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Sra", "Señora", "Madame"), ("Mr", "Herr", "Sr", "Señor", "Monsieur")
+# fixed values: what stays of an address, and country codes of one and two digits
+_KEPT = frozenset("street st avenue ave road rd lane ln drive dr court ct close row way place pl square sq terrace crescent boulevard blvd hill grove gardens parade quay mews flat apt unit suite apartment in am an der den auf dem im zum zur beim unter rue chemin allée quai impasse route cours de du des la le les l d saint sainte bis ter quater calle c avenida avda plaza paseo carrer camino via viale piazza corso del las los el di della n nº no".split())
+_COMPOUND = re.compile(r"(?i)(straße|strasse|weg|gasse|platz|allee|ring|graben|ufer|damm|steig|chaussee)$")
+_COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]")
+_FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Sra", "Señora", "Madame")
+_MALE = ("Mr", "Herr", "Sr", "Señor", "Monsieur")
 _ON, _VOWEL = "bdfgklmnprstv", "aeiou"
+_TOKENS = re.compile(r"[^\W\d_]+|\d+")
 
 
 def _stream(key: bytes, kind: str, canon: str, attempt: int) -> Iterator[int]:
@@ -272,95 +312,206 @@ def _stream(key: bytes, kind: str, canon: str, attempt: int) -> Iterator[int]:
 def _syllables(r: Iterator[int], n: int, script: str = "latin") -> str:
     s = "".join(_ON[next(r) % len(_ON)] + _VOWEL[next(r) % 5] for _ in range(n))
     if script == "cyrillic":
-        s = s.translate(str.maketrans("bdfgklmnprstvaeiou", "бдфгклмнпрствaеиоу".replace("a", "а")))
+        s = s.translate(str.maketrans(_ON + _VOWEL, "бдфгклмнпрствaеиоу".replace("a", "а")))
     if script == "greek":
-        s = s.translate(str.maketrans("bdfgklmnprstvaeiou", "βδφγκλμνπρστβαειου"))
-    return s.capitalize()
+        s = s.translate(str.maketrans(_ON + _VOWEL, "βδφγκλμνπρστβαειου"))
+    return s
 
 
 def _script(s: str) -> str:
     return "cyrillic" if re.search("[Ѐ-ӿ]", s) else "greek" if re.search("[Ͱ-Ͽ]", s) else "latin"
 
 
+def _stays(word: str) -> bool:
+    """Kinds of street, units, prepositions and codes of states and post districts."""
+    return word.isalpha() and (len(word) <= 2 or word.lower() in _KEPT)
+
+
+def gender(given: str, title: str = "", family: str = "") -> str:
+    """f, m or empty: by the title, else by the list of given names, else by the ending of a Slavic family or Romance given name."""
+    t = title.rstrip(".")
+    g = given.lower().split()[0] if given.split() else ""
+    if t in _FEMALE or g in _GIVEN_F:
+        return "f"
+    if t in _MALE or g in _GIVEN_M:
+        return "m"
+    if _script(family) == "cyrillic":
+        return "f" if family[-1:] in ("а", "я") else "m"
+    return "f" if g[-1:] == "a" else ""
+
+
+def units(kind: str, found: str, canon: str) -> list[tuple[str, str]]:
+    """What of a find is replaced by itself, so that it is the same wherever it stands: the parts of a name (given names carry their
+    gender; a family name is one unit in "Ms X" and in "Lena X"), else the whole."""
+    if kind != "name":
+        return [(kind, canon)]
+    title = m.group(1) if (m := re.match(rf"({_TITLE})\b", found)) else ""
+    words = [w for w in found[len(title) :].replace(",", " ").split() if w.strip(".")]
+    if not words:
+        return []
+    family = canon.split()[-1]
+    out = []
+    for w in words:
+        low = w.lower().strip(".'’")
+        if len(low) <= 1 or (w.islower() and not found.islower()):
+            continue  # initials and particles stay
+        out.append(("family", low) if low == family else (f"given{gender(low, title, family)}", low))
+    return out
+
+
 def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0) -> str:
-    """A made-up entity of the same kind in canonical form: as many digits or name parts, the same gender ending and script."""
+    """A made-up unit of the same kind in canonical form, of the same gender, script and shape. Later attempts are longer where the
+    shape allows, so that there is always another."""
     r = _stream(key, kind, canon, attempt)
+    more = attempt // 8
+    script = _script(canon)
     if kind == "email":
-        return f"{_syllables(r, 3).lower()}.{_syllables(r, 3).lower()}@{_syllables(r, 3).lower()}.invalid"
+        return f"{_syllables(r, 3 + more)}.{_syllables(r, 3)}@{_syllables(r, 3)}.invalid"
     if kind in ("phone", "id_number"):
-        swap = lambda c: str(next(r) % 10) if c.isdigit() else chr(65 + next(r) % 26) if c.isalpha() else c
-        return "".join(swap(c) for c in canon)
+        return "".join(str(next(r) % 10) if c.isdigit() else chr(65 + next(r) % 26) if c.isalpha() else c for c in canon)
+    if kind == "address":  # words by the order in which they come; what names a kind of street or a place in a phrase stays
+        out = []
+        for w in _TOKENS.findall(canon):
+            if w.isdigit():
+                out.append("".join(str(1 + next(r) % 9) if i == 0 else str(next(r) % 10) for i in range(len(w))))
+            elif _stays(w):
+                out.append(w)
+            else:
+                end = m.group(1) if (m := _COMPOUND.search(w)) and m.start() else ""
+                out.append(_syllables(r, max(2, min(5, len(w[: len(w) - len(end)]) // 2)) + more, script) + end)
+        return " ".join(out)
+    if kind == "family":
+        stem = _syllables(r, 3 + more, script)
+        return stem[:-1] + ("ова" if canon.endswith(("а", "я")) else "ов") if script == "cyrillic" else stem
+    ends = {"f": {"latin": "a", "cyrillic": "а", "greek": "α"}, "m": {"latin": "n", "cyrillic": "н", "greek": "ν"}}.get(kind[5:], {})
+    stem = _syllables(r, 2 + more, script)
+    return (stem[:-1] if kind == "givenf" else stem) + ends.get(script, "")
+
+
+def _cased(made: str, like: str) -> str:
+    return made.upper() if like.isupper() and len(like) > 1 else made if like.islower() else made.capitalize()
+
+
+def dress(found: str, kind: str, made: dict[tuple[str, str], str], canon: str) -> str:
+    """The find with its units replaced in its own format: digit grouping and country code, letter case, order, title, hidden email."""
+    if kind == "name":
+        title = m.group(1) if (m := re.match(rf"({_TITLE})\b", found)) else ""
+        by = {low: v for (_, low), v in made.items()}
+        body = re.sub(r"[^\s,]+", lambda w: _cased(by[k], w.group()) if (k := w.group().lower().strip(".'’")) in by else w.group(), found[len(title) :])
+        return title + body
+    new = made[kind, canon]
+    if kind == "email":
+        if "@" not in found:
+            new = new.replace("@", " at ").replace(".", " dot ") if " at " in found.lower() else new.replace("@", " [at] ").replace(".", "[dot]")
+        return new.upper() if found.isupper() else new
     if kind == "address":
-        return f"{1 + next(r) % 250} {_syllables(r, 3)} Street"
-    parts = canon.split()
-    script = _script(canon)
-    ends = "a" if parts and re.search("[aeiуа]$", parts[0]) else "n"  # the given name's ending as its sign of gender
-    given = _syllables(r, 2, script) + {"latin": ends, "cyrillic": "а" if ends == "a" else "н", "greek": "α" if ends == "a" else "ν"}[script]
-    return f"{given} {_syllables(r, 3, script)}"
+        it = iter(new.split())
+        return _TOKENS.sub(lambda w: w.group() if _stays(w.group()) else _cased(x, w.group()) if (x := next_other(it, w.group())) else w.group(), found)
+    body, it, out, kept = found, iter(new), [], 0
+    if kind == "phone" and (m := re.match(r"(?i)(?:tel:|phone:)?\s*\(?(?:\+|00)\s*", found)):
+        cc = _COUNTRY.match(found, m.end()) or re.compile(r"\d{1,3}").match(found, m.end())
+        kept = cc.end() if cc else m.end()  # the country stays
+    for i, c in enumerate(body):
+        if c.isdigit() or (kind == "id_number" and c.isalnum()):
+            x = next(it, "0")
+            out.append(c if i < kept else x)
+        else:
+            out.append(c)
+    return "".join(out)
 
 
-def _dress(found: str, kind: str, made: str) -> str:
-    """The surrogate in the format of what it replaces: digit grouping, letter case, surname first, title, hidden email."""
-    if kind in ("phone", "id_number"):
-        it = iter(made)
-        body = re.sub(r"(?i)^tel:|ext.*$", lambda m: m.group(), found)
-        return "".join(next(it, "0") if c.isalnum() and (kind == "id_number" or c.isdigit()) else c for c in body)
-    if kind == "email":
-        if "@" not in found:
-            made = made.replace("@", " at ").replace(".", " dot ") if " at " in found.lower() else made.replace("@", " [at] ").replace(".", "[dot]")
-        return made.upper() if found.isupper() else made
-    if kind == "name":
-        given, family = made.split(" ", 1)
-        if m := re.match(rf"({_TITLE}\.?)\s+(\S+)$", found):
-            made = f"{m.group(1)} {family}"
-        elif "," in found:
-            made = f"{family}, {given}"
-    return made.lower() if found.islower() else made.upper() if found.isupper() else made
+def next_other(it: Iterator[str], like: str) -> str | None:
+    """The next replaced word or number of the same sort."""
+    for x in it:
+        if _stays(x):
+            continue
+        if x.isdigit() == like.isdigit():
+            return x
+    return None
+
+
+#: Attempts in which real entities of the corpus are avoided, and attempts in all; a kind that needs more has too few shapes.
+REAL_ATTEMPTS, ATTEMPTS = 12, 200
 
 
 def _assign(entities: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
-    """entities: kind, canon, distinct. Adds made; entities of one kind never share it: all but the first of equals try again."""
+    """entities: kind, canon, distinct. Adds made; of one kind none is shared. None is a real entity of the corpus either, unless
+    REAL_ATTEMPTS show that the shape has hardly others (numbers of few digits); it is never the entity's own. What is settled
+    is written once; only those that collide try again, until none is left."""
 
     def at(attempt: int):
         @F.pandas_udf("string")
         def make(kind: pd.Series, canon: pd.Series) -> pd.Series:
-            return pd.Series([surrogate(k, c, key, attempt) for k, c in zip(kind, canon)])
+            return pd.Series([surrogate(k, c, key, attempt) for k, c in zip(kind, canon)], dtype=object)
 
         return make
 
-    done = scratch.write(entities.withColumn("made", at(0)("kind", "canon")).withColumn("attempt", F.lit(0)), "made")
-    for attempt in range(1, 64):
-        equal = done.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "canon")).alias("first")).where("n > 1")
-        if equal.isEmpty():
-            return done
-        again = done.join(equal, ["kind", "made"], "left").withColumn("loser", F.col("first").isNotNull() & (F.struct("attempt", "canon") != F.col("first")))
-        done = scratch.write(again.select("kind", "canon", F.when(F.col("loser"), at(attempt)("kind", "canon")).otherwise(F.col("made")).alias("made"), F.when(F.col("loser"), attempt).otherwise(F.col("attempt")).alias("attempt")), "made")
-    return done
+    family = F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind"))  # given names of all genders share one set
+    todo = scratch.write(entities.withColumn("sort", family), "entities")
+    real = todo.select("sort", F.col("canon").alias("made")).distinct()
+    settled: list[DataFrame] = []
+    for attempt in range(ATTEMPTS):
+        tried = todo.withColumn("made", at(attempt)("kind", "canon"))
+        free = tried.join(real, ["sort", "made"], "left_anti") if attempt < REAL_ATTEMPTS else tried.where("made <> canon")
+        for d in settled:
+            free = free.join(d.select("sort", "made"), ["sort", "made"], "left_anti")
+        won = free.groupBy("sort", "made").agg(F.min(F.struct("canon", "kind")).alias("w")).select("sort", "made", "w.kind", "w.canon")
+        won = scratch.write(won, "settled")
+        todo = scratch.write(todo.join(won.select("kind", "canon"), ["kind", "canon"], "left_anti"), "open")
+        settled.append(won)
+        if len(settled) > 4:  # few tables to look into
+            settled = [scratch.write(reduce(DataFrame.unionByName, settled), "settled")]
+        if todo.isEmpty():
+            return reduce(DataFrame.unionByName, settled).select("kind", "canon", "made")
+    raise ValueError(f"no distinct surrogates left for some entities after {ATTEMPTS} attempts")
+
+
+def redact(rows: DataFrame, key: bytes, surrogates: bool = True) -> DataFrame:
+    """(tab, row_id, kinds, redacted, surrogate) of the records that hold something personal, one row for each distinct text of a
+    record. kinds has the kinds found.
+
+    redacted has a typed placeholder such as [NAME] for each find; surrogate a made-up entity in its format, of the same gender and
+    script: one person, number or address gets one in all records, no two share one, and none is a real one of the corpus. key is
+    a secret of the caller. Without surrogates that column is null. Records without finds are left out, no rows give none.
+    """
+    scratch = Scratch(rows.sparkSession, "pii")
+    found = scratch.write(find_spans(rows, keep_text=True).dropDuplicates(["tab", "row_id", "text"]), "found")
+    kinds = F.array_distinct("spans.kind").alias("kinds")
 
+    @F.pandas_udf("string")
+    def blank(text: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([_replaced(t, sp, [f"[{x['kind'].upper()}]" for x in sp]) for t, sp in zip(text, found)], dtype=object)
 
-def redact(rows: DataFrame, key: bytes = b"tamarack", surrogates: bool = True) -> DataFrame:
-    """(tab, row_id, redacted, surrogate) of the records that hold something personal, one row a record.
+    if not surrogates:
+        return found.select("tab", "row_id", kinds, blank("text", "spans").alias("redacted"), F.lit(None).cast("string").alias("surrogate"))
 
-    redacted has a typed placeholder such as [NAME] for each find, surrogate a made-up entity in its format. key is a
-    secret of the caller. A record whose id comes with several texts keeps the first by order. Records without finds are left out.
-    """
-    scratch = Scratch(rows.sparkSession, "pii")
-    found = scratch.write(find_spans(rows, keep_text=True).groupBy("tab", "row_id").agg(F.min(F.struct("text", "spans")).alias("r")).select("tab", "row_id", "r.text", "r.spans"), "found")
-    each = found.select("tab", "row_id", F.posexplode("spans").alias("pos", "s")).select("tab", "row_id", "pos", "s.kind", "s.canon")
+    @F.pandas_udf("array<struct<kind:string,canon:string>>")
+    def parts(text: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([[{"kind": k, "canon": c} for x in sp for k, c in units(x["kind"], t[x["start"] : x["end"]], x["canon"])] for t, sp in zip(text, found)], dtype=object)
+
+    each = scratch.write(found.select("tab", "row_id", F.xxhash64("text").alias("th"), F.explode(parts("text", "spans")).alias("u")).select("tab", "row_id", "th", "u.kind", "u.canon").distinct(), "units")
     made = _assign(each.select("kind", "canon").distinct(), key, scratch)
-    back = each.join(made, ["kind", "canon"]).groupBy("tab", "row_id").agg(F.array_sort(F.collect_list(F.struct("pos", "made"))).alias("made"))
-
-    @F.pandas_udf("redacted string, surrogate string")
-    def write(text: pd.Series, found: pd.Series, made: pd.Series) -> pd.DataFrame:
-        a, b = [], []
-        for t, spans_, m in zip(text, found, made):
-            x, y, last = [], [], 0
-            for s, r in zip(spans_, m):
-                x += [t[last : s["start"]], f"[{s['kind'].upper()}]"]
-                y += [t[last : s["start"]], _dress(t[s["start"] : s["end"]], s["kind"], r["made"])]
-                last = s["end"]
-            a.append("".join(x) + t[last:])
-            b.append("".join(y) + t[last:])
-        return pd.DataFrame({"redacted": a, "surrogate": b})
-
-    return found.join(back, ["tab", "row_id"]).select("tab", "row_id", write("text", "spans", "made").alias("w")).select("tab", "row_id", "w.redacted", "w.surrogate")
+    back = each.join(made, ["kind", "canon"]).groupBy("tab", "row_id", "th").agg(F.collect_list(F.struct("kind", "canon", "made")).alias("made"))  # a text's own
+
+    @F.pandas_udf("string")
+    def write(text: pd.Series, found: pd.Series, made: pd.Series) -> pd.Series:
+        out = []
+        for t, sp, m in zip(text, found, made):
+            by = {(x["kind"], x["canon"]): x["made"] for x in (m if m is not None else [])}
+            new = []
+            for x in sp:
+                f = t[x["start"] : x["end"]]
+                new.append(dress(f, x["kind"], {u: by[u] for u in units(x["kind"], f, x["canon"]) if u in by}, x["canon"]))
+            out.append(_replaced(t, sp, new))
+        return pd.Series(out, dtype=object)
+
+    whole = found.withColumn("th", F.xxhash64("text")).join(back, ["tab", "row_id", "th"], "left")
+    return whole.select("tab", "row_id", kinds, blank("text", "spans").alias("redacted"), write("text", "spans", "made").alias("surrogate"))
+
+
+def _replaced(text: str, spans_: list, new: list[str]) -> str:
+    out, last = [], 0
+    for s, n in zip(spans_, new):
+        out += [text[last : s["start"]], n]
+        last = s["end"]
+    return "".join(out) + text[last:]
