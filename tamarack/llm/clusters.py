@@ -1,14 +1,18 @@
 """Grouping records into similarity clusters: neighbour descent, then modularity communities.
 
-A record's vector has two halves. The subject half is a sign hash of its rare words (names of products and the like);
-the topic half is the mean of learned word vectors over its frequent words. Word vectors come from how often a word of
-one field meets a word of the other field of the same record (positive pointwise mutual information, reduced by its
-leading eigenvectors), so different words for one thing come close. Counts run over all records; the vocabulary is the
-words of more than SHARE of the records, MAX_WORDS at most, and alone goes to the driver and back.
+A record's vector has two halves. The subject half is a sign hash of its subject words (names of products and the like);
+the topic half is the mean of learned word vectors over its frequent words. Subject words are rare words, and frequent
+words in whose records rare words are as good as missing: a record names one subject, so where a frequent word is the
+subject no rare one stands beside it, however many records tell of it. A record that names no subject has the topic half
+alone. Word vectors come from how often a word of one field meets a word of the other field of the same record (positive
+pointwise mutual information, reduced by its leading eigenvectors), so different words for one thing come close. Counts
+run over all records; the words of more than SHARE of the records, at most the mean number of words of a record / SHARE,
+go to the driver and back, the pair counts of the MAX_WORDS commonest with them.
 
 Neighbour descent starts from blocks of records that sort together, and improves every record's K neighbours by looking
-at neighbours of neighbours. Communities come from local moving by modularity gain; those that the exact centroid
-check finds to be parts of one are joined by connected components.
+at neighbours of neighbours, where one of the two is new, until hardly an entry changes. Communities come from local moving
+by modularity gain until hardly a record moves; those whose exact centroids agree are parts of one, found by the same
+descent over the centroids and joined by connected components.
 """
 
 from __future__ import annotations
@@ -24,12 +28,15 @@ from pyspark.sql import functions as F
 from ..session import Scratch
 from .components import connected_components
 
-SHARE, MAX_WORDS, DIMS, SIGNS, SUBJECT = 0.003, 3000, 64, 64, 1.35
-K, CHUNK, ROUNDS, MOVES = 10, 1024, 10, 6
-#: Neighbour descent ends when a round does not raise the sum of all similarities by this factor.
-GAIN = 1.005
-#: Least cosine of linked records, and of the centroids of communities that are one.
-LINK, SAME = 0.88, 0.9
+SHARE, MAX_WORDS, DIMS, SIGNS = 0.003, 3000, 64, 64
+#: A frequent word names a subject if rare words stand beside it less than this often, as a share of what is usual.
+BESIDE = 0.5
+K, CHUNK, ROUNDS, MOVES = 10, 1024, 20, 40
+#: Descent ends when a round changes less than this share of all neighbour entries, local moving when less than this share of
+#: the records move in two rounds; ROUNDS and MOVES end what does not settle, which raises an error.
+SETTLED = 0.002
+#: Least cosine of linked records; of the centroids of communities that are one, if each is the other's nearest; and without that.
+LINK, SAME, SURE = 0.88, 0.9, 0.96
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 
 
@@ -37,47 +44,54 @@ def _words(t: str | None) -> list[str]:
     return _WORD.findall(t.lower()) if t else []
 
 
-def _vocabulary(rows: DataFrame) -> tuple[dict[str, int], np.ndarray]:
-    """Frequent words with their places, and their inverse record frequencies."""
+def _vocabulary(rows: DataFrame) -> tuple[dict[str, int], np.ndarray, frozenset]:
+    """The commonest words with their places, their inverse record frequencies, and frequent words beyond them, which are no topic
+    words and no subjects."""
     n = rows.count()
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "a", "b")), F.lit(r"([\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*)"), 1))
     df = rows.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") > max(8.0, SHARE * n))
-    got = df.orderBy(F.col("n").desc(), "w").limit(MAX_WORDS).collect()
-    return {r.w: i for i, r in enumerate(got)}, np.array([np.log(n / r.n) for r in got])
+    got = df.orderBy(F.col("n").desc(), "w").collect()  # at most the mean number of words / SHARE
+    top = got[:MAX_WORDS]
+    return {r.w: i for i, r in enumerate(top)}, np.array([np.log(n / r.n) for r in top]), frozenset(r.w for r in got[MAX_WORDS:])
 
 
-def word_vectors(rows: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def word_vectors(rows: DataFrame, vocabulary: dict[str, int], middle: frozenset = frozenset()) -> tuple[np.ndarray, np.ndarray]:
     """A unit vector of DIMS for each word of the vocabulary, from the pairs (word of a, word of b) of all records; and
-    which words are general. A frequent word whose company differs much from that of words at large (divergence above
-    SUBJECT) names a subject, however many records tell of it."""
+    which words are general: those beside which rare words stand about as often as beside others."""
     v = len(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = np.zeros((v, v), np.int32)
+        m = np.zeros((v + 1, v + 2), np.int32)  # the last row is all records; column v: records, v + 1: with a rare word
+        spelling = Spelling(vocabulary)
         for b in batches:
             for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist()):
-                i, j = ([vocabulary[w] for w in set(_words(t)) if w in vocabulary] for t in (x, y))
+                wx, wy = _words(x), _words(y)
+                rare = any(w not in vocabulary and w not in middle and not w.isdigit() and spelling.fix(w) not in vocabulary for w in wx + wy)
+                i, j = ([vocabulary[w] for w in set(t) if w in vocabulary] for t in (wx, wy))
                 if i and j:
                     m[np.ix_(i, j)] += 1
+                here = [*set(i + j), v]
+                m[here, v] += 1
+                m[here, v + 1] += rare
         i, j = np.nonzero(m)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(m[i, j].astype(np.int64))], ["i", "j", "n"])
 
-    m = np.zeros((v, v))
+    m = np.zeros((v + 1, v + 2))
     pairs = rows.select("a", "b").mapInArrow(count, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
     for r in pairs.toLocalIterator():  # at most MAX_WORDS^2 rows, a partition at a time
         m[r.i, r.j] = r.n
-    m += m.T
-    off = m - np.diag(np.diag(m))
-    own, all_ = off / np.maximum(off.sum(1, keepdims=True), 1), off.sum(0) / max(off.sum(), 1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        general = np.where(own > 0, own * np.log(own / all_), 0).sum(1) <= SUBJECT
+        beside = np.nan_to_num(m[:, v + 1] / m[:, v])
+    general = beside[:v] >= BESIDE * beside[v]
+    m = m[:v, :v]
+    m += m.T
     m = m * np.outer(general, general)
     s = m.sum(1, keepdims=True)
     with np.errstate(divide="ignore", invalid="ignore"):
         p = np.where(m > 0, np.log(m * m.sum() / np.maximum(s * s.T, 1e-12)), 0.0)
     p = np.maximum(p - 0.3, 0)
     val, vec = np.linalg.eigh(p)
-    top = np.argsort(-np.abs(val))[: min(DIMS, max(4, v // 4))]  # fewer than words, or different words never come close
+    top = np.argsort(-np.abs(val))[: min(DIMS, max(4, v // 3))]  # fewer than words, or different words never come close
     e = vec[:, top] * np.sqrt(np.abs(val[top]))
     if e.shape[1] < DIMS:
         e = np.pad(e, ((0, 0), (0, DIMS - e.shape[1])))
@@ -114,9 +128,10 @@ def _signs(word: str) -> np.ndarray:
     return bits.astype(np.float32) * 2 - 1
 
 
-def vectorise(rows: DataFrame, vocabulary: dict[str, int], idf: np.ndarray, vectors: np.ndarray) -> DataFrame:
-    """(id, subject, place, vec) of the records that have a rare word: vec is SIGNS + DIMS bytes, both halves of equal norm;
-    subject is the rare word said most often; place orders the records of one subject."""
+def vectorise(rows: DataFrame, vocabulary: dict[str, int], idf: np.ndarray, vectors: np.ndarray, middle: frozenset = frozenset()) -> DataFrame:
+    """(id, subject, place, vec) of the records that have a topic word: vec is SIGNS + DIMS bytes, both halves of equal norm, the
+    first all zeros without a subject; subject is the subject word said most often, or empty; place orders the records of one
+    subject."""
     spark = rows.sparkSession
     held = spark.sparkContext.broadcast((vocabulary, idf, vectors))
     line = np.random.default_rng(5).standard_normal(DIMS).astype(np.float32)
@@ -130,18 +145,18 @@ def vectorise(rows: DataFrame, vocabulary: dict[str, int], idf: np.ndarray, vect
                 wx, wy = ([w if w in voc else spelling.fix(w) for w in _words(t)] for t in (x, y))
                 rare: dict[str, int] = {}
                 for w in wx + wy:
-                    if w not in voc and not w.isdigit():
+                    if w not in voc and w not in middle and not w.isdigit():
                         rare[w] = rare.get(w, 0) + 1
                 k = [voc[w] for w in set(wx + wy) if w in voc]
-                if not rare or not k:
+                if not k:
                     continue
-                s = sum(n * n * _signs(w) for w, n in rare.items())
+                s = sum((n * n * _signs(w) for w, n in rare.items()), np.zeros(SIGNS, np.float32))
                 t = (e[k] * (weight[k] ** 1.5)[:, None]).sum(0)
-                if not (np.abs(s).max() and np.abs(t).max()):
+                if not np.abs(t).max():
                     continue
-                s, t = s / np.linalg.norm(s), t / np.linalg.norm(t)
+                s, t = s / max(np.linalg.norm(s), 1e-9), t / np.linalg.norm(t)
                 ids.append(i)
-                subjects.append(min(rare, key=lambda w: (-rare[w], w)))
+                subjects.append(min(rare, key=lambda w: (-rare[w], w)) if rare else "")
                 places.append(float(t @ line))
                 vecs.append(np.rint(np.r_[s, t] * 127).clip(-127, 127).astype(np.int8).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(subjects, pa.string()), pa.array(places, pa.float64()), pa.array(vecs, pa.binary())], ["id", "subject", "place", "vec"])
@@ -197,23 +212,31 @@ def _block_neighbours(nodes: DataFrame, order: list, shift: int, least: float) -
 
 
 def _best(edges: DataFrame) -> DataFrame:
+    """edges: u, v, sim, new. The K nearest of every u; an entry held before isn't new."""
     w = Window.partitionBy("u").orderBy(F.col("sim").desc(), "v")
-    return edges.groupBy("u", "v").agg(F.max("sim").alias("sim")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= K).drop("r")
+    one = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
+    return one.withColumn("r", F.row_number().over(w)).where(F.col("r") <= K).drop("r")
 
 
 def _descend(edges: DataFrame, nodes: DataFrame, turn: int, least: float) -> DataFrame:
-    """Better neighbours found among neighbours of neighbours: K forward and K reverse ones of every record meet."""
+    """Better neighbours found among neighbours of neighbours: K forward and K reverse ones of every record meet, where one of two
+    is new. A record's reverse ones are drawn anew each round; a hub's are thinned on every task before they come together."""
     low = edges.groupBy("u").agg(F.min("sim").alias("low"), F.count("*").alias("n")).select(F.col("u").alias("v"), F.when(F.col("n") >= K, F.col("low")).otherwise(F.lit(least)).alias("low"))
-    back = edges.select(F.col("v").alias("u"), F.col("u").alias("v")).withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("v", F.lit(turn))))).where(F.col("r") <= K).drop("r")
-    meet = edges.select("u", "v").unionByName(back).distinct()
+    draw = F.xxhash64("u", "v", F.lit(turn))
+    back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "new").withColumn("draw", draw).withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(16)).cast("int"))
+    for part in (["u", "salt"], ["u"]):  # K of each sixteenth, then K of all: the same as K of all at once
+        back = back.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy("draw", "v"))).where(F.col("r") <= K).drop("r")
+    meet = edges.select("u", "v", "new").unionByName(back.select("u", "v", "new")).groupBy("u", "v").agg(F.max("new").alias("new"))
+    meet = meet.join(meet.where("new").select("u").distinct(), "u", "left_semi")
     meet = meet.join(nodes.select(F.col("id").alias("v"), "vec"), "v").join(low, "v", "left")
-    meet = meet.repartition("u").sortWithinPartitions("u").select("u", "v", "vec", F.coalesce("low", F.lit(least)).cast("float").alias("low"))
+    meet = meet.repartition("u").sortWithinPartitions("u").select("u", "v", "vec", F.coalesce("low", F.lit(least)).cast("float").alias("low"), "new")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.Table | None = None
 
         def emit(t: pa.Table) -> pa.RecordBatch:
             u, v, low_ = (t.column(c).to_numpy() for c in ("u", "v", "low"))
+            new = t.column("new").to_numpy()
             m = _matrix(t.column("vec").combine_chunks())
             cut = np.flatnonzero(np.r_[True, u[1:] != u[:-1], True])
             a, b, s = [], [], []
@@ -221,6 +244,8 @@ def _descend(edges: DataFrame, nodes: DataFrame, turn: int, least: float) -> Dat
                 if y - x < 2:
                     continue
                 sim = m[x:y] @ m[x:y].T
+                fresh = new[x:y]
+                sim[~(fresh[:, None] | fresh[None, :])] = -1
                 np.fill_diagonal(sim, -1)
                 i, j = np.nonzero((sim > low_[x:y, None]) & (sim >= least))
                 a.append(v[x + i])
@@ -246,46 +271,60 @@ def _descend(edges: DataFrame, nodes: DataFrame, turn: int, least: float) -> Dat
 def neighbour_graph(nodes: DataFrame, scratch: Scratch, least: float = 0.6) -> DataFrame:
     """(u, v, sim): up to K nearest neighbours of every node of at least that cosine."""
     start = _block_neighbours(nodes, ["subject", "place", "id"], 0, least).unionByName(_block_neighbours(nodes, ["subject", "id"], CHUNK // 2, least)).unionByName(_block_neighbours(nodes, ["place", "id"], 0, least))
-    edges = scratch.write(_best(start), "edges")
-    total = edges.agg(F.sum("sim")).first()[0] or 0.0
+    edges = scratch.write(_best(start.withColumn("new", F.lit(True))), "edges")
     for turn in range(ROUNDS):
-        new = scratch.write(_descend(edges, nodes, turn, least), "better")
-        if new.isEmpty():
-            break
-        old, edges = edges, scratch.write(_best(edges.unionByName(new)), "edges")
+        found = _descend(edges, nodes, turn, least).withColumn("new", F.lit(True))
+        old, edges = edges, scratch.write(_best(edges.withColumn("new", F.lit(False)).unionByName(found)), "edges")
         scratch.drop(old)
-        scratch.drop(new)
-        before, total = total, edges.agg(F.sum("sim")).first()[0]
-        if total < before * GAIN:
-            break
-    return edges
+        s = edges.agg(F.count("*").alias("n"), F.count_if("new").alias("new")).first()
+        if s.new <= SETTLED * s.n:
+            return edges.drop("new")
+    raise RuntimeError(f"neighbours have not settled after {ROUNDS} rounds")
 
 
 def communities(edges: DataFrame, scratch: Scratch, moves: int = MOVES) -> DataFrame:
     """(id, c): local moving. edges: u, v, w in both directions. In each round half of the nodes, by hash, move to the
-    neighbouring community of the greatest modularity gain (ties: the least number)."""
+    neighbouring community of the greatest modularity gain (ties: the least number), until hardly one moves."""
     degree = scratch.write(edges.groupBy("u").agg(F.sum("w").alias("k")), "degree")
-    total = degree.agg(F.sum("k")).first()[0] or 1.0
+    total, n = degree.agg(F.sum("k"), F.count("*")).first()
+    total = total or 1.0
     lab = degree.select(F.col("u").alias("id"), F.col("u").alias("c"))
-    for turn in range(moves):
-        near = edges.join(lab.withColumnRenamed("id", "v"), "v").groupBy("u", "c").agg(F.sum("w").alias("w"))
+    last = n
+    for turn in range(moves if n else 0):
+        near = edges.join(lab.select(F.col("id").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("w"))
         volume = lab.join(degree.withColumnRenamed("u", "id"), "id").groupBy("c").agg(F.sum("k").alias("vol"))
         own = lab.select(F.col("id").alias("u"), F.col("c").alias("mine")).join(degree, "u")
         all_ = near.unionByName(own.select("u", F.col("mine").alias("c"), F.lit(0.0).alias("w"))).groupBy("u", "c").agg(F.sum("w").alias("w"))
         gain = F.col("w") - F.col("k") * (F.col("vol") - F.when(F.col("c") == F.col("mine"), F.col("k")).otherwise(0.0)) / F.lit(total)
         best = all_.join(own, "u").join(volume, "c").groupBy("u", "mine").agg(F.max(F.struct(F.round(gain, 9).alias("g"), (-F.col("c")).alias("n"))).alias("b"))
-        may = F.pmod(F.xxhash64("u", F.lit(turn)), F.lit(2)) == 0
-        old, lab = lab, scratch.write(best.select(F.col("u").alias("id"), F.when(may, -F.col("b.n")).otherwise(F.col("mine")).alias("c")), "lab")
+        may = F.pmod(F.xxhash64("u", F.lit(turn // 2)) + turn, F.lit(2)) == 0  # either half in turn
+        to = F.when(may, -F.col("b.n")).otherwise(F.col("mine"))
+        old, lab = lab, scratch.write(best.select(F.col("u").alias("id"), to.alias("c"), (to != F.col("mine")).alias("moved")), "lab")
         scratch.drop(old)
+        moved = lab.where("moved").count()
+        if last + moved <= SETTLED * n:
+            return lab.select("id", "c")
+        last = moved
+    if n:
+        raise RuntimeError(f"communities have not settled after {moves} rounds")
     return lab
 
 
+def modularity(edges: DataFrame, lab: DataFrame) -> float:
+    """Of a labelling (id, c) of the graph (u, v, w in both directions)."""
+    total = edges.agg(F.sum("w")).first()[0] or 1.0
+    a, b = lab.select(F.col("id").alias("u"), F.col("c").alias("cu")), lab.select(F.col("id").alias("v"), F.col("c").alias("cv"))
+    inside = edges.join(a, "u").join(b, "v").where("cu = cv").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    volume = edges.join(a, "u").groupBy("cu").agg(F.sum("w").alias("w")).agg(F.coalesce(F.sum(F.col("w") * F.col("w")), F.lit(0.0))).first()[0]
+    return inside / total - volume / total**2
+
+
 def cluster(df: DataFrame, id_col: str = "id", first: str = "title", second: str = "description") -> tuple[DataFrame, DataFrame]:
     """Members (id, cluster_id) of the clusters of two or more records, cluster_id the least id, and the graph's edges (u, v,
     w) between class representatives. Records whose two texts are alike word for word are one class from the start.
 
-    A null text has no words; a record without a rare word names no subject and stays alone unless it has copies. Of rows
-    that repeat an id one counts. An empty table gives no rows; other columns are ignored.
+    A null text has no words; a record that names no subject meets others that name none, by its topic; one without a frequent
+    word stays alone unless it has copies. Of rows that repeat an id one counts. An empty table gives no rows; other columns are ignored.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "clusters")
@@ -296,18 +335,18 @@ def cluster(df: DataFrame, id_col: str = "id", first: str = "title", second: str
     reps = copies.select(F.col("rep").alias("id"), "a", "b")
     member = rows.join(copies, ["a", "b"]).select("id", "rep")
     none = spark.createDataFrame([], "id long, cluster_id long"), spark.createDataFrame([], "u long, v long, w double")
-    vocabulary, idf = _vocabulary(rows)
+    vocabulary, idf, middle = _vocabulary(rows)
     if not vocabulary:
         return member.join(member.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1"), "rep").select("id", F.col("rep").alias("cluster_id")), none[1]
-    vectors, general = word_vectors(rows, vocabulary)
+    vectors, general = word_vectors(rows, vocabulary, middle)
     keep = {w: j for j, w in enumerate(w for w, i in vocabulary.items() if general[i])}
-    nodes = scratch.write(vectorise(reps, keep, idf[general], vectors[general]), "nodes")
+    nodes = scratch.write(vectorise(reps, keep, idf[general], vectors[general], middle), "nodes")
     graph = neighbour_graph(nodes, scratch).where(F.col("sim") >= LINK)
     both = graph.select("u", "v", "sim").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim")).groupBy("u", "v").agg(F.max("sim").cast("double").alias("w"))
     both = scratch.write(both.withColumn("w", F.pow((F.col("w") - LINK) / (1 - LINK) + 0.05, 2)), "graph")
     lab = communities(both, scratch)
 
-    # parts of one cluster: communities next to each other, or of one subject, whose exact centroids agree
+    # parts of one cluster: communities whose exact centroids agree
     def centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = np.array(b.column("sums").to_pylist(), np.float32)
@@ -331,7 +370,10 @@ def cluster(df: DataFrame, id_col: str = "id", first: str = "title", second: str
     parts = lab.join(nodes, "id").select("c", "subject", "place", "vec").mapInArrow(spread, "id long, subject string, place double, sums array<float>")
     sums = parts.groupBy("id").agg(F.mode("subject").alias("subject"), F.avg("place").alias("place"), F.array(*[F.sum(F.col("sums")[i]) for i in range(SIGNS + DIMS)]).alias("sums"))
     centres = scratch.write(sums.mapInArrow(centre, "id long, subject string, place double, vec binary"), "centres")
-    near = _block_neighbours(centres, ["subject", "place", "id"], 0, SAME).select("u", "v")
+    near = neighbour_graph(centres, scratch, SAME)
+    first = near.groupBy("u").agg(F.max_by("v", F.struct("sim", -F.col("v"))).alias("v"))
+    mutual = first.join(first.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"])  # no chains of centroids ever further apart
+    near = near.where(F.col("sim") >= SURE).select("u", "v").unionByName(mutual)
     joined = connected_components(near, "u", "v", "centres")
     lab = lab.join(joined.select(F.col("id").alias("c"), "group_id"), "c", "left").select(F.col("id").alias("rep"), F.coalesce("group_id", "c").alias("c"))
     whole = member.join(lab, "rep", "left").select("id", F.coalesce("c", "rep").alias("c"))
