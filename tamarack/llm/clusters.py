@@ -284,30 +284,38 @@ def neighbour_graph(nodes: DataFrame, scratch: Scratch, least: float = 0.6) -> D
 
 def communities(edges: DataFrame, scratch: Scratch, moves: int = MOVES) -> DataFrame:
     """(id, c): local moving. edges: u, v, w in both directions. In each round half of the nodes, by hash, move to the
-    neighbouring community of the greatest modularity gain (ties: the least number), until hardly one moves."""
+    neighbouring community of the greatest modularity gain (ties: the least number), until hardly one moves. After the first
+    two rounds only nodes are looked at whose neighbours have moved since."""
     degree = scratch.write(edges.groupBy("u").agg(F.sum("w").alias("k")), "degree")
     total, n = degree.agg(F.sum("k"), F.count("*")).first()
     total = total or 1.0
-    lab = degree.select(F.col("u").alias("id"), F.col("u").alias("c"))
-    last = n
-    for turn in range(moves if n else 0):
-        near = edges.join(lab.select(F.col("id").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("w"))
-        volume = lab.join(degree.withColumnRenamed("u", "id"), "id").groupBy("c").agg(F.sum("k").alias("vol"))
-        own = lab.select(F.col("id").alias("u"), F.col("c").alias("mine")).join(degree, "u")
+    lab = degree.select(F.col("u").alias("id"), F.col("u").alias("c"), "k")
+    if not n:
+        return lab.select("id", "c")
+    last, active = n, None
+    for turn in range(moves):
+        half = F.pmod(F.xxhash64("id", F.lit(turn // 2)) + turn, F.lit(2)) == 0  # either half in turn
+        here = (lab.select("id") if active is None else active).where(half)
+        own = lab.join(here, "id").select(F.col("id").alias("u"), F.col("c").alias("mine"), "k")
+        near = edges.join(here.select(F.col("id").alias("u")), "u", "left_semi").join(lab.select(F.col("id").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("w"))
+        volume = lab.groupBy("c").agg(F.sum("k").alias("vol"))
         all_ = near.unionByName(own.select("u", F.col("mine").alias("c"), F.lit(0.0).alias("w"))).groupBy("u", "c").agg(F.sum("w").alias("w"))
         gain = F.col("w") - F.col("k") * (F.col("vol") - F.when(F.col("c") == F.col("mine"), F.col("k")).otherwise(0.0)) / F.lit(total)
         best = all_.join(own, "u").join(volume, "c").groupBy("u", "mine").agg(F.max(F.struct(F.round(gain, 9).alias("g"), (-F.col("c")).alias("n"))).alias("b"))
-        may = F.pmod(F.xxhash64("u", F.lit(turn // 2)) + turn, F.lit(2)) == 0  # either half in turn
-        to = F.when(may, -F.col("b.n")).otherwise(F.col("mine"))
-        old, lab = lab, scratch.write(best.select(F.col("u").alias("id"), to.alias("c"), (to != F.col("mine")).alias("moved")), "lab")
+        moved = scratch.write(best.select(F.col("u").alias("id"), (-F.col("b.n")).alias("to")).where(F.col("to") != F.col("mine")), "moved")
+        count = moved.count()
+        old, lab = lab, scratch.write(lab.join(moved, "id", "left").select("id", F.coalesce("to", "c").alias("c"), "k"), "lab")
         scratch.drop(old)
-        moved = lab.where("moved").count()
-        if last + moved <= SETTLED * n:
+        if turn % 2 and last + count <= SETTLED * n:  # both halves of a draw
             return lab.select("id", "c")
-        last = moved
-    if n:
-        raise RuntimeError(f"communities have not settled after {moves} rounds")
-    return lab
+        last = count
+        # still to look at: what was left to the other half, and the neighbours of what moved
+        next_to = edges.join(moved.select(F.col("id").alias("v")), "v", "left_semi").select(F.col("u").alias("id"))
+        rest = (lab.select("id") if active is None else active).where(~half) if active is not None or turn == 0 else None
+        stirred = next_to if rest is None else next_to.unionByName(rest)
+        old, active = active, scratch.write(stirred.distinct(), "active")
+        scratch.drop(old)
+    raise RuntimeError(f"communities have not settled after {moves} rounds")
 
 
 def modularity(edges: DataFrame, lab: DataFrame) -> float:
