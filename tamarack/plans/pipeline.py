@@ -90,7 +90,22 @@ _SPLIT = W.ORACLE["sweep_split"][len("WITH RECURSIVE ") :].split(" SELECT catego
 after AS (SELECT m.id, coalesce(p.new_id, m.category_id) AS category_id FROM M m LEFT JOIN lab USING (id) LEFT JOIN parts p ON p.label = lab.label AND p.category_id = m.category_id),
 gone AS (SELECT DISTINCT category_id AS id FROM parts WHERE category_id NOT IN (SELECT category_id FROM after) AND category_id IN (SELECT id FROM categories WHERE parent_id IS NOT NULL))"""
 
+_FOLDED = lambda t: f"""{W._E}, it AS (SELECT id, v, row_number() OVER (ORDER BY id) AS n FROM E WHERE id > 60), held AS (SELECT id, v FROM E WHERE id <= 60),
+hb AS (SELECT i.id, max_by(struct_pack(o := h.id, s := {W._COS('i.v', 'h.v')}), struct_pack(s := {W._COS('i.v', 'h.v')}, m := -h.id)) AS best FROM it i, held h WHERE {W._COS('i.v', 'h.v')} >= {t} GROUP BY i.id),
+near AS (SELECT a.id, list(struct_pack(o := b.id, s := {W._COS('a.v', 'b.v')})) AS es FROM it a JOIN it b ON b.id < a.id WHERE {W._COS('a.v', 'b.v')} >= {t} GROUP BY a.id),
+ask AS (SELECT i.id, i.n, hb.best AS hb, coalesce(near.es, []) AS es FROM it i LEFT JOIN hb USING (id) LEFT JOIN near USING (id)),
+step AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS action, CAST(NULL AS BIGINT) AS target, CAST(NULL AS DOUBLE) AS sim, CAST([] AS BIGINT[]) AS leaders
+  UNION ALL SELECT n, id, CASE WHEN pick IS NULL AND hb IS NULL THEN 'create' WHEN pick IS NULL OR hb.s >= pick.s THEN 'link_held' ELSE 'link' END,
+    CASE WHEN pick IS NULL AND hb IS NULL THEN id WHEN pick IS NULL OR hb.s >= pick.s THEN hb.o ELSE pick.o END,
+    CASE WHEN pick IS NULL AND hb IS NULL THEN NULL WHEN pick IS NULL OR hb.s >= pick.s THEN hb.s ELSE pick.s END,
+    CASE WHEN pick IS NULL AND hb IS NULL THEN list_append(leaders, id) ELSE leaders END
+  FROM (SELECT a.n, a.id, a.hb, s.leaders, list_sort(list_transform(list_filter(a.es, lambda e: list_contains(s.leaders, e.o)), lambda e: struct_pack(s := e.s, m := -e.o, o := e.o)), 'DESC')[1] AS pick FROM step s JOIN ask a ON a.n = s.n + 1)),
+links AS (SELECT id, action, target, round(sim, 6) AS sim FROM step WHERE n > 0)"""
+
 ORACLE = {
+    "promote": f"WITH RECURSIVE {_FOLDED(0.38)} SELECT * FROM links",
+    "pending_dedup": f"WITH RECURSIVE {_FOLDED(0.42)} SELECT id, CASE WHEN action = 'create' THEN 'insert' ELSE 'extra_source' END AS action, target, sim FROM links",
+    "promoted_signals": with_tables("SELECT p.id, CAST(p.signal_count + coalesce((SELECT sum(greatest(1, (SELECT count(*) FROM S s WHERE s.pending_painpoint_id = l.id))) FROM links l WHERE l.action = 'link_held' AND l.target = p.id), 0) AS BIGINT) AS signal_count FROM painpoints p", _FOLDED(0.38), recursive=True),
     "apply_reroute": f"WITH {W._BM_ALL}, {W._CENT}, {W._M}, {W._REROUTE} SELECT p.id, coalesce(r.target, p.category_id) AS category_id, strftime(CASE WHEN r.id IS NOT NULL THEN TIMESTAMP '2026-01-01' ELSE last_updated END, '%Y-%m-%d %H:%M:%S') AS updated FROM painpoints p LEFT JOIN rr r ON r.id = p.id",
     "apply_painpoint_merge": f"WITH RECURSIVE {_MERGES} SELECT id, CAST(signal_count + coalesce((SELECT sum(x.signal_count) FROM m JOIN painpoints x ON x.id = m.loser WHERE m.survivor = p.id), 0) AS BIGINT) AS signal_count FROM painpoints p WHERE id NOT IN (SELECT loser FROM m)",
     "apply_painpoint_merge_sources": with_tables("SELECT DISTINCT coalesce(m.survivor, b.painpoint_id) AS painpoint_id, b.pending_painpoint_id FROM PS b LEFT JOIN m ON m.loser = b.painpoint_id", _MERGES, recursive=True),

@@ -208,6 +208,7 @@ ORACLE = {
     "anchor_violations": f"WITH {_E}, X AS (SELECT * FROM E WHERE id IN (SELECT id FROM categories)), {_PAIR(0.4, 'X')} SELECT id_a, id_b, round(sim, 6) AS sim FROM pr",
     "valid_vectors": f"WITH {_E} SELECT label, count(*) AS n FROM E WHERE len(v) = 64 GROUP BY 1",
     "clusters": f"WITH RECURSIVE {_E}, {_PAIR(T2)}, {_CC} SELECT id, label FROM lab",
+    "cluster_summary": f"WITH RECURSIVE {_E}, {_PAIR(T1)}, ts AS (SELECT unnest([{T1}, 0.40, {T2}]) AS t), both_ways AS (SELECT t, id_a AS a, id_b AS b FROM ts JOIN pr ON sim >= t UNION ALL SELECT t, id_b, id_a FROM ts JOIN pr ON sim >= t), walk AS (SELECT t, id, id AS node FROM ts, E UNION SELECT w.t, w.id, x.b FROM walk w JOIN both_ways x ON x.t = w.t AND x.a = w.node), part AS (SELECT t, id, min(node) AS label FROM walk GROUP BY ALL), sizes AS (SELECT t, label, count(*) AS size FROM part GROUP BY ALL) SELECT t AS threshold, count(*) AS components, max(size) AS largest, count(*) FILTER (size = 1) AS singletons FROM sizes GROUP BY 1",
     "bm25_topk": f"WITH {_BM} SELECT q, id, score, rank FROM lex WHERE rank <= 10",
     "rrf_fusion": f"WITH {_BM}, {_DENSE}, {_FUSE('dense', 'lex')} SELECT * FROM ranked WHERE rank <= 10",
     "hybrid_candidates": f"WITH {_BM}, {_DENSE}, {_OUT}, d2 AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY rank) AS rank FROM dense ANTI JOIN ex USING (q, id) WHERE q IN (SELECT id FROM painpoints)), l2 AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY rank) AS rank FROM lex ANTI JOIN ex USING (q, id) WHERE q IN (SELECT id FROM E)), {_FUSE('d2', 'l2')} SELECT q, r.id, coalesce(round({_COS('a.v', 'b.v')}, 6), 0.0) AS sim, rrf, rank FROM ranked r JOIN E a ON a.id = q LEFT JOIN E b ON b.id = r.id",
