@@ -9,6 +9,7 @@ from ..adapter import Views, with_tables
 from ..operators import retrieval as R
 from ..operators import sweep as W
 from ..operators import vectors as V
+from ..operators.sweep_run import State, Thresholds, run_sweep
 from ..session import Scratch
 
 T1, T2, ROUTE = 0.38, 0.42, 0.02
@@ -123,6 +124,20 @@ def _split(v: Views):
     return W.split_clusters(crowded, m.select("id", "category_id"), V.pairs_within(m, "category_id", 0.3), 2)
 
 
+def _whole_sweep(v: Views):
+    """All passes over painpoints with vectors in the category of their label; pairs of one severity count as confirmed."""
+    m = _members(v).join(v.painpoints.select("id", "title", "description"), "id")
+    cats = v.stamped_categories
+    state = State(cats, m.drop("v", "label"), v.bridge, v.pendings.select("id", "category_id"), m.select("id", "v"), _vec(v).join(cats.where(F.col("id") != K.UNCATEGORIZED).select("id"), "id", "left_semi").select("id", "v"))
+    level = v.painpoints.select("id", F.coalesce("severity", F.lit(5)).alias("s"))
+
+    def confirm(e):
+        a, b = (level.select(F.col("id").alias(x), F.col("s").alias(f"s_{x}")) for x in ("survivor", "loser"))
+        return e.join(a, "survivor").join(b, "loser").where("s_survivor = s_loser").drop("s_survivor", "s_loser")
+
+    return run_sweep(state, NOW, Thresholds(cluster=0.3, split=0.3, sibling=0.25, root=0.2, pair=0.3, margin=ROUTE, stale_days=90), confirm)
+
+
 def _clusters(v: Views):
     m = _members(v).where(F.col("category_id") == K.UNCATEGORIZED)
     return W.uncategorised_clusters(m.select("id"), V.similarity_join(m.select("id", "v"), 0.3), 0.3, 2)
@@ -153,6 +168,8 @@ _Q = {
     "sweep_split": _split,
     "sweep_merge_fold": lambda v: _siblings(v).select("survivor", "loser", "accepted", "reason"),
     "sweep_painpoint_fold": lambda v: _rank(_folded(v)),
+    "sweep_summary": lambda v: _whole_sweep(v)[2],
+    "sweep_audit": lambda v: _whole_sweep(v)[1].withColumn("value", F.round("value", 6)),
     "accept_delete": lambda v: W.accept_deletes(W.delete_candidates(v.stamped_categories, v.painpoints, NOW, 90).select("id", "metric"), v.stamped_categories, v.painpoints, LATER, 150),
     "accept_reroute": lambda v: W.accept_reroutes(_reroutes(v), _moved(v), v.categories.where(F.col("id") != 5)),
     "sweep_merge": lambda v: W.sibling_merges(v.categories, _vec(v).select("id", "v"), 0.25, 0.2),
