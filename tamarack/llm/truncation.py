@@ -279,6 +279,7 @@ def _met(rows: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             x = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names}
+            x |= {c: x[c].view(np.uint64) for c in ("w0", "w1")}  # bits of signed numbers are counted without their sign
             fresh = 0
             if held is not None:
                 fresh = held.pop("done")
