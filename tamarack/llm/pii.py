@@ -373,7 +373,7 @@ def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0) -> str:
         out = []
         for w in _TOKENS.findall(canon):
             if w.isdigit():
-                out.append("".join(str(1 + next(r) % 9) if i == 0 else str(next(r) % 10) for i in range(len(w))))
+                out.append("".join(str(1 + next(r) % 9) if i == 0 else str(next(r) % 10) for i in range(len(w) + more // 4)))
             elif _stays(w):
                 out.append(w)
             else:
