@@ -13,6 +13,9 @@ Neighbour descent starts from blocks of records that sort together, and improves
 at neighbours of neighbours, where one of the two is new, until hardly an entry changes. Communities come from local moving
 by modularity gain until hardly a record moves; those whose exact centroids agree are parts of one, found by the same
 descent over the centroids and joined by connected components.
+
+Every exchange, broadcast and job of a round leaves threads and plans in the driver for a while, whatever the table's size. So
+a round writes what it counts once, with the counts taken on the way, and rows that meet by one key are shuffled by it once.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch
@@ -212,23 +215,29 @@ def _block_neighbours(nodes: DataFrame, order: list, shift: int, least: float) -
     return nodes.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "vec").mapInArrow(scan, "u long, v long, sim float")
 
 
+def _counted(df: DataFrame, scratch: Scratch, name: str, **sums: Column) -> tuple[DataFrame, dict]:
+    """df written, and sums over its rows that were taken while it was."""
+    seen = Observation()
+    return scratch.write(df.observe(seen, *(c.alias(k) for k, c in sums.items())), name), seen.get
+
+
 def _best(edges: DataFrame) -> DataFrame:
-    """edges: u, v, sim, new. The K nearest of every u; an entry held before isn't new."""
+    """edges: u, v, sim, new. The K nearest of every u, r the place of each; an entry held before isn't new."""
     w = Window.partitionBy("u").orderBy(F.col("sim").desc(), "v")
     one = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
-    return one.withColumn("r", F.row_number().over(w)).where(F.col("r") <= K).drop("r")
+    return one.withColumn("r", F.row_number().over(w)).where(F.col("r") <= K)
 
 
 def _descend(edges: DataFrame, nodes: DataFrame, turn: int, least: float) -> DataFrame:
     """Better neighbours found among neighbours of neighbours: K forward and K reverse ones of every record meet, where one of two
-    is new. A record's reverse ones are drawn anew each round; a hub's are thinned on every task before they come together."""
-    low = edges.groupBy("u").agg(F.min("sim").alias("low"), F.count("*").alias("n")).select(F.col("u").alias("v"), F.when(F.col("n") >= K, F.col("low")).otherwise(F.lit(least)).alias("low"))
+    is new. A record's reverse ones are drawn anew each round; a hub's are thinned on every task before they come together, as
+    Spark does for the first K of a window (WindowGroupLimit)."""
+    low = edges.where(F.col("r") == K).select(F.col("u").alias("v"), F.col("sim").alias("low"))  # of full lists
     draw = F.xxhash64("u", "v", F.lit(turn))
-    back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "new").withColumn("draw", draw).withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(16)).cast("int"))
-    for part in (["u", "salt"], ["u"]):  # K of each sixteenth, then K of all: the same as K of all at once
-        back = back.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy("draw", "v"))).where(F.col("r") <= K).drop("r")
-    meet = edges.select("u", "v", "new").unionByName(back.select("u", "v", "new")).groupBy("u", "v").agg(F.max("new").alias("new"))
-    meet = meet.join(meet.where("new").select("u").distinct(), "u", "left_semi")
+    back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "new").withColumn("draw", draw)
+    back = back.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy("draw", "v"))).where(F.col("r") <= K)
+    meet = edges.select("u", "v", "new").unionByName(back.select("u", "v", "new")).repartition("u").groupBy("u", "v").agg(F.max("new").alias("new"))
+    meet = meet.withColumn("any", F.max("new").over(Window.partitionBy("u"))).where("any").drop("any")  # 2 K rows of a u at most
     meet = meet.join(nodes.select(F.col("id").alias("v"), "vec"), "v").join(low, "v", "left")
     meet = meet.repartition("u").sortWithinPartitions("u").select("u", "v", "vec", F.coalesce("low", F.lit(least)).cast("float").alias("low"), "new")
 
@@ -275,48 +284,43 @@ def neighbour_graph(nodes: DataFrame, scratch: Scratch, least: float = 0.6) -> D
     edges = scratch.write(_best(start.withColumn("new", F.lit(True))), "edges")
     for turn in range(ROUNDS):
         found = _descend(edges, nodes, turn, least).withColumn("new", F.lit(True))
-        old, edges = edges, scratch.write(_best(edges.withColumn("new", F.lit(False)).unionByName(found)), "edges")
+        old = edges
+        edges, s = _counted(_best(edges.drop("r").withColumn("new", F.lit(False)).unionByName(found)), scratch, "edges", n=F.count(F.lit(1)), new=F.count_if("new"))
         scratch.drop(old)
-        s = edges.agg(F.count("*").alias("n"), F.count_if("new").alias("new")).first()
-        if s.new <= SETTLED * s.n:
-            return edges.drop("new")
-    warnings.warn(f"{s.new} of {s.n} neighbour entries still changed in round {ROUNDS}", RuntimeWarning, stacklevel=2)
-    return edges.drop("new")
+        if s["new"] <= SETTLED * s["n"]:
+            return edges.drop("new", "r")
+    warnings.warn(f"{s['new']} of {s['n']} neighbour entries still changed in round {ROUNDS}", RuntimeWarning, stacklevel=2)
+    return edges.drop("new", "r")
 
 
 def communities(edges: DataFrame, scratch: Scratch, moves: int = MOVES) -> DataFrame:
     """(id, c): local moving. edges: u, v, w in both directions. In each round half of the nodes, by hash, move to the
     neighbouring community of the greatest modularity gain (ties: the least number), until hardly one moves. After the first
     two rounds only nodes are looked at whose neighbours have moved since."""
-    degree = scratch.write(edges.groupBy("u").agg(F.sum("w").alias("k")), "degree")
-    total, n = degree.agg(F.sum("k"), F.count("*")).first()
-    total = total or 1.0
-    lab = degree.select(F.col("u").alias("id"), F.col("u").alias("c"), "k")
+    start = edges.groupBy("u").agg(F.sum("w").alias("k")).select(F.col("u").alias("id"), F.col("u").alias("c"), "k", F.lit(True).alias("on"))
+    lab, s = _counted(start, scratch, "lab", total=F.sum("k"), n=F.count(F.lit(1)))
+    n, total = s["n"], s["total"] or 1.0
     if not n:
         return lab.select("id", "c")
-    last, active = n, None
+    last = n
     for turn in range(moves):
         half = F.pmod(F.xxhash64("id", F.lit(turn // 2)) + turn, F.lit(2)) == 0  # either half in turn
-        here = (lab.select("id") if active is None else active).where(half)
-        own = lab.join(here, "id").select(F.col("id").alias("u"), F.col("c").alias("mine"), "k")
-        near = edges.join(here.select(F.col("id").alias("u")), "u", "left_semi").join(lab.select(F.col("id").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("w"))
+        own = lab.where(F.col("on") & half).select(F.col("id").alias("u"), F.col("c").alias("mine"), "k")
+        near = edges.join(own, "u").join(lab.select(F.col("id").alias("v"), "c"), "v").select("u", "c", "mine", "k", "w")
+        all_ = near.unionByName(own.select("u", F.col("mine").alias("c"), "mine", "k", F.lit(0.0).alias("w"))).repartition("u").groupBy("u", "c", "mine").agg(F.max("k").alias("k"), F.sum("w").alias("w"))
         volume = lab.groupBy("c").agg(F.sum("k").alias("vol"))
-        all_ = near.unionByName(own.select("u", F.col("mine").alias("c"), F.lit(0.0).alias("w"))).groupBy("u", "c").agg(F.sum("w").alias("w"))
         gain = F.col("w") - F.col("k") * (F.col("vol") - F.when(F.col("c") == F.col("mine"), F.col("k")).otherwise(0.0)) / F.lit(total)
-        best = all_.join(own, "u").join(volume, "c").groupBy("u", "mine").agg(F.max(F.struct(F.round(gain, 9).alias("g"), (-F.col("c")).alias("n"))).alias("b"))
-        moved = scratch.write(best.select(F.col("u").alias("id"), (-F.col("b.n")).alias("to")).where(F.col("to") != F.col("mine")), "moved")
-        count = moved.count()
-        old, lab = lab, scratch.write(lab.join(moved, "id", "left").select("id", F.coalesce("to", "c").alias("c"), "k"), "lab")
-        scratch.drop(old)
-        if turn % 2 and last + count <= SETTLED * n:  # both halves of a draw
-            return lab.select("id", "c")
-        last = count
+        best = all_.join(volume, "c").groupBy("u", "mine").agg(F.max(F.struct(F.round(gain, 9).alias("g"), (-F.col("c")).alias("n"))).alias("b"))
+        moved, s = _counted(best.select(F.col("u").alias("id"), (-F.col("b.n")).alias("to")).where(F.col("to") != F.col("mine")), scratch, "moved", n=F.count(F.lit(1)))
         # still to look at: what was left to the other half, and the neighbours of what moved
-        next_to = edges.join(moved.select(F.col("id").alias("v")), "v", "left_semi").select(F.col("u").alias("id"))
-        rest = (lab.select("id") if active is None else active).where(~half) if active is not None or turn == 0 else None
-        stirred = next_to if rest is None else next_to.unionByName(rest)
-        old, active = active, scratch.write(stirred.distinct(), "active")
+        next_to = edges.join(moved.select(F.col("id").alias("v")), "v", "left_semi").select(F.col("u").alias("id"), F.lit(None).cast("long").alias("to"), F.lit(True).alias("stirred"))
+        news = moved.withColumn("stirred", F.lit(False)).unionByName(next_to).groupBy("id").agg(F.max("to").alias("to"), F.max("stirred").alias("stirred"))
+        old, lab = lab, scratch.write(lab.join(news, "id", "left").select("id", F.coalesce("to", "c").alias("c"), "k", (F.coalesce("stirred", F.lit(False)) | (F.col("on") & ~half)).alias("on")), "lab")
         scratch.drop(old)
+        scratch.drop(moved)
+        if turn % 2 and last + s["n"] <= SETTLED * n:  # both halves of a draw
+            return lab.select("id", "c")
+        last = s["n"]
     warnings.warn(f"{last} of {n} records still moved in round {moves}", RuntimeWarning, stacklevel=2)
     return lab.select("id", "c")
 
