@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions import quotes
 from ..functions import text as T
+from ..session import Scratch, partitions
 
 
 def safe_ratio(a: Column, b: Column, digits: int = 4) -> Column:
@@ -138,7 +142,7 @@ def severity_moments(pendings: DataFrame) -> DataFrame:
 
 def quote_status(pendings: DataFrame, posts: DataFrame, comments: DataFrame) -> DataFrame:
     """blank, attributed, post, other_comment or missing, in that order of proof. Other comments are looked at only for quotes
-    that neither the named source nor the post holds, joined by post."""
+    that neither the named source nor the post holds, in blocks of a post by an index of their letters."""
     norm = lambda c: T.normalize_quote(F.coalesce(c, F.lit("")))
     q = pendings.select("id", "post_id", "comment_id", norm(F.col("quoted_text")).alias("q"))
     p = posts.select(F.col("id").alias("post_id"), norm(F.concat_ws(" ", "title", "selftext")).alias("pt"))
@@ -146,11 +150,25 @@ def quote_status(pendings: DataFrame, posts: DataFrame, comments: DataFrame) ->
     has = lambda t: F.coalesce(F.instr(F.col(t), F.col("q")) > 0, F.lit(False)) if t else None
     known = q.join(p, "post_id", "left").join(c, "comment_id", "left")
     known = known.withColumn("in_post", F.coalesce(F.expr("position(q in pt) > 0"), F.lit(False))).withColumn("in_comment", F.coalesce(F.expr("position(q in ct) > 0"), F.lit(False))).drop("pt", "ct")
-    open_ = known.where((F.col("q") != "") & ~F.col("in_post") & ~F.col("in_comment")).select("id", "post_id", "q").distinct()
-    others = comments.select("post_id", norm(F.col("body")).alias("ct"))
-    found = open_.join(others, "post_id").where("position(q in ct) > 0").select("id").distinct().withColumn("in_other", F.lit(True))
+    known = Scratch(pendings.sparkSession, "status").write(known, "known")
+    open_ = known.where((F.col("q") != "") & ~F.col("in_post") & ~F.col("in_comment")).select("post_id", "q").distinct()
+    others = comments.join(open_.select("post_id").distinct(), "post_id", "left_semi").select("post_id", "id", norm(F.col("body")).alias("ct"))
+    size = others.groupBy("post_id").agg(F.ceil(F.count("*") / quotes.BLOCK).alias("blocks"))
+    blocks = others.join(size, "post_id").groupBy("post_id", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")).agg(F.collect_list("ct").alias("cts"))
+    per = open_.groupBy("post_id").agg(F.collect_list("q").alias("qs"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                post, src = batch["post_id"][i].as_py(), quotes.Sources(batch["cts"][i].as_py())
+                out += [(post, x) for x in batch["qs"][i].as_py() if src.exact(x) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string())], ["post_id", "q"])
+
+    found = blocks.join(per, "post_id").repartition(4 * partitions(pendings.sparkSession), "post_id", "block").select("post_id", "cts", "qs").mapInArrow(scan, "post_id long, q string")
+    found = found.distinct().withColumn("in_other", F.lit(True))
     status = F.when(F.col("q") == "", "blank").when(F.col("in_comment") | (F.col("comment_id").isNull() & F.col("in_post")), "attributed").when(F.col("in_post"), "post").when(F.coalesce("in_other", F.lit(False)), "other_comment").otherwise("missing")
-    return known.join(found, "id", "left").select("id", status.alias("status"))
+    return known.join(found, ["post_id", "q"], "left").select("id", status.alias("status"))
 
 
 def token_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:

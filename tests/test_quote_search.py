@@ -5,6 +5,7 @@ import pytest
 
 from tamarack import constants as K
 from tamarack.functions import quotes
+from tamarack.operators import metrics as M
 
 WORDS = "the a search field export fails when we pay for nine seats and use only two of them today because support told me".split()
 
@@ -75,3 +76,14 @@ def test_blocks_of_a_post_agree(spark, monkeypatch):
     for block in (3, 1000):
         monkeypatch.setattr(quotes, "BLOCK", block)
         assert sorted(map(tuple, quotes.repair_quotes(pendings, posts, comments).collect())) == want
+
+
+def test_quote_status_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(quotes, "BLOCK", 4)
+    monkeypatch.setattr(quotes, "INDEXED", 10)
+    posts = spark.createDataFrame([(1, "Title", "the post"), (2, "Other", None)], "id long, title string, selftext string")
+    comments = spark.createDataFrame([(100 + i, 1, f"Filler *{i}*  says\nnothing of interest") for i in range(20)] + [(120, 2, None)], "id long, post_id long, body string")
+    rows = [(1, 1, 103, "filler 3 says"), (2, 1, 103, "FILLER 17 says nothing"), (3, 1, None, "the post"), (4, 1, 104, "the post"), (5, 1, None, "interest filler"), (6, 2, None, "filler 3"), (7, 1, None, " "), (8, 9, None, "filler 3"), (9, 1, None, "19"), (9, 1, None, "no such words"), (10, None, None, "filler 3")]
+    pendings = spark.createDataFrame(rows, "id long, post_id long, comment_id long, quoted_text string")
+    got = sorted(map(tuple, M.quote_status(pendings, posts, comments).collect()))
+    assert got == [(1, "attributed"), (2, "other_comment"), (3, "attributed"), (4, "post"), (5, "missing"), (6, "missing"), (7, "blank"), (8, "missing"), (9, "missing"), (9, "other_comment"), (10, "missing")]
